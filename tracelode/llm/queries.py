@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import conversations, mixing, packing, split, tokens
+from tracelode.llm import conversations, mixing, packing, pairs, split, tokens
 from tracelode.sources.tables import table
 
 
@@ -40,6 +40,14 @@ def p4_messages(spark: SparkSession, root: str) -> DataFrame:
     return conversations.conversations(table(spark, root, "pi_polar_transcript"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return pairs.first_defects(table(spark, root, "traces"))
+
+
+def p5_defects(spark: SparkSession, root: str) -> DataFrame:
+    return pairs.defects(table(spark, root, "traces"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode(table(spark, root, "documents"), "doc_id", "text")
 
@@ -52,7 +60,7 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(table(spark, root, "documents"), table(spark, root, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_layout, p3_rows, p3_fill, p4_found, p4_messages, p7_ids, p8_mixture, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_layout, p3_rows, p3_fill, p4_found, p4_messages, p5_found, p5_defects, p7_ids, p8_mixture, p8_shares)}
 
 # The messages of a conversation, as p4 defines them.
 _MESSAGES = r"""
