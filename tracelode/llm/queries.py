@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import conversations, mixing, packing, pairs, split, tokens
+from tracelode.llm import conversations, mixing, packing, pairs, residue, split, tokens
 from tracelode.sources.tables import table
 
 
@@ -60,7 +60,23 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(table(spark, root, "documents"), table(spark, root, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_layout, p3_rows, p3_fill, p4_found, p4_messages, p5_found, p5_defects, p7_ids, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue(table(spark, root, "documents"))
+
+
+def p9_clean(spark: SparkSession, root: str) -> DataFrame:
+    return residue.clean(table(spark, root, "documents")).select("doc_id", "source", "text")
+
+
+def p9_evidence(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residual_evidence(table(spark, root, "documents"))
+
+
+def p9_boilerplate(spark: SparkSession, root: str) -> DataFrame:
+    return residue.boilerplate(table(spark, root, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_layout, p3_rows, p3_fill, p4_found, p4_messages, p5_found, p5_defects, p7_ids, p8_mixture, p8_shares, p9_found, p9_clean, p9_evidence, p9_boilerplate)}
 
 # The messages of a conversation, as p4 defines them.
 _MESSAGES = r"""
