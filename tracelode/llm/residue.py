@@ -29,14 +29,14 @@ SHARE, LEAST = 0.2, 20
 
 #: What ends a line, and what isn't seen; as ``normalise`` has it.
 _ENDS, _UNSEEN = r"\r\n?|[\n\u000B\f\u0085\u2028\u2029]", r"[\u200B\u200C\u200D\u2060\uFEFF\u00AD]"
-_DROP = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD])
+_HIDDEN, _BREAK = re.compile(_UNSEEN), re.compile("\r\n?|[\x0b\x0c\x85\u2028\u2029]")
 _SPACE = re.compile(r"[^\S\n]+")
 
 
 def normalise(text: str) -> list[str]:
     """The lines of a text without invisible characters, with plain spaces and apostrophes."""
-    text = re.sub("\r\n?|[\x0b\x0c\x85\u2028\u2029]", "\n", text).translate(_DROP).replace("\u2019", "'").replace("\u00b4", "'")
-    return [_SPACE.sub(" ", line).strip() for line in text.split("\n")]
+    text = _HIDDEN.sub("", _BREAK.sub("\n", text)).replace("\u2019", "'").replace("\u00b4", "'")
+    return [line.strip() for line in _SPACE.sub(" ", text).split("\n")]
 
 
 # --- what a sentence speaks of ---------------------------------------------------------------------
@@ -99,7 +99,14 @@ _FIELD_NAMES = set(
 )
 
 
+#: Without one of these a sentence holds no field, or no word for scripts; looked for first.
+_MAY_FIELD = re.compile(r"[\[{<«%@#$]|__|\((?!page:)|\b(?:TODO|FIXME|TBD)\b", re.I)
+_MAY_SCRIPT = re.compile(r"script|skript|\bjs\b|guiones|comandos", re.I)
+
+
 def _has_field(sentence: str) -> bool:
+    if not _MAY_FIELD.search(sentence):
+        return False
     for m in _FIELD.finditer(sentence):
         t = m.group()
         if _REMARK.match(t):
@@ -265,14 +272,11 @@ def _line_kind(line: str) -> str | None:
             continue
         if _has_field(s) and not _ON_FIELDS.search(_FIELD.sub(' ', s)):
             return PLACEHOLDER
-        if tells(s) or len(s) > 400:
+        if len(s) > 400:
             continue
-        if _FILLER.match(s):
-            return FILLER
-        if _ERROR_SENTENCE.match(s):
-            return ERROR
-        if _SCRIPT_SENTENCE.match(s):
-            return SCRIPT
+        said = FILLER if _FILLER.match(s) else ERROR if _ERROR_SENTENCE.match(s) else SCRIPT if _MAY_SCRIPT.search(s) and _SCRIPT_SENTENCE.match(s) else None
+        if said and not tells(s):
+            return said
     return None
 
 
