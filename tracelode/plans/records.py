@@ -44,7 +44,7 @@ QUERIES = {"p1_found": _flat("trace_sessions")} | {f"p1_{n}": _flat(n) for n in
 QUERIES |= {"p6_found": p6_found, "p6_kept": p6_kept, "p6_admitted": p6_admitted}
 
 # DuckDB: a body is one whole JSON object if json_valid holds and its type is OBJECT; the same three shapes.
-_MEMBERS = """
+MEMBERS = """
 WITH whole AS MATERIALIZED (SELECT body_id, body::JSON AS j FROM wire_bodies WHERE json_valid(body)),
 objects AS MATERIALIZED (SELECT body_id, j FROM whole WHERE json_type(j) = 'OBJECT'),
 listed AS (SELECT body_id, json_extract(j, '$.results[*]') AS r FROM objects WHERE json_type(j, '$.results') = 'ARRAY'),
@@ -70,10 +70,10 @@ def _text(path: str, of: str = "m") -> str:
 _SESSION = f"coalesce({_text('$.metadata.session_id', 't')}, {_text('$.trajectory.metadata.session_id')}, {_text('$.session_id')})"
 
 ORACLE = {
-    "p1_found": _MEMBERS + f"""
+    "p1_found": MEMBERS + f"""
 SELECT 'row' AS origin, delivery_id AS record_id, 0::INT AS member_no, trace_no, coalesce(t.metadata.session_id, trajectory.metadata.session_id, session_id) AS session_id FROM row_traces
 UNION ALL SELECT 'body', body_id, member_no, trace_no, {_SESSION} FROM body_traces""",
-    "p1_sessions": _MEMBERS + f"""
+    "p1_sessions": MEMBERS + f"""
 SELECT 'row' AS origin, delivery_id AS record_id, 0::INT AS member_no, session_id, task_id, status, trajectory.status AS trajectory_status, trajectory.error AS error,
   trajectory.metadata.builder AS builder, trajectory.metadata.reconstruction_stats.chains_total AS chains_total, trajectory.metadata.reconstruction_stats.completions_total AS completions_total,
   trajectory.metadata.reconstruction_stats.completions_merged AS completions_merged, len(trajectory.traces)::INT AS n_traces, timing.init_ms AS init_ms, timing.run_ms AS run_ms, node_id
@@ -84,14 +84,14 @@ UNION ALL SELECT 'body', body_id, member_no, {_text('$.session_id')}, {_text('$.
   CASE WHEN json_type(m, '$.trajectory.traces') = 'ARRAY' THEN json_array_length(m, '$.trajectory.traces')::INT END,
   (m ->> '$.timing.init_ms')::DOUBLE, (m ->> '$.timing.run_ms')::DOUBLE, {_text('$.node_id')}
 FROM members WHERE json_type(m) = 'OBJECT'""",
-    "p1_traces": _MEMBERS + f"""
+    "p1_traces": MEMBERS + f"""
 SELECT 'row' AS origin, delivery_id AS record_id, 0::INT AS member_no, trace_no, coalesce(t.metadata.session_id, trajectory.metadata.session_id, session_id) AS session_id,
   t.metadata.task_id AS task_id, t.metadata.case_id AS case_id, t.metadata.timestep AS timestep, t.metadata.prompt_source AS prompt_source, t.finish_reason AS finish_reason,
   len(t.prompt_ids)::INT AS n_prompt, len(t.response_ids)::INT AS n_response, len(t.loss_mask)::INT AS n_mask FROM row_traces
 UNION ALL SELECT 'body', body_id, member_no, trace_no, {_SESSION}, {_text('$.metadata.task_id', 't')}, {_text('$.metadata.case_id', 't')}, (t ->> '$.metadata.timestep')::INT,
   {_text('$.metadata.prompt_source', 't')}, {_text('$.finish_reason', 't')}, {', '.join(f"CASE WHEN json_type(t, '$.{c}') = 'ARRAY' THEN json_array_length(t, '$.{c}')::INT END" for c in ('prompt_ids', 'response_ids', 'loss_mask'))}
 FROM body_traces""",
-    "p1_completions": _MEMBERS + f"""
+    "p1_completions": MEMBERS + f"""
 SELECT 'row' AS origin, delivery_id AS record_id, 0::INT AS member_no, trace_no, (k - 1)::INT AS completion_no, c[k].session_id AS session_id, c[k].completion_id AS completion_id
 FROM (SELECT *, t.metadata.completion_metadata AS c FROM row_traces), unnest(range(1, coalesce(len(c), 0) + 1)) AS u(k) WHERE c[k] IS NOT NULL
 UNION ALL SELECT 'body', body_id, member_no, trace_no, (k - 1)::INT, {_text('$.session_id', 'c[k]')}, {_text('$.completion_id', 'c[k]')}
@@ -146,5 +146,5 @@ def _calls_cte(part: str) -> str:
 
 
 for _name, _sql in (("p1_tokens", _token_sql), ("p1_messages", _message_sql)):
-    ORACLE[_name] = _MEMBERS + _sql("prompt") + "\nUNION ALL" + _sql("response")
-ORACLE["p1_tool_calls"] = _MEMBERS + f", {_calls_cte('prompt')}, {_calls_cte('response')}" + _call_sql("prompt") + "\nUNION ALL" + _call_sql("response")
+    ORACLE[_name] = MEMBERS + _sql("prompt") + "\nUNION ALL" + _sql("response")
+ORACLE["p1_tool_calls"] = MEMBERS + f", {_calls_cte('prompt')}, {_calls_cte('response')}" + _call_sql("prompt") + "\nUNION ALL" + _call_sql("response")
