@@ -25,7 +25,8 @@ def tree_files(spark: SparkSession, root: str) -> DataFrame:
     """The files below a corpus root: split, case_id, timestep, name, page, sha256, content.
 
     Expected are ``<split>/cases/<case>/timestep-<T>/pages/page_NNNN.md`` and ``.../prompts.json``;
-    page is null for other files, and split, case and timestep for files elsewhere.
+    page is null for other files, and split, case and timestep for files elsewhere. Files of no bytes and
+    empty folders are no rows, as Spark's scans skip them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_extract(F.col("path"), r"([^/]+/cases/[^/]+/timestep-[0-9]+/.+)$", 1)

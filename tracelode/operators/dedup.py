@@ -16,6 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _rank(keys: list[str], arrival: str, tie: str) -> Column:
     order = [F.col(arrival).asc_nulls_last(), F.col(tie).asc_nulls_last()]
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -23,9 +31,7 @@ def _rank(keys: list[str], arrival: str, tie: str) -> Column:
 
 def first_deliveries(df: DataFrame, keys: list[str], arrival: str, tie: str) -> DataFrame:
     """The rows of ``df`` with the first delivery of each message only."""
-    rank = "__rank"
-    while rank in df.columns:
-        rank += "_"
+    rank = unused(df, "__rank")
     named = df.where(F.col(keys[0]).isNotNull())
     first = named.withColumn(rank, _rank(keys, arrival, tie)).where(F.col(rank) == 1).drop(rank)
     return first.unionByName(df.where(F.col(keys[0]).isNull()))
@@ -48,8 +54,9 @@ def admit(batch: DataFrame, stored: DataFrame, keys: list[str], arrival: str, ti
     Both sides hold a key at most once when they meet, so no key can be hot in the join.
     """
     new = first_deliveries(batch, keys, arrival, tie)
-    known = stored.where(F.col(keys[0]).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
-    same = F.col(keys[0]) == F.col("__k0")
-    for i, k in enumerate(keys[1:], 1):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    mine = [unused(batch, f"__known{i}") for i in range(len(keys))]
+    known = stored.where(F.col(keys[0]).isNotNull()).select(*[F.col(k).alias(m) for k, m in zip(keys, mine)]).distinct()
+    same = F.col(keys[0]) == F.col(mine[0])
+    for k, m in zip(keys[1:], mine[1:]):
+        same = same & F.col(k).eqNullSafe(F.col(m))
     return new.join(known, same, "left_anti")

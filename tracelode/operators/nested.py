@@ -259,7 +259,8 @@ def flatten_rows(df: DataFrame, table: str, record_id: str = "delivery_id") -> D
             keys = {"origin": _const("row", b.num_rows), "record_id": b.column(0), "member_no": pa.array(np.zeros(b.num_rows, np.int32))}
             yield from _emit(table, Level(keys, b.column(1)), schema)
 
-    record = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want.fields])
+    have = {c.lower() for c in df.columns}
+    record = F.struct(*[(F.col(f.name) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields])
     return df.select(F.col(record_id).cast("bigint").alias("record_id"), record.alias("record")).mapInArrow(run, out)
 
 
