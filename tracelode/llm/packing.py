@@ -1,14 +1,13 @@
 """Traces laid into training rows of fixed capacity by bulk-synchronous best fit.
 
 Items and gaps of equal length are interchangeable, so the rounds work on runs: the number of items
-of each length and the row intervals of each gap. The runs come from one distributed count and
+of each length and the row intervals of each gap, both sorted. The runs come from one distributed count and
 are at most ``capacity`` times ``SALTS`` numbers, whatever the size of the table; they are all that reaches the
-driver. A round range-sorts the runs, lets each item run take the gaps that follow it (the
-smallest that hold it) in one sweep, resolves runs with the same successor by rank (longer items
-first, the shorter go to the next larger gap), and updates the gaps; a gap takes one item a round.
-The rounds are repeated over bands of falling length until every item has its place. The items
-themselves are ranked within their length by a salted, distributed count, and find
-their place by binary search in the plan.
+driver. A round places all items of one length: a sweep over the gaps that follow the length, the smallest
+first, gives each gap as many items as it holds, conflicts for a gap being resolved by the items' rank; items
+without a gap open rows; then the gaps are updated, and the next shorter length follows. That is best
+fit, longest first, exactly. The items themselves are ranked within their length by a salted,
+distributed count, and find their place by binary search in the plan.
 
 Defined results: an item longer than the capacity is cut into full rows and a rest, every other
 item stays whole; a null array has no ids; a trace without ids has length 0 and neither row nor
@@ -18,7 +17,7 @@ is a trace of its own id; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
-import math
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,62 +35,61 @@ MAX_CAPACITY = 1 << 17
 
 
 class Plan:
-    """Where the items of each length go: the r-th item of ``length`` lies in the run that holds r."""
+    """Where the items of each length go, as runs: the items of ``length`` from ``rank`` on lie ``each`` to a row,
+    from ``row`` on, the first at ``offset``."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity, self.rows, self.rounds = capacity, 0, 0
-        self._left = dict(counts)
-        self._next = {n: 0 for n in counts}
-        self._gaps: dict[int, list[tuple[int, int]]] = {}
-        self._runs: list[tuple[int, int, int, int]] = []  # length, first rank, first row, offset
-        self._pack()
-        runs = np.array(sorted(self._runs), np.int64).reshape(-1, 4)
-        self.key, self.length, self.rank, self.row, self.offset = runs[:, 0] << 40 | runs[:, 1], runs[:, 0], runs[:, 1], runs[:, 2], runs[:, 3]
-
-    def _pack(self) -> None:
-        while lengths := sorted((n for n, c in self._left.items() if c), reverse=True):
-            band = [n for n in lengths if 2 * n > lengths[0]]
-            while self._round(band):
-                pass
-            rest = [n for n in band if self._left[n]]
-            if rest:  # whoever found no gap opens rows, no more than these items could fill by themselves
-                new = max(1, math.ceil(sum(self._left[n] / (self.capacity // n) for n in rest) - 1e-9))
-                self._gaps.setdefault(self.capacity, []).append((self.rows, new))
-                self.rows += new
-
-    def _round(self, band: list[int]) -> bool:
-        """One sweep from long to short; whether it placed anything."""
+        self._gaps: dict[int, list[tuple[int, int]]] = {}  # gap to its row intervals (first, many)
+        self._sizes: list[int] = []  # the gaps there are, ascending
+        self._runs: list[tuple[int, int, int, int, int]] = []
+        for length in sorted((n for n, c in counts.items() if c), reverse=True):
+            self._round(length, counts[length])
+        runs = np.array(sorted(self._runs), np.int64).reshape(-1, 5)
+        self.length, self.rank, self.row, self.offset, self.each = runs.T
+        self.key = self.length << 40 | self.rank
+
+    def _free(self, gap: int, row: int, many: int) -> None:
+        if gap and many:
+            if gap not in self._gaps:
+                self._gaps[gap] = []
+                bisect.insort(self._sizes, gap)
+            self._gaps[gap].append((row, many))
+
+    def _round(self, length: int, left: int) -> None:
+        """All items of a length at once: by rank into the gaps that follow it, the smallest first, the rest into new rows."""
         self.rounds += 1
-        gaps = sorted((g for g in self._gaps if g >= band[-1]), reverse=True)
-        stack: list[tuple[int, int, int]] = []
-        moved: list[tuple[int, int, int]] = []
-        taken = set()
-        at = 0
-        for n in (m for m in band if self._left[m]):
-            while at < len(gaps) and gaps[at] >= n:
-                stack += [(gaps[at], row, many) for row, many in self._gaps[gaps[at]]]
-                taken.add(gaps[at])
-                at += 1
-            while self._left[n] and stack:
-                gap, row, many = stack.pop()
-                k = min(many, self._left[n])
-                self._runs.append((n, self._next[n], row, self.capacity - gap))
-                self._next[n] += k
-                self._left[n] -= k
-                moved.append((gap - n, row, k))
-                if k < many:
-                    stack.append((gap, row + k, many - k))
-        for g in taken:
-            del self._gaps[g]
-        for gap, row, many in stack + moved:
-            if gap:
-                self._gaps.setdefault(gap, []).append((row, many))
-        return bool(moved)
+        rank, freed = 0, []
+        at = bisect.bisect_left(self._sizes, length)
+        while left:
+            if at < len(self._sizes):
+                gap = self._sizes[at]
+                row, many = self._gaps[gap].pop()
+                if not self._gaps[gap]:
+                    del self._gaps[gap]
+                    self._sizes.pop(at)
+            else:
+                gap, row = self.capacity, self.rows
+                many = -(-left // (self.capacity // length))
+                self.rows += many
+            each = gap // length
+            took = min(left, many * each)
+            self._runs.append((length, rank, row, self.capacity - gap, each))
+            full, part = divmod(took, each)
+            freed.append((gap - each * length, row, full))
+            if part:
+                freed.append((gap - part * length, row + full, 1))
+            used = full + bool(part)
+            freed.append((gap, row + used, many - used))
+            rank, left = rank + took, left - took
+        for f in freed:
+            self._free(*f)
 
     def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and offset of the items."""
         at = np.searchsorted(self.key, length.astype(np.int64) << 40 | rank, side="right") - 1
-        return self.row[at] + rank - self.rank[at], self.offset[at]
+        nth = rank - self.rank[at]
+        return self.row[at] + nth // self.each[at], self.offset[at] + nth % self.each[at] * length
 
 
 def _size(c: str):

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.operators.dedup import unused
+
 PLACEHOLDER, FILLER, ERROR, SCRIPT = "placeholder", "filler", "error", "script"
 #: A line is boilerplate of its host if it is in this share of the host's documents, and in so many at least.
 SHARE, LEAST = 0.2, 20
@@ -338,5 +340,5 @@ def residue(documents: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame) -> DataFrame:
     """``documents`` without those with residue, all columns as they are; a null doc_id is never excluded."""
-    bad = residue(documents).select(F.col("doc_id").alias("__bad"))
-    return documents.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    name = unused(documents, "__residue")
+    return documents.join(residue(documents).select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left_anti")
