@@ -86,7 +86,7 @@ def length_stopped(traces: DataFrame) -> DataFrame:
 def citation_rewards(traces: DataFrame) -> DataFrame:
     """trace_id, cutoff, n_cited, n_valid, reward: the share of the last answer's citations that lie in 1 .. the timestep; 0 without any."""
     answers = F.filter("response_messages", lambda m: F.coalesce(m["role"] == "assistant", F.lit(False)))
-    pages = F.coalesce(citations(flat_content(F.element_at(F.filter(answers, lambda m: m["content"].isNotNull()), -1)["content"])), F.array().cast("array<int>"))
+    pages = F.coalesce(citations(flat_content(F.try_element_at(F.filter(answers, lambda m: m["content"].isNotNull()), F.lit(-1))["content"])), F.array().cast("array<int>"))
     rows = traces.select("trace_id", F.col("timestep").alias("cutoff"), F.when(F.size(answers) > 0, pages).otherwise(F.array().cast("array<int>")).alias("pages"))
     rows = rows.select("trace_id", "cutoff", F.greatest(F.size("pages"), F.lit(0)).alias("n_cited"), F.greatest(F.size(F.filter("pages", lambda p: F.coalesce((p >= 1) & (p <= F.col("cutoff")), F.lit(False)))), F.lit(0)).alias("n_valid"))
     return once(rows, "trace_id", ["cutoff", "n_cited", "n_valid"]).withColumn("reward", F.round(F.when(F.col("n_cited") > 0, F.col("n_valid") / F.col("n_cited")).otherwise(0.0), 6))

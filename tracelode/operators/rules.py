@@ -125,7 +125,7 @@ def tool_results(messages: Column) -> Column:
     call = lambda i: F.transform(F.coalesce(F.get(messages, i)["tool_calls"], F.array().cast("array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>")), lambda c: F.struct(i.alias("ord"), c["id"].alias("id"), c["function"]["name"].alias("name")))
     calls = F.coalesce(F.flatten(F.transform(indices(messages), call)), none)
     results = F.filter(indices(messages), lambda i: F.coalesce(F.get(messages, i)["role"] == "tool", F.lit(False)))
-    named = lambda i: F.element_at(F.filter(calls, lambda c: (c["ord"] <= i) & (c["id"] == F.get(messages, i)["tool_call_id"])), -1)
+    named = lambda i: F.try_element_at(F.filter(calls, lambda c: (c["ord"] <= i) & (c["id"] == F.get(messages, i)["tool_call_id"])), F.lit(-1))
     return F.transform(results, lambda i: F.struct(i.alias("ord"), F.when(F.exists(calls, lambda c: (c["ord"] <= i) & (c["id"] == F.get(messages, i)["tool_call_id"])), named(i)["name"]).alias("name"), F.get(messages, i)["content"].alias("text")))
 
 
