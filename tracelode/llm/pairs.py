@@ -300,7 +300,7 @@ def find_defects(question: str | None, answer: str | None) -> list[str]:
 def _last(messages: str, role: str):
     """Of the last message with ``role``: a struct with its content, null if there is none."""
     mine = F.filter(messages, lambda m: F.coalesce(F.regexp_replace(F.lower(m["role"]), r"[\s\p{Z}]", "").isin(*_ROLES[role]), F.lit(False)))
-    return F.when(F.size(mine) > 0, F.struct(F.element_at(mine, -1)["content"].alias("content")))
+    return F.when(F.size(mine) > 0, F.struct(F.try_element_at(mine, F.lit(-1))["content"].alias("content")))
 
 
 def pairs(traces: DataFrame) -> DataFrame:
@@ -333,4 +333,4 @@ def defects(traces: DataFrame) -> DataFrame:
 
 def first_defects(traces: DataFrame) -> DataFrame:
     """The defective traces with their first defect: trace_id, defect."""
-    return _judged(traces).where(F.size("defects") > 0).select("trace_id", F.element_at("defects", 1).alias("defect"))
+    return _judged(traces).where(F.size("defects") > 0).select("trace_id", F.try_element_at("defects", F.lit(1)).alias("defect"))
