@@ -99,13 +99,20 @@ def advantages(rewards: DataFrame, key: str, group: str, reward: str = "reward")
     their deviation plus EPSILON. A reward alone in its group is its own advantage; two have no
     deviation of others, which counts as 0. Groups are summed and joined back, not windowed.
     """
-    r = rewards.where(F.col(reward).isNotNull()).select(key, group, F.col(reward).alias("r"))
-    sums = r.groupBy(group).agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"), F.stddev_samp("r").alias("sd"))
-    j = r.join(sums.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g")))
-    n, s, q, x = F.col("n"), F.col("s"), F.col("q"), F.col("r")
-    grpo = F.when(n == 1, x).otherwise((x - s / n) / (F.col("sd") + EPSILON))
+    r = rewards.where(F.col(reward).isNotNull()).select(key, group, F.col(reward).cast("double").alias("r"))
+    counted = r.groupBy(F.col(group).alias("__g"), "r").agg(F.count("*").alias("c"))
+    sums = counted.groupBy("__g").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("r")).alias("s"), F.sum(F.col("c") * F.col("r") * F.col("r")).alias("q"),
+        F.min("r").alias("lo"), F.max("r").alias("hi"), F.min_by("c", "r").alias("n_lo"), F.max_by("c", "r").alias("n_hi"),
+    )
+    j = r.join(sums, F.col(group).eqNullSafe(F.col("__g")))
+    n, s, q, x, lo, hi = (F.col(c) for c in ("n", "s", "q", "r", "lo", "hi"))
+    # Equal rewards deviate by nothing, not by what rounding leaves of the difference of sums.
+    others_equal = (lo == hi) | ((F.col("n_hi") == n - 1) & (x < hi)) | ((F.col("n_lo") == n - 1) & (x > lo))
+    sd = F.when(lo == hi, 0.0).otherwise(F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
+    grpo = F.when(n == 1, x).otherwise((x - s / n) / (sd + EPSILON))
     mean = (s - x) / (n - 1)
-    var = F.when(n > 2, F.greatest(((q - x * x) - (n - 1) * mean * mean) / (n - 2), F.lit(0.0))).otherwise(0.0)
+    var = F.when((n <= 2) | others_equal, 0.0).otherwise(F.greatest(((q - x * x) - (n - 1) * mean * mean) / (n - 2), F.lit(0.0)))
     loo = F.when(n == 1, x).otherwise((x - mean) / (F.sqrt(var) + EPSILON))
     return j.select(key, group, grpo.alias("grpo"), loo.alias("loo"))
 
