@@ -111,7 +111,7 @@ _SENTENCES = re.compile(r"(?<=[.!?…。])[\"“”»')\]]*\s+|\n+")
 def refuses(answer: str) -> bool:
     """Whether every sentence of ``answer`` declines or is a courtesy, and one at least declines."""
     bare = _QUOTED.sub(" ", answer)
-    if _EVIDENCE.search(bare):
+    if _EVIDENCE.search(answer) and _EVIDENCE.search(bare):
         return False
     said = [s for s in _SENTENCES.split(bare) if seen(s)]
     declined = [bool(_REFUSES.search(s.replace("’", "'"))) for s in said]
@@ -144,10 +144,10 @@ def copies(question: str, answer: str) -> bool:
     q, a = words(question), words(answer)
     if not q or not a:
         return False
-    has, left = Counter(q), []
-    for w in a:
-        if w not in has:
-            left.append(w)
+    has = set(q)
+    left = [w for w in a if w not in has]
+    if len(left) > max(4, len(a) // 2):  # no copy has so many words of its own, however they are spelled
+        return False
     new = [w for w in left if not any(_near(w, x) for x in has)]
     if len(new) > max(2, len(a) // 10):
         return False
@@ -166,33 +166,27 @@ _SHORT = re.compile(r"^(?:[A-Z]{2}-[\w-]*\d|[\d.,:%/\s€$-]*\d|\w[\w&.'’-]*(?
 _OPENS = re.compile(r"(?:\b(?:under|following|by|unter|folgende|sous|bajo|siguientes)|[:,;–—-])$", re.I)
 
 
+_MARKS = re.compile("[()\\[\\]{}„“”«»‚\"]")
+#: What each closing mark closes; “ and " open as well, unless they close.
+_CLOSES = {")": "(", "]": "[", "}": "{", "”": "“„", "»": "«"}
+
+
 def _unclosed(text: str) -> bool:
     """Whether a fence, a bracket or a quotation is still open at the end."""
     if text.count("```") % 2:
         return True
-    stack = []
-    pairs = {")": "(", "]": "[", "}": "{"}
-    for i, c in enumerate(text):
+    stack: list[str] = []
+    for c in _MARKS.findall(text):
+        top = stack[-1] if stack else ""
         if c in "([{„«‚":
             stack.append(c)
-        elif c == "“":
-            if stack and stack[-1] == "„":
-                stack.pop()
-            else:
-                stack.append(c)
-        elif c == "”":
-            if stack and stack[-1] in "“„":
+        elif c in _CLOSES:
+            if top and top in _CLOSES[c]:
                 stack.pop()
-        elif c == "»":
-            if stack and stack[-1] == "«":
-                stack.pop()
-        elif c == '"':
-            if stack and stack[-1] == '"':
-                stack.pop()
-            else:
-                stack.append(c)
-        elif c in pairs and stack and stack[-1] == pairs[c]:
+        elif top and top == {"“": "„", '"': '"'}[c]:
             stack.pop()
+        else:
+            stack.append(c)
     return bool(stack)
 
 
@@ -225,6 +219,7 @@ COMMON = {
     "es": "el la los las del de que y en un una por con no se su para al lo como fue había habían pero más cuando solo sobre antes después según quién cómo durante entre sin está yo él ella cuenta cuántas cuántos qué cuál dónde a",
 }
 _COMMON = {k: set(v.split()) for k, v in COMMON.items()}
+_LANGUAGES = {w: [k for k, v in _COMMON.items() if w in v] for w in set().union(*_COMMON.values())}
 _ELIDED = re.compile("(?:[cdjlmnst]|qu|jusqu)['’]")
 _NAMES = {
     "en": r"english|englisch\w*|anglais|inglés",
@@ -234,27 +229,31 @@ _NAMES = {
 }
 _ASKED = {k: re.compile(rf"\b(?:in|into|auf|en|to|ins?|language|idioma|langue|Sprache|au|al|reads?|speaks?|only)\s(?:\w+\s){{0,2}}?(?:{v})\b|\b(?:{v})\b", re.I) for k, v in _NAMES.items()}
 _SCRIPTS = {
-    "cyrillic": re.compile(r"[Ѐ-ӿ]"), "greek": re.compile(r"[Ͱ-Ͽ]"), "arabic": re.compile(r"[؀-ۿ]"), "hebrew": re.compile(r"[֐-׿]"),
-    "han": re.compile(r"[぀-ヿ㐀-鿿]"), "hangul": re.compile(r"[가-힯]"), "thai": re.compile(r"[฀-๿]"), "devanagari": re.compile(r"[ऀ-ॿ]"),
-    "latin": re.compile(r"[A-Za-zÀ-ɏ]"),
+    "cyrillic": re.compile(r"[\u0400-\u04ff]"), "greek": re.compile(r"[\u0370-\u03ff]"), "arabic": re.compile(r"[\u0600-\u06ff]"), "hebrew": re.compile(r"[\u0590-\u05ff]"),
+    "han": re.compile(r"[\u3040-\u30ff\u3400-\u9fff]"), "hangul": re.compile(r"[\uac00-\ud7af]"), "thai": re.compile(r"[\u0e00-\u0e7f]"), "devanagari": re.compile(r"[\u0900-\u097f]"),
+    "latin": re.compile(r"[A-Za-z\u00c0-\u024f]"),
 }
+_OTHER = re.compile("|".join(p.pattern for s, p in _SCRIPTS.items() if s != "latin"))
 
 
 def language(text: str) -> str | None:
     """The language of a text outside quotations, or its script if that isn't Latin; None if too little tells."""
     bare = _QUOTED.sub(" ", text)
-    letters = {s: len(p.findall(bare)) for s, p in _SCRIPTS.items()}
-    main = max(letters, key=letters.get)
-    if not letters[main]:
-        return None
-    if main != "latin":
-        return main
-    counts = Counter(words(bare))
-    score = {lang: sum(counts[w] for w in common) for lang, common in _COMMON.items()}
-    score["fr"] += sum(n for w, n in counts.items() if _ELIDED.match(w))
-    score["es"] += len(re.findall("[¿¡]", bare))
+    if not bare.isascii() and _OTHER.search(bare):
+        letters = {s: len(p.findall(bare)) for s, p in _SCRIPTS.items()}
+        main = max(letters, key=letters.get)
+        if main != "latin":
+            return main
+    score, n = dict.fromkeys(_COMMON, 0), 0
+    for w in words(bare):
+        n += 1
+        for lang in _LANGUAGES.get(w, ()):
+            score[lang] += 1
+        if w[1:2] in "'’" and _ELIDED.match(w) or w.startswith(("qu'", "qu’", "jusqu")) and _ELIDED.match(w):
+            score["fr"] += 1
+    score["es"] += bare.count("¿") + bare.count("¡")
     best, second = sorted(score, key=score.get, reverse=True)[:2]
-    if score[best] < 2 or score[best] < 1.25 * score[second] or score[best] < 0.08 * counts.total():
+    if score[best] < 2 or score[best] < 1.25 * score[second] or score[best] < 0.08 * n:
         return None
     return best
 
@@ -269,10 +268,8 @@ def _sentence_languages(text: str) -> Counter:
 
 def other_language(question: str, answer: str) -> bool:
     """Whether ``answer`` is in another language than ``question``, which doesn't ask for that one."""
-    tail = [s for s in _SENTENCES.split(question) if words(s)]
-    asks = language(question) or (language(tail[-1]) if tail else None)
-    spoken = _sentence_languages(answer)
-    says = language(answer) or (spoken.most_common(1)[0][0] if spoken else None)
+    asks = language(question) or next((lang for s in reversed(_SENTENCES.split(question)) if words(s) for lang in [language(s)]), None)
+    says = language(answer) or next((lang for lang, _ in _sentence_languages(answer).most_common(1)), None)
     if asks is None or says is None or asks == says:
         return False
     return not (says in _ASKED and _ASKED[says].search(question))
