@@ -21,8 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelode.runtime import checkpointed, partitions
+from tracelode.schemas import ddl
 
 #: Spellings of a role, compared without case and outer spaces (fixed values).
 ROLES = {"user": "user", "human": "user", "assistant": "assistant", "model": "assistant", "toolresult": "tool", "tool": "tool", "system": "system"}
@@ -128,7 +130,7 @@ def place(msgs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, node, user = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, node, user = b.column("id"), b.column("node").to_numpy(), pc.fill_null(pc.equal(b.column("role"), "user"), False).to_numpy(zero_copy_only=False).astype(np.int64)
             new = np.ones(b.num_rows, bool)
             new[1:] = pc.not_equal(ids.slice(1), ids.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
             start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), 0))
@@ -147,10 +149,10 @@ def place(msgs: DataFrame) -> DataFrame:
             end = ids[b.num_rows - 1].as_py()
             same = head[0] == end and start[-1] == 0
             head = (end, int(ptr[-1]), head[2] if same else True, int(hops[-1]), int(users[-1]))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ptr), pa.array(hops), pa.array(users), pa.array(open_)], names=["node", "head", "hops", "users", "open"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ptr), pa.array(hops), pa.array(users), pa.array(open_)], names=[*b.schema.names, "head", "hops", "users", "open"])
 
-    linked = nodes.select("id", "node", (F.coalesce(F.col("role") == "user", F.lit(False))).alias("u")).mapInArrow(link, "node bigint, head bigint, hops bigint, users bigint, open boolean")
-    linked = checkpointed(linked)
+    added = ddl("head bigint, hops bigint, users bigint, open boolean")
+    linked = nodes.mapInArrow(link, T.StructType([*nodes.schema.fields, *added.fields]))
     # A run that goes on from another task: its first message points to that task's last one.
     tails = spark.createDataFrame([(t << 33, n) for t, (_, n) in before.items() if n is not None], "head_node bigint, tail bigint")
     at_tail = linked.join(F.broadcast(tails), F.col("node") == F.col("tail")).select(F.col("head_node").alias("node"), F.col("open").alias("more"), F.col("head").alias("next"), (F.col("hops") + 1).alias("hops"), "users")
@@ -159,10 +161,9 @@ def place(msgs: DataFrame) -> DataFrame:
     if not edges.where("ptr IS NOT NULL").isEmpty():
         edges = jump(edges, len(ends))
     add = F.broadcast(edges.select(F.col("node").alias("h"), F.col("hops").alias("more_hops"), F.col("users").alias("more_users")))  # at most one row a task
-    places = linked.join(add, F.col("open") & (F.col("head") == F.col("h")), "left").select(
-        "node", (F.col("hops") + F.coalesce("more_hops", F.lit(0))).alias("pos"), (F.col("users") + F.coalesce("more_users", F.lit(0))).alias("turn")
+    timed = linked.join(add, F.col("open") & (F.col("head") == F.col("h")), "left").select(
+        *msgs.columns, (F.col("hops") + F.coalesce("more_hops", F.lit(0))).alias("pos"), (F.col("users") + F.coalesce("more_users", F.lit(0))).alias("turn")
     )
-    timed = nodes.join(places, "node").drop("node")
     untimed = msgs.where("instant IS NULL").withColumn("pos", F.lit(None).cast("bigint")).withColumn("turn", F.lit(None).cast("bigint"))
     return timed.unionByName(untimed)
 
