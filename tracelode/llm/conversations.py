@@ -117,8 +117,9 @@ def place(msgs: DataFrame) -> DataFrame:
     Messages without instant have no place: pos and turn are null.
     """
     spark = msgs.sparkSession
-    timed = msgs.where("instant IS NOT NULL").repartitionByRange(partitions(spark), "id", "instant", "row").sortWithinPartitions("id", "instant", "row")
-    nodes = checkpointed(timed.withColumn("node", F.monotonically_increasing_id()))
+    order = [F.col("id"), F.col("instant").asc_nulls_last(), F.col("row")]  # so that messages without instant, at the end, count for no other
+    ordered = msgs.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    nodes = checkpointed(ordered.withColumn("node", F.monotonically_increasing_id()))
     ends = nodes.groupBy(F.shiftright("node", 33).alias("task")).agg(F.max(F.struct("node", "id")).alias("last")).select("task", "last.*").orderBy("task").collect()  # one row a task
     before, last = {}, (None, None)
     for r in ends:
@@ -161,11 +162,8 @@ def place(msgs: DataFrame) -> DataFrame:
     if not edges.where("ptr IS NOT NULL").isEmpty():
         edges = jump(edges, len(ends))
     add = F.broadcast(edges.select(F.col("node").alias("h"), F.col("hops").alias("more_hops"), F.col("users").alias("more_users")))  # at most one row a task
-    timed = linked.join(add, F.col("open") & (F.col("head") == F.col("h")), "left").select(
-        *msgs.columns, (F.col("hops") + F.coalesce("more_hops", F.lit(0))).alias("pos"), (F.col("users") + F.coalesce("more_users", F.lit(0))).alias("turn")
-    )
-    untimed = msgs.where("instant IS NULL").withColumn("pos", F.lit(None).cast("bigint")).withColumn("turn", F.lit(None).cast("bigint"))
-    return timed.unionByName(untimed)
+    timed = lambda c, more: F.when(F.col("instant").isNotNull(), F.col(c) + F.coalesce(more, F.lit(0)))
+    return linked.join(add, F.col("open") & (F.col("head") == F.col("h")), "left").select(*msgs.columns, timed("hops", "more_hops").alias("pos"), timed("users", "more_users").alias("turn"))
 
 
 # --- verdicts -----------------------------------------------------------------------------------
