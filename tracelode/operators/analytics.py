@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.functions.arrays import indices, mask_runs
+from tracelode.functions.arrays import ends_with, indices, let, mask_runs, segments
 from tracelode.functions.text import citations, flat_content
 
 EPSILON = 1e-6
@@ -135,3 +135,24 @@ def collection(traces: DataFrame, by: str) -> DataFrame:
         F.count("*").alias("n"), F.round(F.avg("n_response"), 4).alias("mean_response"), F.min("n_response").alias("min_response"), F.max("n_response").alias("max_response"),
         F.sum("n_trained").alias("n_trained"), F.count_if(F.col("reward") != 0).alias("rewarded"), F.count("reward").alias("graded"),
     )
+
+
+def marked_tokens(traces: DataFrame, opens: int, closes: int) -> DataFrame:
+    """Of each distinct trace the ids in stretches between two marks: trace_id, blocks, inside, trained_inside, share of the trained ids."""
+    on = lambda i: F.coalesce(F.get("loss_mask", i) == 1, F.lit(False))
+    s = segments(F.col("response_ids"), opens, closes)
+    inside = F.aggregate(s, F.lit(0), lambda n, x: n + x["end"] - x["start"])
+    within = F.aggregate(s, F.lit(0), lambda n, x: n + F.size(F.filter(F.sequence(x["start"], x["end"] - 1), on)))
+    rows = traces.select("trace_id", F.greatest(F.size(s), F.lit(0)).alias("blocks"), F.coalesce(inside, F.lit(0)).alias("inside"), F.coalesce(within, F.lit(0)).alias("trained_inside"), trained(F.col("loss_mask")).alias("n"))
+    one = once(rows, "trace_id", ["blocks", "inside", "trained_inside", "n"])
+    return one.withColumn("share", F.round(F.when(F.col("n") > 0, F.col("trained_inside") / F.col("n")).otherwise(0.0), 6)).drop("n")
+
+
+def opening_kinds(rows: DataFrame, keys: list[str], kinds: dict[str, list[int]]) -> DataFrame:
+    """keys, kind, n: the turns of each row by the first of ``kinds`` (name to ids) that the ids before them end with, else other."""
+    ids = F.concat(F.coalesce("prompt_ids", F.array().cast("array<int>")), F.coalesce("response_ids", F.array().cast("array<int>")))
+    at = F.greatest(F.size("prompt_ids"), F.lit(0))
+    before = lambda a, r: F.slice(a, F.lit(1), at + r["start"])
+    name = lambda a: F.coalesce(*[F.when(ends_with(a, F.array(*[F.lit(x) for x in t])), F.lit(k)) for k, t in kinds.items()], F.lit("other"))
+    told = let(ids, lambda a: F.transform(mask_runs(F.col("loss_mask")), lambda r: let(before(a, r), name)))
+    return rows.select(*keys, F.explode(told).alias("kind")).groupBy(*keys, "kind").agg(F.count("*").alias("n"))

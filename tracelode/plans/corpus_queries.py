@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as TX
+from tracelode.operators import compare as K
 from tracelode.operators import corpus as C
 from tracelode.sources.tables import table
 
@@ -75,6 +76,21 @@ def page_census(spark: SparkSession, root: str) -> DataFrame:
     return C.page_census(table(spark, root, "chunks"))
 
 
+def prefix_census(spark: SparkSession, root: str) -> DataFrame:
+    """Whether chunks hold every page up to each task's timestep."""
+    return K.prefix_census(table(spark, root, "chunks"), _tasks(spark, root))
+
+
+def census_diff(spark: SparkSession, root: str) -> DataFrame:
+    """Each case's pages as the documents have them against those of the chunks."""
+    count = lambda name: table(spark, root, name).where("case_id IS NOT NULL AND page IS NOT NULL").groupBy("case_id").agg(F.countDistinct("page").alias("n_pages"), F.max("page").alias("max_page"))
+    return K.census_diff(count("documents"), count("chunks"), "case_id", ["n_pages", "max_page"])
+
+
+def task_bag_diff(spark: SparkSession, root: str) -> DataFrame:
+    return K.bag_diff(_tasks(spark, root).select("case_id", "timestep", "prompt_id"), _doctored(spark, root).select("case_id", "timestep", "prompt_id"))
+
+
 def prefix_divergence(spark: SparkSession, root: str) -> DataFrame:
     """Documents of one case and page, the versions in order of doc_id, as timesteps."""
     d = table(spark, root, "documents").where("case_id IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL")
@@ -111,7 +127,7 @@ def byte_stream(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    task_table, task_rows, task_table_diff, task_verify, task_duplicates, task_row_at, task_requests, split_counts, split_overlap, cases_without_tasks, page_census, prefix_divergence, content_hashes,
+    task_table, task_rows, task_table_diff, task_verify, task_duplicates, task_row_at, task_requests, split_counts, split_overlap, cases_without_tasks, page_census, prefix_census, census_diff, task_bag_diff, prefix_divergence, content_hashes,
     identifiers, url_credentials, chunk_pages, byte_stream)}
 
 _DOCTORED = """
@@ -147,6 +163,13 @@ SELECT "check", coalesce(n, 0)::BIGINT AS n, coalesce(n, 0) = 0 AS passed FROM (
     "page_census": """SELECT case_id, count(DISTINCT page) AS n_pages, max(page) AS max_page,
   array_to_string(list_filter(range(1, max(page)::BIGINT + 1), lambda p: NOT list_contains(list(DISTINCT page), p)), ',') AS missing, count(DISTINCT page) FILTER (WHERE page >= 1) = greatest(max(page), 0) AS contiguous
 FROM chunks WHERE case_id IS NOT NULL AND page IS NOT NULL GROUP BY case_id""",
+    "prefix_census": """WITH t AS (SELECT DISTINCT case_id, timestep FROM tasks), p AS (SELECT DISTINCT case_id, page FROM chunks)
+SELECT t.case_id, timestep, count(page) AS n_pages, count(page) = timestep AS complete FROM t LEFT JOIN p ON p.case_id = t.case_id AND page BETWEEN 1 AND timestep GROUP BY t.case_id, timestep""",
+    "census_diff": """WITH d AS (SELECT case_id, count(DISTINCT page) AS n, max(page) AS m FROM documents WHERE case_id IS NOT NULL AND page IS NOT NULL GROUP BY 1), c AS (SELECT case_id, count(DISTINCT page) AS n, max(page) AS m FROM chunks WHERE case_id IS NOT NULL AND page IS NOT NULL GROUP BY 1)
+SELECT case_id, 'not_wanted' AS finding FROM d ANTI JOIN c USING (case_id) UNION ALL SELECT case_id, 'not_served' FROM c ANTI JOIN d USING (case_id)
+UNION ALL SELECT d.case_id, 'differs:n_pages' FROM d JOIN c USING (case_id) WHERE d.n <> c.n UNION ALL SELECT d.case_id, 'differs:max_page' FROM d JOIN c USING (case_id) WHERE d.m <> c.m""",
+    "task_bag_diff": _DOCTORED + """ SELECT 'a' AS side, * FROM (SELECT case_id, timestep, prompt_id FROM tasks EXCEPT ALL SELECT case_id, timestep, prompt_id FROM doctored)
+UNION ALL SELECT 'b', * FROM (SELECT case_id, timestep, prompt_id FROM doctored EXCEPT ALL SELECT case_id, timestep, prompt_id FROM tasks)""",
     "prefix_divergence": """WITH v AS (SELECT case_id, doc_id // 250 + 1 AS t, page, sha256(arg_min(text, doc_id)) AS sha FROM documents WHERE case_id IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
 s AS (SELECT case_id, t, lead(t) OVER (PARTITION BY case_id ORDER BY t) AS next_t FROM (SELECT DISTINCT case_id, t FROM v))
 SELECT a.case_id, a.t, s.next_t, a.page FROM v a JOIN s USING (case_id, t) JOIN v b ON b.case_id = a.case_id AND b.t = s.next_t AND b.page = a.page WHERE a.sha <> b.sha""",

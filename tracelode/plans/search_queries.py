@@ -96,7 +96,7 @@ def tool_log(spark: SparkSession, root: str) -> DataFrame:
     """The tool-call lines in log documents, read as JSON: calls, mean latency and known case by tool."""
     lines = table(spark, root, "documents").where("kind = 'log' AND text IS NOT NULL").select(F.explode(F.split("text", "\n")).alias("line"))
     j = F.from_json("line", "event string, case_id string, tool string, k int, latency_ms double, broken string", {"columnNameOfCorruptRecord": "broken"})
-    whole = lines.where(F.regexp_replace("line", r"^\s+|\s+$", "").rlike(r"^\{.*\}$"))  # what follows an object makes the line none
+    whole = lines.where(F.regexp_replace("line", r"^\s+|\s+\z", "").rlike(r"^\{.*\}\z"))  # what follows an object makes the line none
     rows = whole.select(j.alias("j")).select("j.*").where("broken IS NULL AND event = 'tool_call' AND tool IS NOT NULL")
     return rows.groupBy("tool").agg(F.count("*").alias("calls"), F.count("case_id").alias("cased"), F.sum("k").alias("k"), F.round(F.sum("latency_ms"), 2).alias("latency_ms"))
 

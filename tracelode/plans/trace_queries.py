@@ -13,6 +13,7 @@ from tracelode.functions.arrays import first_divergence, mask_runs, segments
 from tracelode.functions.text import END, TOOL, flat_content, stub_logprobs
 from tracelode.functions.wire import canonical_hash
 from tracelode.operators import analytics as A
+from tracelode.operators import compare as K
 from tracelode.operators import envelopes as E
 from tracelode.operators import rules as R
 from tracelode.operators import trajectory as J
@@ -220,6 +221,24 @@ def collection_comparison(spark: SparkSession, root: str) -> DataFrame:
     return A.collection(_traces(spark, root).withColumn("split", F.coalesce("split", F.lit("none"))), "split")
 
 
+def marked_tokens(spark: SparkSession, root: str) -> DataFrame:
+    """Ids of tool results within responses; none of them should be trained."""
+    return A.marked_tokens(_traces(spark, root), TOOL, END)
+
+
+def opening_kinds(spark: SparkSession, root: str) -> DataFrame:
+    return A.opening_kinds(_delivered(spark, root), _KEYS, {"assistant": [258], "end": [END]})
+
+
+def redelivery_changes(spark: SparkSession, root: str) -> DataFrame:
+    """By which members a later delivery of a session and task differs from its first."""
+    body = F.to_json(F.struct("status", F.col("timing.init_ms").alias("init_ms"), F.col("timing.run_ms").alias("run_ms"), "node_id"))
+    d = _deliveries(spark, root).where("session_id IS NOT NULL").select("delivery_id", "session_id", "task_id", body.alias("body"))
+    first = d.groupBy("session_id", "task_id").agg(F.min(F.struct("delivery_id", "body")).alias("f"))
+    later = d.join(first, ["session_id", "task_id"]).where("delivery_id > f.delivery_id")
+    return K.member_diff(later, "delivery_id", F.col("f.body"), F.col("body"))
+
+
 def message_texts(spark: SparkSession, root: str) -> DataFrame:
     """The flattened text of every prompt message, by its length and hash."""
     m = _traces(spark, root).dropDuplicates(["trace_id"]).select("trace_id", F.posexplode("prompt_messages").alias("ord", "m"))
@@ -230,7 +249,7 @@ def message_texts(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     logprob_discipline, trace_tripwires, page_cutoff_gate, turn_opening_tail, chain_snapshot_gate, admission_gate, prompt_source_gate, system_prompt_gate, workspace_gate, raw_mask_gate, accept_quarantine,
     disposition_counts, streaming_validate, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, session_findings,
-    episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, collection_comparison, message_texts)}
+    episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, collection_comparison, message_texts, marked_tokens, opening_kinds, redelivery_changes)}
 
 
 _T = "tr AS (SELECT * FROM traces QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_at) = 1)"
@@ -362,4 +381,10 @@ SELECT session_id, delivery_id, coalesce(list_filter(range(0, least(len(a), len(
     WHEN json_type(m, '$.trajectory') IS DISTINCT FROM 'OBJECT' THEN 'no_trajectory' END AS reason FROM members)
 UNION ALL SELECT body_id, -1, NULL, false, 'no_member' FROM wire_bodies WHERE body_id NOT IN (SELECT body_id FROM members)""",
 }
+_CHANGE = "CASE WHEN {0} IS NOT DISTINCT FROM f.{0} THEN NULL WHEN {0} IS NULL THEN 'only_a' WHEN f.{0} IS NULL THEN 'only_b' ELSE 'changed' END"
+ORACLE["redelivery_changes"] = """WITH d AS (SELECT delivery_id, session_id, task_id, status, timing.init_ms AS init_ms, timing.run_ms AS run_ms, node_id FROM pi_polar_task_status WHERE session_id IS NOT NULL),
+f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY session_id, task_id ORDER BY delivery_id) = 1), j AS (""" + " UNION ALL ".join(
+    f"SELECT d.delivery_id, '{c}' AS member, {_CHANGE.format(c).replace(f'WHEN {c} IS', f'WHEN d.{c} IS')} AS change FROM d JOIN f ON f.session_id = d.session_id AND f.task_id = d.task_id WHERE d.delivery_id > f.delivery_id" for c in ("status", "init_ms", "run_ms", "node_id")) + ") SELECT * FROM j WHERE change IS NOT NULL"
+_LAST = "CASE WHEN s[q] > 0 THEN r[s[q]] ELSE p[-1] END"
+ORACLE["opening_kinds"] = _RUNS + f""" SELECT delivery_id, trace_no, CASE {_LAST} WHEN 258 THEN 'assistant' WHEN 260 THEN 'end' ELSE 'other' END AS kind, count(*) AS n FROM x, unnest(range(1, len(s) + 1)) AS u(q) GROUP BY ALL"""
 ORACLE["envelope_members"] = f"WITH s AS ({ORACLE['envelope_screen']}) SELECT body_id, max(member_no) AS member_no, session_id FROM s WHERE body_id NOT IN (SELECT body_id FROM s WHERE NOT fit) GROUP BY body_id, session_id"
