@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.operators.dedup import unused
@@ -29,16 +30,18 @@ PLACEHOLDER, FILLER, ERROR, SCRIPT = "placeholder", "filler", "error", "script"
 #: A line is boilerplate of its host if it is in this share of the host's documents, and in so many at least.
 SHARE, LEAST = 0.2, 20
 
-#: What ends a line, and what isn't seen; as ``normalise`` has it.
-_ENDS, _UNSEEN = r"\r\n?|[\n\u000B\f\u0085\u2028\u2029]", r"[\u200B\u200C\u200D\u2060\uFEFF\u00AD]"
-_HIDDEN, _BREAK = re.compile(_UNSEEN), re.compile("\r\n?|[\x0b\x0c\x85\u2028\u2029]")
-_SPACE = re.compile(r"[^\S\n]+")
+#: What isn't seen, and what ends a line.
+_HIDDEN, _BREAK = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]"), re.compile("\r\n?|[\x0b\x0c\x85\u2028\u2029]")
+_FIGURES = re.compile("[0-9]+")
+_SPACE, _ODD_SPACE = re.compile(r"[^\S\n]+"), re.compile(r"[^\S\n ]|  ")
 
 
 def normalise(text: str) -> list[str]:
     """The lines of a text without invisible characters, with plain spaces and apostrophes."""
     text = _HIDDEN.sub("", _BREAK.sub("\n", text)).replace("\u2019", "'").replace("\u00b4", "'")
-    return [line.strip() for line in _SPACE.sub(" ", text).split("\n")]
+    if _ODD_SPACE.search(text):
+        text = _SPACE.sub(" ", text)
+    return [line.strip() for line in text.split("\n")]
 
 
 # --- what a sentence speaks of ---------------------------------------------------------------------
@@ -102,13 +105,11 @@ _FIELD_NAMES = set(
 
 
 #: Without one of these a sentence holds no field, or no word for scripts; looked for first.
-_MAY_FIELD = re.compile(r"[\[{<«%@#$]|__|\((?!page:)|\b(?:TODO|FIXME|TBD)\b", re.I)
-_MAY_SCRIPT = re.compile(r"script|skript|\bjs\b|guiones|comandos", re.I)
+_MAY_FIELD = re.compile(r"[\[{<«%@#$]|__|\((?!page:)|[Tt](?:ODO|odo|BD|bd)|F(?:IXME|ixme)|fixme")
+_MAY_SCRIPT = ("script", "js", "skript", "guiones", "comandos")
 
 
 def _has_field(sentence: str) -> bool:
-    if not _MAY_FIELD.search(sentence):
-        return False
     for m in _FIELD.finditer(sentence):
         t = m.group()
         if _REMARK.match(t):
@@ -269,14 +270,16 @@ def _line_kind(line: str) -> str | None:
         return FILLER
     if _ERROR_LINE.match(bare):
         return ERROR
+    low = bare.lower()
+    may_field, may_script = _MAY_FIELD.search(bare), any(w in low for w in _MAY_SCRIPT)
     for s in _SENTENCE.split(_QUOTED.sub(" ", bare)):
         if not s:
             continue
-        if _has_field(s) and not _ON_FIELDS.search(_FIELD.sub(' ', s)):
+        if may_field and _has_field(s) and not _ON_FIELDS.search(_FIELD.sub(' ', s)):
             return PLACEHOLDER
         if len(s) > 400:
             continue
-        said = FILLER if _FILLER.match(s) else ERROR if _ERROR_SENTENCE.match(s) else SCRIPT if _MAY_SCRIPT.search(s) and _SCRIPT_SENTENCE.match(s) else None
+        said = FILLER if _FILLER.match(s) else ERROR if _ERROR_SENTENCE.match(s) else SCRIPT if may_script and _SCRIPT_SENTENCE.match(s) else None
         if said and not tells(s):
             return said
     return None
@@ -285,10 +288,9 @@ def _line_kind(line: str) -> str | None:
 # --- the operator ----------------------------------------------------------------------------------
 
 
-def line_key(line: Column) -> Column:
-    """A line as it is counted: without case, figures, invisible characters and spaces at its ends."""
-    plain = F.regexp_replace(F.regexp_replace(F.translate(line, "\u2019\u00b4", "''"), _UNSEEN, ""), r"[\s\p{Z}]+", " ")
-    return F.xxhash64(F.regexp_replace(F.lower(F.trim(plain)), r"[0-9]+", "0"))
+def line_key(line: str) -> int:
+    """A normalised line as it is counted: 64 bits of a hash, without case and figures."""
+    return int.from_bytes(blake2b(_FIGURES.sub("0", line.lower()).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def line_counts(documents: DataFrame) -> DataFrame:
@@ -296,9 +298,19 @@ def line_counts(documents: DataFrame) -> DataFrame:
 
     Map-side sums leave one row a line and task, so a line that is in every document isn't hot.
     """
-    lines = F.split(F.col("text"), _ENDS)
-    seen = F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), line_key))
-    return documents.select("source", F.explode(seen).alias("line")).groupBy("source", "line").agg(F.count("*").alias("docs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parent, keys = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if text:
+                    mine = {line_key(x) for x in normalise(text) if x}
+                    keys += mine
+                    parent += [i] * len(mine)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parent, pa.int64())), pa.array(keys, pa.int64())], names=["source", "line"])
+
+    lines = documents.select(F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "source string, line bigint")
+    return lines.groupBy("source", "line").agg(F.count("*").alias("docs"))
 
 
 def boilerplate(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -309,7 +321,7 @@ def boilerplate(documents: DataFrame, share: float = SHARE, least: int = LEAST)
 
 
 def search(documents: DataFrame) -> DataFrame:
-    """Every line of ``documents`` with evidence: doc_id, source, line_no (from 0), kind, line (its text)."""
+    """Every line of ``documents`` with evidence: doc_id, source, line_no (from 0), kind, line (hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -319,18 +331,18 @@ def search(documents: DataFrame) -> DataFrame:
                     parent.append(i)
                     no.append(n)
                     kinds.append(kind)
-                    lines.append(line)
+                    lines.append(line_key(line))
             at = pa.array(parent, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(kinds, pa.string()), pa.array(lines, pa.string())], names=["doc_id", "source", "line_no", "kind", "line"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(kinds, pa.string()), pa.array(lines, pa.int64())], names=["doc_id", "source", "line_no", "kind", "line"])
 
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id bigint, source string, line_no int, kind string, line string")
+    return rows.mapInArrow(run, "doc_id bigint, source string, line_no int, kind string, line bigint")
 
 
 def residual_evidence(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """The evidence that is left when each host's boilerplate is subtracted: as ``search`` has it."""
     common = boilerplate(documents, share, least).select(F.col("source").alias("host"), F.col("line").alias("known"))
-    return search(documents).join(common, F.col("source").eqNullSafe(F.col("host")) & (line_key(F.col("line")) == F.col("known")), "left_anti")
+    return search(documents).join(common, F.col("source").eqNullSafe(F.col("host")) & (F.col("line") == F.col("known")), "left_anti")
 
 
 def residue(documents: DataFrame) -> DataFrame:
