@@ -99,3 +99,66 @@ def test_marked_tokens(spark):
 def test_opening_kinds(spark):
     df = spark.createDataFrame([(1, [1, 2], [3, 7, 7, 4], [1, 0, 0, 1]), (2, None, [5], [1]), (3, [2], None, None)], "k int, prompt_ids array<int>, response_ids array<int>, loss_mask array<int>")
     assert rows(A.opening_kinds(df, ["k"], {"long": [7, 7], "short": [2]})) == [(1, "long", 1), (1, "short", 1), (2, "other", 1)]
+
+
+def test_sinks(spark, tmp_path):
+    from tracelode.sources import sinks as W
+
+    df = spark.createDataFrame([(1, "accepted", [], ("s", None)), (2, "quarantined", ["x"], ("t", 5))], "k int, disposition string, findings array<string>, r struct<session_id:string,n:int>")
+    for _ in range(2):
+        W.write_dispositions(df, str(tmp_path / "d"))
+    assert rows(spark.read.parquet(str(tmp_path / "d")).where("disposition = 'accepted'"), "k") == [(1,)]
+    W.write_sessions(df.select("r.*"), str(tmp_path / "s"))
+    assert rows(spark.read.text(str(tmp_path / "s"))) == [('{"session_id":"s"}',), ('{"session_id":"t","n":5}',)]
+    wrapped = W.quarantine(df.where("k = 2"), "r", "findings").first()["body"]
+    assert json.loads(wrapped) == {"findings": ["x"], "session_result": {"session_id": "t", "n": 5}}
+    assert json.loads(W.report(W.totals(df, "disposition"), "r")) == {"name": "r", "rows": [{"disposition": "accepted", "n": 1}, {"disposition": "quarantined", "n": 1}]}
+
+
+def test_small_functions(spark):
+    from tracelode.functions import text as X
+
+    one = lambda t, f: spark.createDataFrame([(t,)], "t string").select(f(F.col("t")).alias("x")).first()[0]
+    assert one("ab abc", lambda c: X.redact(c, ["ab", "abc", ""])) == "*** ***"
+    assert tuple(one("aXbXX", lambda c: X.substitute(c, "X", "yy"))) == ("ayybyyyy", 3)
+    for u, port in (("http://h:81/x", 81), ("https://h/x:9", 443), ("http://h", 80), ("h:5", None)):
+        assert one(u, X.url_port) == port
+    assert [one(u, X.api_root) for u in ("http://h/v1", "http://h/v1/", "http://h/v12", None)] == [True, True, False, False]
+    facts = one("x\nFACT-case_1-0004-2: A holds B.\r\nFACT-bad: no\nFACT-c-0001-1: ", X.facts)
+    assert [tuple(f) for f in facts] == [("case_1", 4, 2, "A holds B."), ("c", 1, 1, "")]
+
+
+def test_message_ids(spark):
+    from tracelode.functions import text as X
+
+    msg = "array<struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>,tool_call_id:string>>"
+    df = spark.createDataFrame([([("system", "é", None, None), None, ("user", '{"type": "text", "text": "q"}', None, None), ("assistant", None, [("i", "function", ("f", "{}"))], None), ("odd", "x", None, None)],), (None,), ([],)], f"m {msg}")
+    got = [r[0] for r in df.select(X.message_ids(F.col("m"))).collect()]
+    assert got == [[256, 195, 169, 260, 257, 113, 260, 258, 123, 125, 260, 120, 260, 258], [258], [258]]
+
+
+def test_corpus_helpers(spark):
+    import pytest
+
+    rows_ = spark.createDataFrame([("a", "train"), ("b", "eval"), ("c", None)], "case_id string, split string")
+    assert rows(C.only(rows_, ["a"])) == [("a", "train")]
+    with pytest.raises(ValueError):
+        C.only(rows_, ["a", "z"])
+    assert rows(C.split_mismatch(rows_, spark.createDataFrame([("a", "train"), ("b", "train")], "case_id string, split string"))) == [("b", "split:eval!=train"), ("c", "not_locked")]
+    src = spark.createDataFrame([("a", "t", 1, "x"), ("a", "t", 2, "y"), ("a", "t", 3, "z")], "case_id string, branch string, page int, sha256 string")
+    clone = spark.createDataFrame([("a", "t", 1, "x"), ("a", "t", 2, "n"), ("a", "t", 4, "q")], "case_id string, branch string, page int, sha256 string")
+    assert rows(C.page_diff(src, clone), "page", "finding") == [(2, "differs"), (3, "missing"), (4, "extra")]
+    req = spark.createDataFrame([([("system",), ("user",)], [1], ["stream"]), ([("user",), ("user",)], [1], ["stream"]), ([("system",), ("user",)], [], ["stream"]), ([("system",), ("user",)], [1], ["x"]), (None, None, None)], "m array<struct<role:string>>, t array<int>, k array<string>")
+    assert [r[0] for r in req.select(C.agent_shaped(F.col("m"), F.col("t"), F.col("k"))).collect()] == [True, False, False, False, False]
+
+
+def test_embedding(spark):
+    import numpy as np
+
+    from tracelode.operators import retrieval as R
+
+    df = spark.createDataFrame([(1, "aa"), (2, None), (3, "b")], "k int, t string")
+    got = dict(rows(R.embed(df, "k", "t", lambda texts: np.array([[len(t), 1.0] for t in texts]), batch=2)))
+    assert np.allclose(got[1], [2 / 5**0.5, 1 / 5**0.5]) and np.allclose(got[2], [0, 1])
+    hits = spark.createDataFrame([(3, 0.5), (9, 0.1)], "k int, score double")
+    assert rows(R.attach_pages(hits, df.withColumnRenamed("t", "text"), ["k"])) == [(3, 0.5, "b"), (9, 0.1, None)]

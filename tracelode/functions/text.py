@@ -13,6 +13,7 @@ from tracelode.functions.arrays import let
 PAGE_MEMBER, PAGE_FILE, TIMESTEP_MEMBER, CITATION = r'"page"\s*:\s*(\d+)', r"md/page_(\d{4})\.md", r'"timestep"\s*:\s*(\d+)', r"page:(\d+)"
 #: Role and end marks of the byte-level ids (fixed values).
 SYSTEM, USER, ASSISTANT, TOOL, END = 256, 257, 258, 259, 260
+FACT = r"^FACT-(.+)-([0-9]{4})-([0-9]+): (.*)$"
 WINDOW, OVERLAP = 220, 40
 _WORD = r"[ \t\r\n]*[^ \t\r\n]+"
 
@@ -110,3 +111,48 @@ def flat_content(content: Column) -> Column:
     joined = let(F.from_json(content, "array<string>"), lambda m: F.when(F.forall(m, lambda p: ~part(p) | typed(p)), F.array_join(F.transform(m, text), "")))
     start = F.substring(F.ltrim(content), 1, 1)
     return F.when(start == "{", F.coalesce(F.when(typed(content), one), content)).when(start == "[", F.coalesce(joined, content)).otherwise(content)
+
+
+def message_ids(messages: Column) -> Column:
+    """The ids of a prompt's messages: each its role's mark, the bytes of its text and of its calls' arguments, the end mark; then the assistant's mark.
+
+    A message of unknown role has no mark; a null message gives nothing.
+    """
+    marks = F.create_map(*[F.lit(x) for r, m in (("system", SYSTEM), ("user", USER), ("assistant", ASSISTANT), ("tool", TOOL)) for x in (r, m)])
+    calls = lambda m: F.coalesce(F.array_join(F.transform(m["tool_calls"], lambda c: F.coalesce(c["function"]["arguments"], F.lit(""))), ""), F.lit(""))
+    body = lambda m: byte_ids(F.concat(F.coalesce(flat_content(m["content"]), F.lit("")), calls(m)))
+    known = F.filter(messages, lambda m: m.isNotNull())
+    each = F.transform(known, lambda m: F.concat(F.filter(F.array(marks[m["role"]]), lambda x: x.isNotNull()), body(m), F.array(F.lit(END))))
+    return F.concat(F.coalesce(F.flatten(each), F.array().cast("array<int>")), F.array(F.lit(ASSISTANT)))
+
+
+def facts(text: Column) -> Column:
+    """The fact lines of a page: array of (case_id, page, k, fact)."""
+    lines = F.filter(F.split(text, r"\r\n?|\n"), lambda x: x.rlike(FACT))
+    part = lambda x, i: F.regexp_extract(x, FACT, i)
+    return F.transform(lines, lambda x: F.struct(part(x, 1).alias("case_id"), part(x, 2).cast("int").alias("page"), part(x, 3).cast("int").alias("k"), part(x, 4).alias("fact")))
+
+
+def redact(text: Column, secrets: list[str]) -> Column:
+    """A text with each secret replaced by ***, longer ones first; empty secrets are passed over."""
+    for s in sorted(filter(None, secrets), key=len, reverse=True):
+        text = F.replace(text, F.lit(s), F.lit("***"))
+    return text
+
+
+def substitute(text: Column, old: str, new: str) -> Column:
+    """(text, n): a text with ``old`` replaced and how often it occurred."""
+    if not old:
+        raise ValueError("nothing to replace")
+    return F.struct(F.replace(text, F.lit(old), F.lit(new)).alias("text"), ((F.length(text) - F.length(F.replace(text, F.lit(old), F.lit("")))) / len(old)).cast("int").alias("n"))
+
+
+def url_port(url: Column) -> Column:
+    """The port of an address: the one it names, or its scheme's; null if it has neither."""
+    named = F.regexp_extract(url, r"^[^/]*://[^/]*:(\d+)(?:/|\z)", 1).try_cast("int")
+    return F.coalesce(named, F.when(url.startswith("https://"), 443).when(url.startswith("http://"), 80))
+
+
+def api_root(url: Column) -> Column:
+    """Whether an address ends in /v1, a last slash aside."""
+    return F.coalesce(url.rlike(r"/v1/?\z"), F.lit(False))

@@ -186,3 +186,30 @@ def identifier(text: Column, kind: str) -> Column:
     """Whether a name has the grammar of its kind; a trailing new line is no match."""
     pattern = {"case": r"^[a-z0-9][a-z0-9_-]*\z", "session": r"^[A-Za-z0-9][A-Za-z0-9._-]*\z", "prompt": r"^[a-z0-9][a-z0-9:_-]*\z", "page_file": r"^page_[0-9]{4}\.md\z", "timestep": r"^timestep-[1-9][0-9]*\z"}[kind]
     return F.coalesce(text.rlike(pattern), F.lit(False))
+
+
+def only(rows: DataFrame, cases: list[str]) -> DataFrame:
+    """The rows of the named cases; a name that isn't there is an error."""
+    unknown = set(cases) - {r[0] for r in rows.where(F.col("case_id").isin(cases)).select("case_id").distinct().collect()}  # at most the names given
+    if unknown:
+        raise ValueError(f"unknown cases: {', '.join(sorted(unknown))}")
+    return rows.where(F.col("case_id").isin(cases))
+
+
+def split_mismatch(rows: DataFrame, lock: DataFrame) -> DataFrame:
+    """Cases whose split isn't the lock's (case_id, split), or that the lock lacks: case_id, finding."""
+    found = rows.select("case_id", "split").distinct().join(lock.select("case_id", F.col("split").alias("locked"), F.lit(True).alias("known")), "case_id", "left")
+    return found.where(F.col("known").isNull() | ~F.col("split").eqNullSafe(F.col("locked"))).select("case_id", F.when(F.col("known").isNull(), "not_locked").otherwise(F.concat(F.lit("split:"), F.coalesce("split", F.lit("None")), F.lit("!="), F.coalesce("locked", F.lit("None")))).alias("finding"))
+
+
+def page_diff(source: DataFrame, clone: DataFrame) -> DataFrame:
+    """Pages of a source against those of its clone by case, branch and page: key and missing, extra or differs."""
+    key = ["case_id", "branch", "page"]
+    both = source.select(*key, F.col("sha256").alias("a")).join(clone.select(*key, F.col("sha256").alias("b")), key, "full_outer")
+    return both.select(*key, F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") != F.col("b"), "differs").alias("finding")).where("finding IS NOT NULL")
+
+
+def agent_shaped(messages: Column, tools: Column, members: Column) -> Column:
+    """Whether a request is an agent's: two messages or more, a system one among them, tools, and a member named stream, whatever its value."""
+    has = F.exists(messages, lambda m: F.coalesce(m["role"] == "system", F.lit(False)))
+    return F.coalesce((F.size(messages) >= 2) & has & (F.size(tools) > 0) & F.array_contains(members, "stream"), F.lit(False))

@@ -7,7 +7,7 @@ scores are hits. k is brought into 1 .. MAX_K. No candidates give no rows.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +113,28 @@ def search_many(rows: DataFrame, queries: DataFrame, k: int = DEFAULT_K, scoped:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def attach_pages(hits: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Hits with the text of their pages; after the ranking, so that only k texts are fetched."""
+    return hits.join(pages.select(*keys, "text"), keys, "left")
+
+
+def embed(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], np.ndarray], batch: int = 32) -> DataFrame:
+    """``key`` and a unit vector of ``text`` for each row, by any encoder of a list of texts; a null text is an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            parts = [np.asarray(encode(texts[i : i + batch]), np.float64) for i in range(0, len(texts), batch)]
+            if not parts:
+                continue
+            v = np.concatenate(parts)
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32()))], names=[key, "embedding"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(text).cast("string").alias("t")).mapInArrow(run, f"`{key}` {kind}, embedding array<float>")
+
+
 def case_status(pages: DataFrame, cutoff: int) -> DataFrame:
     """Of each case its visible pages: case_id, n_pages, max_page."""
     return pages.where(F.col("page") <= cutoff).groupBy("case_id").agg(F.countDistinct("page").alias("n_pages"), F.max("page").alias("max_page"))

@@ -121,6 +121,18 @@ def chunk_pages(spark: SparkSession, root: str) -> DataFrame:
     return w.select("doc_id", F.col("w.chunk_idx").alias("chunk_idx"), F.col("w.n_words").alias("n_words"), F.sha2("w.text", 256).alias("sha256"))
 
 
+def page_facts(spark: SparkSession, root: str) -> DataFrame:
+    """The facts stated in documents."""
+    d = table(spark, root, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.posexplode(TX.facts(F.col("text"))).alias("ord", "f")).select("doc_id", "ord", "f.*")
+
+
+def split_mismatch(spark: SparkSession, root: str) -> DataFrame:
+    """Cases of the traces whose split isn't that of the task table."""
+    lock = _tasks(spark, root).groupBy("case_id").agg(F.min("split").alias("split"))
+    return C.split_mismatch(table(spark, root, "traces"), lock)
+
+
 def byte_stream(spark: SparkSession, root: str) -> DataFrame:
     ids = TX.byte_ids(F.col("text"))
     return table(spark, root, "documents").where("text IS NOT NULL").select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("bigint").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
@@ -128,7 +140,7 @@ def byte_stream(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     task_table, task_rows, task_table_diff, task_verify, task_duplicates, task_row_at, task_requests, split_counts, split_overlap, cases_without_tasks, page_census, prefix_census, census_diff, task_bag_diff, prefix_divergence, content_hashes,
-    identifiers, url_credentials, chunk_pages, byte_stream)}
+    identifiers, url_credentials, chunk_pages, page_facts, split_mismatch, byte_stream)}
 
 _DOCTORED = """
 WITH kept AS (SELECT * REPLACE (CASE WHEN timestep = 5 THEN timestep + 1000 ELSE timestep END AS timestep, regexp_replace(sandbox_image, 'r5$', 'r6') AS sandbox_image) FROM tasks WHERE prompt_id <> 'skill:cost-split'),
@@ -181,5 +193,10 @@ SELECT a.case_id, a.t, s.next_t, a.page FROM v a JOIN s USING (case_id, t) JOIN
 k AS (SELECT doc_id, words, unnest(range(0, CASE WHEN len(words) <= 220 THEN 1 ELSE 1 + ((len(words) - 220 + 179) // 180) END)) AS i FROM w WHERE len(words) > 0)
 SELECT doc_id, i AS chunk_idx, len(words[i * 180 + 1 : i * 180 + 220]) AS n_words, sha256(ltrim(array_to_string(words[i * 180 + 1 : i * 180 + 220], ''), E' \t\r\n')) AS sha256 FROM k
 UNION ALL SELECT doc_id, 0, 0, sha256(text) FROM w WHERE len(words) = 0""",
+    "page_facts": r"""WITH l AS (SELECT doc_id, list_filter(string_split(replace(replace(text, E'\r\n', E'\n'), E'\r', E'\n'), E'\n'), lambda x: regexp_matches(x, '^FACT-.+-[0-9]{4}-[0-9]+: [^\n]*$')) AS f FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, (k - 1)::INT AS ord, regexp_extract(f[k], '^FACT-(.+)-([0-9]{4})-([0-9]+): (.*)$', 1) AS case_id, regexp_extract(f[k], '^FACT-(.+)-([0-9]{4})-([0-9]+): (.*)$', 2)::INT AS page,
+  regexp_extract(f[k], '^FACT-(.+)-([0-9]{4})-([0-9]+): (.*)$', 3)::INT AS k, regexp_extract(f[k], '^FACT-(.+)-([0-9]{4})-([0-9]+): (.*)$', 4) AS fact FROM l, unnest(range(1, len(f) + 1)) AS u(k)""",
+    "split_mismatch": """WITH l AS (SELECT case_id, min(split) AS s FROM tasks GROUP BY 1) SELECT DISTINCT t.case_id, CASE WHEN l.case_id IS NULL THEN 'not_locked' ELSE 'split:' || coalesce(split, 'None') || '!=' || coalesce(s, 'None') END AS finding
+FROM traces t LEFT JOIN l ON l.case_id = t.case_id WHERE l.case_id IS NULL OR split IS DISTINCT FROM s""",
     "byte_stream": "SELECT doc_id, octet_length(encode(text)) AS n, coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT)), 0)::BIGINT AS total FROM documents WHERE text IS NOT NULL",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions.arrays import first_divergence, mask_runs, segments
-from tracelode.functions.text import END, TOOL, flat_content, stub_logprobs
+from tracelode.functions.text import END, TOOL, flat_content, message_ids, stub_logprobs
 from tracelode.functions.wire import canonical_hash
 from tracelode.operators import analytics as A
 from tracelode.operators import compare as K
@@ -239,6 +239,12 @@ def redelivery_changes(spark: SparkSession, root: str) -> DataFrame:
     return K.member_diff(later, "delivery_id", F.col("f.body"), F.col("body"))
 
 
+def token_stream(spark: SparkSession, root: str) -> DataFrame:
+    """The prompt's ids made again from its messages: how many, and whether they are the trace's."""
+    t = _traces(spark, root).select("trace_id", message_ids(F.col("prompt_messages")).alias("ids"), "prompt_ids")
+    return t.select("trace_id", F.size("ids").alias("n"), F.coalesce(F.col("ids") == F.col("prompt_ids"), F.lit(False)).alias("same")).distinct()
+
+
 def message_texts(spark: SparkSession, root: str) -> DataFrame:
     """The flattened text of every prompt message, by its length and hash."""
     m = _traces(spark, root).dropDuplicates(["trace_id"]).select("trace_id", F.posexplode("prompt_messages").alias("ord", "m"))
@@ -249,7 +255,7 @@ def message_texts(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     logprob_discipline, trace_tripwires, page_cutoff_gate, turn_opening_tail, chain_snapshot_gate, admission_gate, prompt_source_gate, system_prompt_gate, workspace_gate, raw_mask_gate, accept_quarantine,
     disposition_counts, streaming_validate, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, session_findings,
-    episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, collection_comparison, message_texts, marked_tokens, opening_kinds, redelivery_changes)}
+    episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, collection_comparison, message_texts, token_stream, marked_tokens, opening_kinds, redelivery_changes)}
 
 
 _T = "tr AS (SELECT * FROM traces QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_at) = 1)"
@@ -381,6 +387,10 @@ SELECT session_id, delivery_id, coalesce(list_filter(range(0, least(len(a), len(
     WHEN json_type(m, '$.trajectory') IS DISTINCT FROM 'OBJECT' THEN 'no_trajectory' END AS reason FROM members)
 UNION ALL SELECT body_id, -1, NULL, false, 'no_member' FROM wire_bodies WHERE body_id NOT IN (SELECT body_id FROM members)""",
 }
+ORACLE["token_stream"] = f"""WITH {_T}, mm AS (SELECT trace_id, k, prompt_messages[k] AS x FROM tr, unnest(range(1, coalesce(len(prompt_messages), 0) + 1)) AS u(k)), tx AS (SELECT trace_id, k, x.role AS role, coalesce({_FLAT.format('x.content')}, '') || coalesce(array_to_string(list_transform(x.tool_calls, lambda c: coalesce(c.function.arguments, '')), ''), '') AS t FROM mm WHERE x IS NOT NULL),
+b AS (SELECT trace_id, k, [CASE role WHEN 'system' THEN 256 WHEN 'user' THEN 257 WHEN 'assistant' THEN 258 WHEN 'tool' THEN 259 END] || list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::INT) || [260] AS ids FROM tx),
+j AS (SELECT trace_id, flatten(list(ids ORDER BY k)) AS ids FROM b GROUP BY 1)
+SELECT tr.trace_id, (len(coalesce(ids, [])) + 1)::INT AS n, coalesce(coalesce(ids, []) || [258] = prompt_ids, false) AS same FROM tr LEFT JOIN j USING (trace_id)"""
 _CHANGE = "CASE WHEN {0} IS NOT DISTINCT FROM f.{0} THEN NULL WHEN {0} IS NULL THEN 'only_a' WHEN f.{0} IS NULL THEN 'only_b' ELSE 'changed' END"
 ORACLE["redelivery_changes"] = """WITH d AS (SELECT delivery_id, session_id, task_id, status, timing.init_ms AS init_ms, timing.run_ms AS run_ms, node_id FROM pi_polar_task_status WHERE session_id IS NOT NULL),
 f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY session_id, task_id ORDER BY delivery_id) = 1), j AS (""" + " UNION ALL ".join(
