@@ -31,25 +31,31 @@ def test_logs_and_timings(spark, tmp_path):
 
 def test_prompts(spark, tmp_path):
     def put(case, entries):
-        p = tmp_path / f"train/cases/{case}/timestep-1/prompts.json"
+        p = tmp_path / f"train/cases/{case}/timestep-1/prompts.yaml"
         p.parent.mkdir(parents=True)
-        p.write_text(entries if isinstance(entries, str) else json.dumps(entries))
-
-    put("a", [{"skill": "s"}, {"id": "q", "text": "why?"}, {"id": "q", "text": "again"}, {"id": "Q!", "text": "x"}, {"id": "r", "text": " "}, {"skill": "none"}, {"skill": "s", "x": 1}, 5])
-    put("b", "oops")
-    put("c", " \n")
-    put("d", {"skill": "s"})
+        p.write_bytes(entries if isinstance(entries, bytes) else json.dumps({"prompts": entries}).encode())  # JSON is YAML
+
+    skill = {"id": "skill:s", "source": "skill", "name": "s"}
+    free = {"id": "free:q", "source": "free", "text": "why?"}
+    put("a", [skill, free, free, free | {"id": "free:a b"}, free | {"text": ""}, {"id": "skill:u", "source": "skill", "name": "u"}, skill | {"x": 1}, 5, skill | {"id": "skill:t"}, {"source": "odd"}])
+    put("b", b"prompts: [")
+    put("c", b" \n")
+    put("d", b"- 1")
+    put("e", b"\xff\xfe")
     got = S.prompt_rows(C.tree_files(spark, str(tmp_path)), ["s"])
-    assert rows(got.where("finding IS NULL"), "case_id", "prompt_id", "text") == [("a", "free:q", "why?"), ("a", "skill:s", None)]
-    assert rows(got.where("finding IS NOT NULL"), "case_id", "finding") == [("a", "bad_entry:6"), ("a", "bad_entry:7"), ("a", "bad_id_or_blank_text:3"), ("a", "bad_id_or_blank_text:4"), ("a", "duplicate_id:2"), ("a", "unknown_skill:5"), ("b", "not_json"), ("d", "not_a_list")]
+    assert rows(got.where("finding IS NULL"), "case_id", "prompt_id", "name", "text") == [("a", "free:q", None, "why?"), ("a", "skill:s", "s", None)]
+    assert rows(got.where("finding IS NOT NULL"), "case_id", "finding") == [
+        ("a", "duplicate_id:2"), ("a", "empty_text:4"), ("a", "id:3"), ("a", "id:8"), ("a", "members:6"), ("a", "source:7"), ("a", "source:9"), ("a", "unknown_skill:5"), ("b", "not_a_document"), ("d", "not_a_list_of_prompts"), ("e", "not_utf8")]
 
 
 def test_manifest(spark):
-    good = {"name": "n", "owner": "org", "base_url": "u", "git_identity": {"a": "b"}, "sandbox_image": "i", "agents_md": "m", "skills": {"s": "p"}}
-    assert S.manifest(json.dumps(good).encode()) == (good, [])
-    bad, found = S.manifest(json.dumps(good | {"owner": "me", "x": 1, "name": "", "skills": {"s": 1}, "base_url": 5}).encode())
-    assert bad is None and {k for k, _ in found} == {"owner", "x", "name", "skills", "base_url"}
-    assert S.manifest(b"\xff")[1] == [("manifest", "not UTF-8")] and S.manifest(b"[1]")[0] is None and S.manifest(b"{}")[0] is None
+    good = {"name": "n", "owner": "org", "git": {"name": "a", "email": "b", "date": "c"}, "sandbox_image": "i"}
+    read = lambda v, **k: S.manifest(json.dumps(v).encode(), ["org"], **k)
+    assert read(good) == (good, [])
+    bad, found = read(good | {"owner": "me", "x": 1, "name": "", "sandbox_image": 5, "git": {"name": "a"}})
+    assert bad is None and {k for k, _ in found} == {"owner", "x", "name", "sandbox_image", "git"}
+    assert read(good, more={"host": dict})[1] == [("host", "missing")] and read(good | {"host": {"a": 1}}, more={"host": dict})[1] == []
+    assert S.manifest(b"\xff", [])[1] == [("manifest", "not UTF-8")] and S.manifest(b"a: [", [])[1] == [("manifest", "can't be parsed")] and S.manifest(b"[1]", [])[0] is None and S.manifest(b"{}", [])[0] is None
     assert rows(S.findings_frame(spark, [("a", "b")])) == [("manifest", "a", "b")] and S.findings_frame(spark, []).count() == 0
 
 

@@ -71,7 +71,7 @@ def test_stats(spark):
 
 
 def test_tree(spark, tmp_path):
-    for f, text in (("train/cases/c1/timestep-1/pages/page_0001.md", "one"), ("train/cases/c1/timestep-2/pages/page_0001.md", "two"), ("train/cases/c1/timestep-2/pages/page_0003.md", "x"), ("train/cases/c1/timestep-1/prompts.json", "[]"), ("train/cases/c1/timestep-1/odd.txt", "odd")):
+    for f, text in (("train/cases/c1/timestep-1/pages/page_0001.md", "one"), ("train/cases/c1/timestep-2/pages/page_0001.md", "two"), ("train/cases/c1/timestep-2/pages/page_0003.md", "x"), ("train/cases/c1/timestep-1/prompts.yaml", "prompts: []"), ("train/cases/c1/timestep-1/odd.txt", "odd")):
         p = tmp_path / f
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)

@@ -24,7 +24,7 @@ SPLITS = ("train", "eval")
 def tree_files(spark: SparkSession, root: str) -> DataFrame:
     """The files below a corpus root: split, case_id, timestep, name, page, sha256, content.
 
-    Expected are ``<split>/cases/<case>/timestep-<T>/pages/page_NNNN.md`` and ``.../prompts.json``;
+    Expected are ``<split>/cases/<case>/timestep-<T>/pages/page_NNNN.md`` and ``.../prompts.yaml``;
     page is null for other files, and split, case and timestep for files elsewhere. Files of no bytes and
     empty folders are no rows, as Spark's scans skip them.
     """
@@ -38,7 +38,7 @@ def tree_files(spark: SparkSession, root: str) -> DataFrame:
 
 def unexpected_files(files: DataFrame) -> DataFrame:
     """Files that are neither a page nor the prompts of a timestep, or lie in no known split."""
-    bad = F.col("case_id").isNull() | (F.col("page").isNull() & (F.col("name") != "prompts.json")) | ~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))
+    bad = F.col("case_id").isNull() | (F.col("page").isNull() & (F.col("name") != "prompts.yaml")) | ~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))
     return files.where(bad).select(F.lit("tree").alias("scope"), F.concat_ws("/", "split", "case_id", F.col("timestep").cast("string"), "name").alias("place"), F.lit("unexpected file").alias("detail"))
 
 

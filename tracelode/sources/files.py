@@ -13,11 +13,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The members of a manifest and their kinds, and the owners that it may name (fixed values).
-MANIFEST = {"name": str, "owner": str, "base_url": str, "mcp_url": str, "git_identity": dict, "sandbox_image": str, "agents_md": str, "skills": dict}
-OPTIONAL = {"mcp_url"}
-OWNERS = ("org", "user")
-PROMPT_ID = re.compile(r"[a-z0-9][a-z0-9_-]*\Z")
+#: The members that every manifest has, and their kinds; a caller may ask for more.
+MANIFEST = {"name": str, "owner": str, "git": dict, "sandbox_image": str}
+GIT = {"name", "email", "date"}
+TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*\Z")
+
+
+def parse(text: str) -> object:
+    """A YAML document where a parser is installed, else JSON; ValueError if it is none."""
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    try:
+        return yaml.safe_load(text)
+    except (yaml.YAMLError, RecursionError) as e:
+        raise ValueError(str(e)) from e
 
 
 def session_files(spark: SparkSession, path: str) -> DataFrame:
@@ -38,42 +49,51 @@ def timings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prompt_rows(files: DataFrame, skills: list[str]) -> DataFrame:
-    """The prompts in the ``prompts.json`` of a tree (``corpus.tree_files``): case_id, timestep, prompt_id, name, text, finding.
+    """The prompts of a tree (``corpus.tree_files``): case_id, timestep, prompt_id, name, text, finding.
 
-    An absent or empty file is no prompts. An entry is ``{"skill": name}`` or ``{"id": slug, "text": text}``, with no
-    other members; ids have the identifiers' grammar and are unique in a timestep, texts aren't blank, skills are known. A
-    fault is a row with its finding and no prompt.
+    An absent or empty file is no prompts. A file is a mapping whose only member is the list ``prompts``; an entry has exactly id, source
+    and name if its source is skill, or id, source and text if it is free. The id is the source and, after a
+    colon, the skill's name or a token, once in a timestep; texts aren't empty, skills are known. A fault is a row with its
+    finding and no prompt.
     """
     known = set(skills)
 
+    def fault(e: object) -> str | None:
+        if not isinstance(e, dict) or e.get("source") not in ("skill", "free"):
+            return "source"
+        kind = e["source"]
+        if set(e) != {"id", "source", "name" if kind == "skill" else "text"}:
+            return "members"
+        if kind == "skill":
+            if not isinstance(e["name"], str) or not TOKEN.match(e["name"]) or e["id"] != f"skill:{e['name']}":
+                return "id"
+            return None if e["name"] in known else "unknown_skill"
+        if not isinstance(e["text"], str) or not e["text"]:
+            return "empty_text"
+        return None if isinstance(e["id"], str) and e["id"].startswith("free:") and TOKEN.match(e["id"][5:]) else "id"
+
     def entries(text: str | None) -> Iterator[tuple]:
-        if text is None or not text.strip():
+        if text is None:
+            yield None, None, None, "not_utf8"
             return
         try:
-            value = json.loads(text)
-        except (ValueError, RecursionError):
-            yield None, None, None, "not_json"
+            value = parse(text) if text.strip() else None
+        except ValueError:
+            yield None, None, None, "not_a_document"
             return
-        if not isinstance(value, list):
-            yield None, None, None, "not_a_list"
+        if value is None:
+            return
+        if not isinstance(value, dict) or set(value) != {"prompts"} or not isinstance(value["prompts"], list):
+            yield None, None, None, "not_a_list_of_prompts"
             return
         seen: set[str] = set()
-        for i, e in enumerate(value):
-            if isinstance(e, dict) and set(e) == {"skill"} and isinstance(e["skill"], str):
-                row = (f"skill:{e['skill']}", e["skill"], None) if e["skill"] in known else None
-                fault = "unknown_skill"
-            elif isinstance(e, dict) and set(e) == {"id", "text"} and isinstance(e["id"], str) and isinstance(e["text"], str):
-                ok = PROMPT_ID.match(e["id"]) and e["text"].strip()
-                row, fault = ((f"free:{e['id']}", None, e["text"]) if ok else None), "bad_id_or_blank_text"
-            else:
-                row, fault = None, "bad_entry"
-            if row and row[0] in seen:
-                row, fault = None, "duplicate_id"
-            if row:
-                seen.add(row[0])
-                yield (*row, None)
+        for i, e in enumerate(value["prompts"]):
+            what = fault(e) or ("duplicate_id" if e["id"] in seen else None)
+            if what:
+                yield None, None, None, f"{what}:{i}"
             else:
-                yield None, None, None, f"{fault}:{i}"
+                seen.add(e["id"])
+                yield e["id"], e.get("name"), e.get("text"), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,40 +102,33 @@ def prompt_rows(files: DataFrame, skills: list[str]) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["case_id", "timestep", "prompt_id", "name", "text", "finding"])
 
-    texts = files.where("name = 'prompts.json'").select("case_id", "timestep", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    texts = files.where("name = 'prompts.yaml'").select("case_id", "timestep", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
     return texts.mapInArrow(run, "case_id string, timestep int, prompt_id string, name string, text string, finding string")
 
 
-def manifest(raw: bytes) -> tuple[dict | None, list[tuple[str, str]]]:
-    """A corpus manifest (JSON; YAML where a parser is installed) and its findings (place, detail); None if there are any.
+def manifest(raw: bytes, owners: list[str], more: dict[str, type] | None = None) -> tuple[dict | None, list[tuple[str, str]]]:
+    """A corpus manifest and its findings (place, detail); None if there are any. One small file, read by the driver.
 
-    The manifest is one small file and is read by the driver.
+    It must have the members of MANIFEST and of ``more``, of their kinds and not empty, and no others; ``owner`` is
+    one of ``owners``, ``git`` has exactly the strings of GIT.
     """
     try:
-        text = raw.decode()
+        value = parse(raw.decode())
     except UnicodeDecodeError:
         return None, [("manifest", "not UTF-8")]
-    try:
-        value = json.loads(text)
     except ValueError:
-        try:
-            import yaml
-
-            value = yaml.safe_load(text)
-        except Exception as e:
-            return None, [("manifest", f"can't be parsed: {type(e).__name__}")]
+        return None, [("manifest", "can't be parsed")]
     if not isinstance(value, dict):
         return None, [("manifest", "not a mapping")]
-    found = [(k, "unknown member") for k in sorted(map(str, set(value) - set(MANIFEST)))]
-    found += [(k, "missing") for k in MANIFEST if k not in value and k not in OPTIONAL]
-    for k, kind in MANIFEST.items():
-        if k in value and not (isinstance(value[k], kind) and value[k]):
-            found.append((k, f"must be a {kind.__name__} that isn't empty"))
-    for k in ("git_identity", "skills"):
-        if isinstance(value.get(k), dict) and not all(isinstance(a, str) and isinstance(b, str) for a, b in value[k].items()):
-            found.append((k, "must map strings to strings"))
-    if isinstance(value.get("owner"), str) and value["owner"] not in OWNERS:
-        found.append(("owner", f"must be one of {', '.join(OWNERS)}"))
+    want = MANIFEST | (more or {})
+    found = [(k, "unknown member") for k in sorted(map(str, set(value) - set(want)))]
+    found += [(k, "missing") for k in want if k not in value]
+    found += [(k, f"must be a {kind.__name__} that isn't empty") for k, kind in want.items() if k in value and not (isinstance(value[k], kind) and value[k])]
+    if isinstance(value.get("owner"), str) and value["owner"] and value["owner"] not in owners:
+        found.append(("owner", f"must be one of {', '.join(owners)}"))
+    git = value.get("git")
+    if isinstance(git, dict) and git and not (set(git) == GIT and all(isinstance(x, str) for x in git.values())):
+        found.append(("git", f"must have the strings {', '.join(sorted(GIT))}"))
     return (None if found else value), found
 
 
