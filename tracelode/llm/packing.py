@@ -11,17 +11,19 @@ distributed count, and find their place by binary search in the plan.
 
 Defined results: an item longer than the capacity is cut into full rows and a rest, every other
 item stays whole; a null array has no ids; a trace without ids has length 0 and neither row nor
-offset; rows repeated under one trace_id count once (the longest of each array); a null trace_id
+offset; rows repeated under one trace_id count once (the longest); a null trace_id
 is a trace of its own id; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def _size(c: str):
 
 def items(traces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The whole traces, or their parts of at most ``capacity`` ids: trace_id, part, begin, length."""
-    sizes = traces.select("trace_id", _size("prompt_ids").alias("p"), _size("response_ids").alias("r")).groupBy("trace_id").agg((F.max("p") + F.max("r")).alias("n"))
+    sizes = traces.select("trace_id", (_size("prompt_ids") + _size("response_ids")).alias("n")).groupBy("trace_id").agg(F.max("n").alias("n"))
     part = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int"))).alias("part")
     return sizes.select("trace_id", "n", part).select(
         "trace_id", "part", (F.col("part") * capacity).alias("begin"), F.least(F.col("n") - F.col("part") * capacity, F.lit(capacity)).cast("int").alias("length"),
@@ -152,18 +154,72 @@ def fill(layout: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
+def _press(ids: np.ndarray, mask: np.ndarray) -> bytes:
+    """Ids and mask as bytes, by byte planes: most planes are zeros, and what is left is as compressible as text."""
+    return zlib.compress(np.concatenate([ids, mask]).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpress(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return pc.fill_null(values, 0).to_numpy(zero_copy_only=False).astype(np.int32)
+
+
+def _stretches(traces: DataFrame, capacity: int) -> DataFrame:
+    """The parts of every trace with their ids and mask pressed: trace_id, part, n (ids of the whole trace), data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, parts, sizes, data = [], [], [], []
+            for i in range(b.num_rows):
+                prompt, response, mask = (_numbers(b.column(c)[i].values) if b.column(c)[i].is_valid else np.zeros(0, np.int32) for c in (1, 2, 3))
+                ids, marks = np.concatenate([prompt, response]), np.zeros(len(prompt) + len(response), np.int32)
+                k = min(len(response), len(mask))
+                marks[len(prompt) : len(prompt) + k] = mask[:k]
+                for part, at in enumerate(range(0, len(ids), capacity)):
+                    keys.append(i)
+                    parts.append(part)
+                    sizes.append(len(ids))
+                    data.append(_press(ids[at : at + capacity], marks[at : at + capacity]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(parts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], names=["t", "p", "n", "data"])
+
+    rows = traces.select(F.col("trace_id").cast("bigint").alias("t"), *[F.col(c).cast("array<int>") for c in ("prompt_ids", "response_ids", "loss_mask")])
+    return rows.mapInArrow(run, "t bigint, p int, n int, data binary")
+
+
 def training_rows(traces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows themselves: row, n_used, ids, loss_mask, trace_ids (one for each stretch, in order).
 
-    A prompt's mask is 0; a response's is its loss_mask, 0 where that is null or too short.
+    A prompt's mask is 0; a response's is its loss_mask, 0 where that is null or too short; a null id is 0.
+    The ids are pressed where they are read, go through the two shuffles pressed, and are laid out where their row is made.
     """
-    one = Window.partitionBy("trace_id").orderBy(F.size("response_ids").desc(), F.size("prompt_ids").desc())
-    whole = traces.select("trace_id", "prompt_ids", "response_ids", "loss_mask").withColumn("k", F.row_number().over(one)).where("k = 1")
-    prompt, response = F.coalesce("prompt_ids", F.array().cast("array<int>")), F.coalesce("response_ids", F.array().cast("array<int>"))
-    mask = F.transform(response, lambda _, i: F.coalesce(F.get("loss_mask", i), F.lit(0)))
-    whole = whole.select("trace_id", F.concat(prompt, response).alias("ids"), F.concat(F.transform(prompt, lambda _: F.lit(0)), mask).alias("mask"))
-    placed = pack(traces, capacity).where("length > 0").join(whole.withColumnRenamed("trace_id", "t"), F.col("trace_id").eqNullSafe(F.col("t")))
-    cut = lambda c: F.slice(c, F.col("begin") + 1, F.col("length"))
-    stretch = F.struct("offset", "trace_id", cut("ids").alias("ids"), cut("mask").alias("mask"))
-    rows = placed.groupBy("row").agg(F.array_sort(F.collect_list(stretch)).alias("s"))
-    return rows.select("row", F.size(F.flatten("s.ids")).alias("n_used"), F.flatten("s.ids").alias("ids"), F.flatten("s.mask").alias("loss_mask"), F.col("s.trace_id").alias("trace_ids"))
+    layout = pack(traces, capacity).where("length > 0").select("trace_id", "part", "row", "offset")
+    placed = _stretches(traces, capacity).join(layout, F.col("t").eqNullSafe(F.col("trace_id")) & (F.col("p") == F.col("part")))
+    # Of copies of a trace the longest comes first in its place; the others are passed over.
+    rows = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("offset", (-F.col("n")).alias("shorter"), "trace_id", "data"))).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, masks, used, names = [], [], [], []
+            for stretches in b.column(1).to_pylist():
+                mine, at = [], -1
+                for x in stretches:
+                    if x["offset"] != at:
+                        at = x["offset"]
+                        mine.append(x)
+                opened = [_unpress(x["data"]) for x in mine]
+                ids.append(np.concatenate([o[0] for o in opened]))
+                masks.append(np.concatenate([o[1] for o in opened]))
+                used.append(len(ids[-1]))
+                names.append([x["trace_id"] for x in mine])
+            ends = pa.array(np.concatenate([[0], np.cumsum(used)]).astype(np.int32))
+            flat = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(used, pa.int32()), pa.ListArray.from_arrays(ends, flat(ids)), pa.ListArray.from_arrays(ends, flat(masks)), pa.array(names, pa.list_(pa.int64()))],
+                names=["row", "n_used", "ids", "loss_mask", "trace_ids"],
+            )
+
+    return rows.mapInArrow(run, "row bigint, n_used int, ids array<int>, loss_mask array<int>, trace_ids array<bigint>")
