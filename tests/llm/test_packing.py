@@ -100,3 +100,15 @@ def test_hot_length_against_brute_force(spark):
     used = rows(got.where("length > 0").groupBy("row").sum("length"))
     assert sum(u for _, u in used) == sum(len(d[1]) for d in data) and all(u <= 100 for _, u in used)
     assert len(used) == best_fit(lengths, 100)
+
+
+def test_the_longest_copy_counts(spark):
+    data = [(1, [1] * 3, [2] * 2, [1, 1], 0, "x"), (1, [9] * 4, [8] * 9, [1] * 9, 0, "x"), (2, [5] * 4, None, None, 0, "x")]
+    got = training_rows(spark.createDataFrame(data, SCHEMA), 10).collect()
+    assert Counter(x for r in got for x in r["ids"]) == {9: 4, 8: 9, 5: 4}
+    assert sum(x for r in got for x in r["loss_mask"]) == 9
+
+
+def test_null_ids_and_odd_masks(spark):
+    got = training_rows(spark.createDataFrame([(1, [None, 2**31 - 1], [-5], [7], 0, "x")], SCHEMA), 10).first()
+    assert got["ids"] == [0, 2**31 - 1, -5] and got["loss_mask"] == [0, 0, 7] and got["trace_ids"] == [1]
