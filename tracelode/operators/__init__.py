@@ -1 +1 @@
-"""Part of the engine; see the package README."""
+"""Operators: each a function from DataFrames to a DataFrame, or an expression."""

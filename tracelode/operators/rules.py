@@ -69,7 +69,6 @@ class Policy:
     status_tool: str = "case_status"
 
 
-
 def _empty() -> Column:
     return F.array().cast("array<string>")
 

@@ -1 +1 @@
-"""Part of the engine; see the package README."""
+"""The queries over the tables, and SQL functions."""
