@@ -37,6 +37,12 @@ def test_long_texts_end_soon():
     for t in ("a" * 300_000, "word " * 60_000, '"' * 50_000, "(" * 50_000, "x. " * 50_000):
         P.find_defects(Q, t)
         P.find_defects(t, A)
+    import random
+
+    rnd = random.Random(1)
+    known = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9))) for _ in range(5000)]
+    q, a = (" ".join(rnd.choice(known) if rnd.random() < 0.8 else "".join(rnd.choice("klmnop") for _ in range(6)) for _ in range(20_000)) for _ in range(2))
+    P.find_defects(q, a)
     assert time.time() - began < 30
 
 

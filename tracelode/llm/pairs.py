@@ -137,6 +137,11 @@ def _near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
 
+def _left_behind(word: str) -> set[str]:
+    """What near words share: the sorted letters, or a word less one letter at most."""
+    return {"=" + "".join(sorted(word)), word} | {word[:i] + word[i + 1 :] for i in range(len(word)) if len(word) < 40}
+
+
 def copies(question: str, answer: str) -> bool:
     """Whether ``answer`` is the question, or at least its last sentence, with next to nothing added."""
     while _LEAD.match(answer):
@@ -146,15 +151,18 @@ def copies(question: str, answer: str) -> bool:
         return False
     has = set(q)
     left = [w for w in a if w not in has]
-    if len(left) > max(4, len(a) // 2):  # no copy has so many words of its own, however they are spelled
+    if len(left) > max(6, len(a) // 4):  # no copy has so many words of its own, however they are spelled
         return False
-    new = [w for w in left if not any(_near(w, x) for x in has)]
-    if len(new) > max(2, len(a) // 10):
+    traces: dict[str, str] = {}  # what a word leaves behind: its sorted letters, and itself less any one letter
+    for w in has if left else ():
+        for t in _left_behind(w):
+            traces.setdefault(t, w)
+    twin = {w: next((traces[t] for t in _left_behind(w) if t in traces and _near(w, traces[t])), None) for w in set(left)}
+    if sum(twin[w] is None for w in left) > max(2, len(a) // 10):
         return False
     last = [s for s in _SENTENCES.split(question) if words(s)][-1]
-    got, core = set(a), words(last)
-    found = lambda ws: sum(w in got or any(_near(w, x) for x in left) for w in ws) / len(ws)
-    return found(core) >= 0.7
+    got, core = set(a) | set(twin.values()), words(last)
+    return sum(w in got for w in core) >= 0.7 * len(core)
 
 
 # --- truncation ---------------------------------------------------------------------------------
