@@ -28,7 +28,7 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 def p6_kept(spark: SparkSession, root: str) -> DataFrame:
     """The whole rows of the deliveries that remain, the nested trajectory shown by its number of traces."""
     kept = first_deliveries(table(spark, root, "pi_polar_task_status"), MESSAGE_KEY, "received_at", "delivery_id")
-    return kept.select("delivery_id", "batch_id", "received_at", "session_id", "task_id", "status", F.size(F.coalesce("trajectory.traces", F.array())).cast("bigint").alias("n_traces"))
+    return kept.select("delivery_id", "batch_id", F.unix_micros("received_at").alias("received_us"), "session_id", "task_id", "status", F.size(F.coalesce("trajectory.traces", F.array())).cast("bigint").alias("n_traces"))
 
 
 def p6_admitted(spark: SparkSession, root: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p6_admitted(spark: SparkSession, root: str) -> DataFrame:
     last = t.agg(F.max("batch_id")).first()[0] or 0
     split = t.withColumn("late", F.col("batch_id") * 2 > last)
     new = admit(split.where("late"), split.where("not late"), MESSAGE_KEY, "received_at", "delivery_id")
-    return new.drop("late")
+    return new.select("delivery_id", "batch_id", F.unix_micros("received_at").alias("received_us"), *MESSAGE_KEY)
 
 
 QUERIES = {"p1_found": _flat("trace_sessions")} | {f"p1_{n}": _flat(n) for n in ("sessions", "traces", "tokens", "messages", "tool_calls", "completions")}
@@ -99,12 +99,12 @@ FROM (SELECT *, json_extract(t, '$.metadata.completion_metadata[*]') AS c FROM b
     "p6_found": """
 SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY session_id, task_id ORDER BY received_at, delivery_id) AS k FROM pi_polar_task_status WHERE session_id IS NOT NULL) WHERE k > 1""",
     "p6_kept": """
-SELECT delivery_id, batch_id, received_at, session_id, task_id, status, coalesce(len(trajectory.traces), 0) AS n_traces FROM (
+SELECT delivery_id, batch_id, epoch_us(received_at) AS received_us, session_id, task_id, status, coalesce(len(trajectory.traces), 0) AS n_traces FROM (
   SELECT *, row_number() OVER (PARTITION BY session_id, task_id ORDER BY received_at, delivery_id) AS k FROM pi_polar_task_status) WHERE k = 1 OR session_id IS NULL""",
     "p6_admitted": """
 WITH t AS (SELECT delivery_id, batch_id, received_at, session_id, task_id, batch_id * 2 > max(batch_id) OVER () AS late FROM pi_polar_task_status),
 k AS (SELECT *, row_number() OVER (PARTITION BY session_id, task_id ORDER BY received_at, delivery_id) AS k FROM t WHERE late)
-SELECT delivery_id, batch_id, received_at, session_id, task_id FROM k WHERE (k = 1 OR session_id IS NULL)
+SELECT delivery_id, batch_id, epoch_us(received_at) AS received_us, session_id, task_id FROM k WHERE (k = 1 OR session_id IS NULL)
 AND NOT EXISTS (SELECT 1 FROM t WHERE NOT late AND t.session_id = k.session_id AND t.task_id IS NOT DISTINCT FROM k.task_id)""",
 }
 

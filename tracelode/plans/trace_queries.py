@@ -200,7 +200,7 @@ def citation_rewards(spark: SparkSession, root: str) -> DataFrame:
 
 def group_advantages(spark: SparkSession, root: str) -> DataFrame:
     r = A.once(_traces(spark, root), "trace_id", ["task_id", "reward"])
-    return A.advantages(r, "trace_id", "task_id").select("trace_id", "task_id", F.round("grpo", 4).alias("grpo"), F.round("loo", 2).alias("loo"))
+    return A.advantages(r, "trace_id", "task_id").select("trace_id", "task_id", (F.round("grpo", 4) + 0.0).alias("grpo"), (F.round("loo", 2) + 0.0).alias("loo"))
 
 
 def logprob_delta(spark: SparkSession, root: str) -> DataFrame:
@@ -368,9 +368,9 @@ g AS (SELECT trace_id, timestep AS cutoff, coalesce(regexp_extract_all({_FLAT.fo
 w AS (SELECT trace_id, cutoff, len(l) AS n_cited, coalesce(len(list_filter(l, lambda z: z >= 1 AND z <= cutoff)), 0) AS n_valid FROM g)
 SELECT *, round(CASE WHEN n_cited > 0 THEN n_valid / n_cited ELSE 0 END, 6) AS reward FROM w""",
     "group_advantages": f"""WITH {_T}, r AS (SELECT trace_id, task_id, reward AS x FROM tr WHERE reward IS NOT NULL), g AS (SELECT task_id, count(*) AS n, sum(x) AS s, sum(x * x) AS q, CASE WHEN min(x) = max(x) THEN 0 ELSE stddev_samp(x) END AS sd, min(x) AS lo, max(x) AS hi, list(x) AS l FROM r GROUP BY 1)
-SELECT trace_id, r.task_id, round(CASE WHEN n = 1 THEN x ELSE (x - s / n) / (sd + 1e-6) END, 4) AS grpo,
+SELECT trace_id, r.task_id, round(CASE WHEN n = 1 THEN x ELSE (x - s / n) / (sd + 1e-6) END, 4) + 0.0 AS grpo,
   round(CASE WHEN n = 1 THEN x ELSE (x - (s - x) / (n - 1)) / (sqrt(CASE WHEN n <= 2 OR lo = hi OR (x < hi AND len(list_filter(l, lambda z: z = hi)) = n - 1) OR (x > lo AND len(list_filter(l, lambda z: z = lo)) = n - 1) THEN 0
-    ELSE greatest((q - x * x - (s - x) * (s - x) / (n - 1)) / (n - 2), 0) END) + 1e-6) END, 2) AS loo FROM r JOIN g ON r.task_id IS NOT DISTINCT FROM g.task_id""",
+    ELSE greatest((q - x * x - (s - x) * (s - x) / (n - 1)) / (n - 2), 0) END) + 1e-6) END, 2) + 0.0 AS loo FROM r JOIN g ON r.task_id IS NOT DISTINCT FROM g.task_id""",
     "logprob_delta": f"""WITH {_D}, z AS (SELECT delivery_id, trace_no, list_transform(list_filter(range(0, least(len(lp), n, nm)), lambda i: m[i + 1] = 1 AND lp[i + 1] IS NOT NULL), lambda i: abs(lp[i + 1] + 0.03125::DOUBLE * (i % 7 + 1))) AS v FROM d WHERE lp IS NOT NULL)
 SELECT delivery_id, trace_no, len(v) AS n, round(list_avg(v), 6) AS mean, round(list_max(v), 6) AS max, len(list_filter(v, lambda x: x > 0.2)) AS over FROM z WHERE len(v) > 0""",
     "collection_comparison": _EPISODES + """ SELECT coalesce(split, 'none') AS split, count(*) AS n, round(avg(n_response), 4) AS mean_response, min(n_response) AS min_response, max(n_response) AS max_response, sum(n_trained)::BIGINT AS n_trained,
