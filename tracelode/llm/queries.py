@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelode.llm import conversations, mixing, packing, pairs, residue, split, tokens
 from tracelode.sources.tables import table
@@ -37,7 +38,8 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_messages(spark: SparkSession, root: str) -> DataFrame:
-    return conversations.conversations(table(spark, root, "pi_polar_transcript"))
+    rows = conversations.conversations(table(spark, root, "pi_polar_transcript"))
+    return rows.select("id", "pos", "role", F.unix_millis("timestamp").alias("timestamp_ms"), "text")
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -110,5 +112,5 @@ ORACLE = {
     "p2_found": "SELECT DISTINCT case_id, page, chunk_idx FROM chunks WHERE length(text) > 1000",
     "p3_found": "SELECT DISTINCT trace_id FROM traces WHERE coalesce(len(prompt_ids), 0) + coalesce(len(response_ids), 0) > 4096",
     "p4_found": _MESSAGES + "SELECT id, reason FROM verdict WHERE reason IS NOT NULL",
-    "p4_messages": _MESSAGES + "SELECT m.id, pos, role, make_timestamp(instant * 1000) AS timestamp, CASE WHEN bare THEN NULL ELSE text END AS text FROM m JOIN verdict USING (id) WHERE reason IS NULL",
+    "p4_messages": _MESSAGES + "SELECT m.id, pos, role, instant AS timestamp_ms, CASE WHEN bare THEN NULL ELSE text END AS text FROM m JOIN verdict USING (id) WHERE reason IS NULL",
 }
