@@ -146,3 +146,29 @@ def test_envelopes(spark):
     assert rows(E.screen(df), "body_id", "member_no", "reason") == sorted([(0, 0, None), (1, 0, None), (1, 1, None), (2, 0, None), (2, 1, "not_an_object"), (3, 0, "unsafe_session_id"), (4, 0, "no_trajectory"), (5, -1, "no_member"), (6, -1, "no_member")], key=repr)
     assert rows(E.accepted_members(df)) == [(0, 0, "s"), (1, 1, "s")]
     assert E.screen(df.limit(0)).count() == 0
+
+
+def test_rosters_and_settings(spark):
+    import hashlib
+
+    ok = hashlib.sha256(b'[{"a":1}]').hexdigest()
+    df = spark.createDataFrame([('[{"a": 1}]',), ('[{"a": 1.0}]',), ("[]",), ("{}",), (None,), ("[NaN]",)], "t string")
+    got = [r[0] for r in df.select(R.roster_rules(F.col("t"), [ok])).collect()]
+    assert got[0] == [] and got[1][0].startswith(R.G3_NOT_APPROVED + ":") and got[2] == got[3] == got[4] == [R.G3_MISSING] and got[5] == [R.G3_NOT_APPROVED + ":unhashable"]
+    good = hashlib.sha256(b'{"k":true}').hexdigest()
+    df = spark.createDataFrame([('{"k": true}',), ("{}",), ("[1]",), ('{"k": 1}',)], "t string")
+    got = [r[0] for r in df.select(R.settings_rules(F.col("t"), [good])).collect()]
+    assert got[0] == [] and got[1] == got[2] == [R.G7_SETTINGS] and got[3][0].startswith(R.G7_SETTINGS_NOT_APPROVED + ":")
+
+
+def test_full_chain_snapshot(spark):
+    schema = "s struct<chains_total:int,chains_reconstructed_truncated:int,completions_total:int,completions_merged:int,raw_completions_total:int>"
+    for stats, want in (((1, 0, 2, 2, 2), []), ((1, 1, 2, 2, 3), ["G7:chains_truncated:1", "G7:raw_completions_ne_total:3!=2"]), ((1, None, 2, 2, 2), ["G7:missing_evidence:reconstruction_stats.chains_reconstructed_truncated"])):
+        assert findings(spark, schema, (stats,), R.chain_rules(F.col("s"), full=True)) == want
+
+
+def test_builder_findings_and_reasoning(spark):
+    for f, want in ((["a", "b"], ["ADM2:builder_findings_present:2", "a", "b"]), ([], []), (None, [])):
+        assert findings(spark, "f array<string>", (f,), R.builder_rules(F.col("f"))) == want
+    for m, want in (("3", ["TR2:reasoning_loss_mask_masked_tokens:3"]), ("0", []), ("False", []), ("", []), (None, [])):
+        assert findings(spark, "m string", (m,), R.reasoning_rules(F.col("m"))) == want

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from tracelode.functions.arrays import ends_with, finding, indices, let, mask_runs, offenders
 from tracelode.functions.text import flat_content, page_refs, timestep_of
-from tracelode.functions.wire import element_kinds
+from tracelode.functions.wire import canonical_hash, element_kinds, member_names
 
 # Finding identifiers, byte-stable (fixed values).
 ADM1 = "ADM1:status_not_completed"
+ADM2 = "ADM2:builder_findings_present"
 ADM3 = "ADM3:trajectory_missing"
 ADM4 = "ADM4:no_traces"
 ADM5 = "ADM5:malformed_trace"
@@ -39,7 +40,11 @@ G6_INTERSTITIAL = "G6:interstitial_ne_tail_ids"
 G6_TURNS = "G6:missing_evidence:turns"
 G6_PROMPT = "G6:prompt_suffix_ne_tail_ids"
 G7_CHAINS = "G7:chains_total_ne_1"
+G7_TRUNCATED = "G7:chains_truncated"
 G7_MERGED = "G7:completions_merged_ne_total"
+G7_RAW = "G7:raw_completions_ne_total"
+G7_SETTINGS = "G7:missing_evidence:settings"
+G7_SETTINGS_NOT_APPROVED = "G7:settings_hash_not_approved"
 G7_STATS = "G7:missing_evidence:reconstruction_stats"
 H41 = "H41:roster_offered_zero_tool_calls"
 LP1 = "LP1:response_logprobs_absent"
@@ -52,6 +57,7 @@ LP7 = "LP7:empty_loss_mask"
 LP8 = "LP8:loss_mask_length_ne_response_ids"
 LP9 = "LP9:loss_mask_value_not_binary"
 TR1 = "TR1:finish_reason_not_allowed"
+TR2 = "TR2:reasoning_loss_mask_masked_tokens"
 TR3 = "TR3:split_not_train_or_eval"
 FINISH_REASONS = ["stop", "tool_calls", "stop_sequence", "length"]
 SPLITS = ["train", "eval"]
@@ -178,17 +184,49 @@ def tail_rules(prompt: Column, response: Column, mask: Column, tails: list[list[
     return let(mask_runs(mask), judge)
 
 
-def chain_rules(stats: Column) -> Column:
-    """G7 over the statistics at hand (chains_total, completions_total, completions_merged); the first missing one is told alone."""
-    keys = ["chains_total", "completions_total", "completions_merged"]
+def chain_rules(stats: Column, full: bool = False) -> Column:
+    """G7 over the statistics of a reconstruction; the first missing one is told alone.
+
+    ``stats`` has chains_total, completions_total and completions_merged, and if ``full`` also
+    chains_reconstructed_truncated and raw_completions_total.
+    """
+    keys = ["chains_total", *["chains_reconstructed_truncated"] * full, "completions_total", "completions_merged", *["raw_completions_total"] * full]
     missing = F.coalesce(*[F.when(stats[k].isNull(), F.lit(f"{G7_STATS}.{k}")) for k in keys])
+    total = stats["completions_total"]
     rest = F.concat(
         finding(stats["chains_total"] != 1, f"{G7_CHAINS}:", stats["chains_total"]),
-        finding(stats["completions_merged"] != stats["completions_total"], f"{G7_MERGED}:", stats["completions_merged"], "!=", stats["completions_total"]),
+        *([finding(stats["chains_reconstructed_truncated"] != 0, f"{G7_TRUNCATED}:", stats["chains_reconstructed_truncated"])] if full else []),
+        finding(stats["completions_merged"] != total, f"{G7_MERGED}:", stats["completions_merged"], "!=", total),
+        *([finding(stats["raw_completions_total"] != total, f"{G7_RAW}:", stats["raw_completions_total"], "!=", total)] if full else []),
     )
     return F.when(stats.isNull(), F.array(F.lit(G7_STATS))).when(missing.isNotNull(), F.array(missing)).otherwise(rest)
 
 
+def _hash_rules(given: Column, digest: Column, approved: list[str], missing: str, not_approved: str) -> Column:
+    known = F.coalesce(digest.isin(*approved), F.lit(False)) if approved else F.lit(False)
+    return F.when(~F.coalesce(given, F.lit(False)), F.array(F.lit(missing))).otherwise(finding(~known, f"{not_approved}:", F.coalesce(digest, F.lit("unhashable"))))
+
+
+def roster_rules(tools: Column, approved: list[str]) -> Column:
+    """G3 over the JSON text of the offered tools: a list that isn't empty, of an approved canonical hash."""
+    return _hash_rules(F.size(element_kinds(tools)) > 0, canonical_hash(tools), approved, G3_MISSING, G3_NOT_APPROVED)
+
+
+def settings_rules(settings: Column, approved: list[str]) -> Column:
+    """G7's settings over the JSON text of the echo: an object that isn't empty, of an approved canonical hash."""
+    return _hash_rules(F.size(member_names(settings)) > 0, canonical_hash(settings), approved, G7_SETTINGS, G7_SETTINGS_NOT_APPROVED)
+
+
+def builder_rules(findings: Column) -> Column:
+    """ADM2: how many findings the builder had, then each as it is; none for null or empty."""
+    return F.when(_len(findings) > 0, F.concat(F.array(F.concat(F.lit(f"{ADM2}:"), F.size(findings).cast("string"))), findings)).otherwise(_empty())
+
+
+def reasoning_rules(masked: Column) -> Column:
+    """TR2 over the text of a count of masked reasoning ids: null, 0, false and the empty text pass."""
+    return finding(~F.coalesce(F.lower(masked), F.lit("0")).isin("", "0", "false"), f"{TR2}:", masked)
+
+
 def admission_rules(status: Column, trajectory: Column) -> Column:
     """ADM1, then ADM3 alone, or ADM4 and one ADM5 for each element of traces that is null."""
     traces = trajectory["traces"]
