@@ -13,7 +13,7 @@ from tracelode.functions.arrays import let
 PAGE_MEMBER, PAGE_FILE, TIMESTEP_MEMBER, CITATION = r'"page"\s*:\s*(\d+)', r"md/page_(\d{4})\.md", r'"timestep"\s*:\s*(\d+)', r"page:(\d+)"
 #: Role and end marks of the byte-level ids (fixed values).
 SYSTEM, USER, ASSISTANT, TOOL, END = 256, 257, 258, 259, 260
-FACT = r"^FACT-(.+)-([0-9]{4})-([0-9]+): (.*)$"
+FACT = r"(?s)^FACT-(.+)-([0-9]{4})-([0-9]+): (.*)\z"
 WINDOW, OVERLAP = 220, 40
 _WORD = r"[ \t\r\n]*[^ \t\r\n]+"
 
