@@ -139,6 +139,16 @@ def test_raw_masks(spark):
     assert rows(R.raw_mask_findings(df, "k", "mask")) == [(2, "LP9:loss_mask_value_not_binary:first=1:count=5")]
 
 
+def test_raw_masks_of_every_member_and_trace(spark, tmp_path):
+    from tracelode.plans.trace_queries import raw_mask_gate
+
+    member = lambda *masks: '{"trajectory": {"traces": [' + ", ".join(f'{{"loss_mask": {m}}}' for m in masks) + "]}}"
+    texts = [member("[0, 1]", "[1, true]"), f'{{"results": [{member("[0]")}, 5, {member("[1]", "null", "[1.0, 0]")}]}}', f'{{"session_result": {member('["1"]')}}}', '{"trajectory": {"traces": [null, {}, 3]}}', "oops", None]
+    spark.createDataFrame(list(enumerate(texts)), "body_id int, body string").write.parquet(f"{tmp_path}/wire_bodies.parquet")
+    said = "LP9:loss_mask_value_not_binary:first={}:count=1"
+    assert rows(raw_mask_gate(spark, str(tmp_path))) == [(0, 0, 1, said.format(1)), (1, 2, 2, said.format(0)), (2, 0, 0, said.format(0))]
+
+
 def test_envelopes(spark):
     ok = '{"session_id": "s", "trajectory": {}}'
     texts = [ok, f'{{"results": [{ok}, {ok}]}}', f'{{"results": [{ok}, 5]}}', '{"session_id": "../x", "trajectory": {}}', '{"session_id": "s"}', "oops", None]

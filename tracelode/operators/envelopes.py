@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -45,3 +46,26 @@ def accepted_members(bodies: DataFrame) -> DataFrame:
     whole = Window.partitionBy("body_id")
     last = Window.partitionBy("body_id", "session_id").orderBy(F.col("member_no").desc())
     return rows.withColumn("ok", F.min("fit").over(whole)).where("ok").withColumn("k", F.row_number().over(last)).where("k = 1").select("body_id", "member_no", "session_id")
+
+
+def raw_masks(bodies: DataFrame) -> DataFrame:
+    """The loss masks in bodies, of every member and trace, as JSON text: body_id, member_no, trace_no, mask.
+
+    A mask is whatever stands there but null; a text that isn't one whole JSON object has none (``screen`` tells them).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i, m in enumerate(members_of(text)):
+                    trajectory = m.get("trajectory") if isinstance(m, dict) else None
+                    traces = trajectory.get("traces") if isinstance(trajectory, dict) else None
+                    for k, t in enumerate(traces if isinstance(traces, list) else ()):
+                        mask = t.get("loss_mask") if isinstance(t, dict) else None
+                        if mask is not None:
+                            rows.append((key, i, k, json.dumps(mask)))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["body_id", "member_no", "trace_no", "mask"])
+
+    return bodies.select(F.col("body_id").cast("bigint"), "body").mapInArrow(run, "body_id bigint, member_no int, trace_no int, mask string")

@@ -265,12 +265,13 @@ def toolless_rules(offered: Column, messages: Column, policy: Policy = Policy())
     return finding(F.coalesce(F.size(offered) > 0, F.lit(False)) & ~F.coalesce(called, F.lit(False)), H41)
 
 
-def raw_mask_findings(rows: DataFrame, key: str, mask_json: str) -> DataFrame:
+def raw_mask_findings(rows: DataFrame, key: str | list[str], mask_json: str) -> DataFrame:
     """LP9 on raw JSON masks: an element must be the integer 0 or 1; true, "1" and 1.0 aren't."""
+    keys = [key] if isinstance(key, str) else key
     kinds, values = element_kinds(F.col(mask_json)), F.from_json(mask_json, "array<string>")
-    rows = rows.select(key, kinds.alias("kinds"), values.alias("values"))
+    rows = rows.select(*keys, kinds.alias("kinds"), values.alias("values"))
     bad = F.filter(indices(F.col("kinds")), lambda i: (F.get("kinds", i) != "int") | ~F.coalesce(F.get("values", i).isin("0", "1"), F.lit(False)))
-    return rows.select(key, F.explode(offenders(LP9, bad)).alias("finding"))
+    return rows.select(*keys, F.explode(offenders(LP9, bad)).alias("finding"))
 
 
 def explode_findings(rows: DataFrame, keys: list[str], found: Column) -> DataFrame:

@@ -93,9 +93,8 @@ def workspace_gate(spark: SparkSession, root: str) -> DataFrame:
 
 
 def raw_mask_gate(spark: SparkSession, root: str) -> DataFrame:
-    """LP9 on the masks as they stand in bare wire bodies."""
-    b = table(spark, root, "wire_bodies").select("body_id", F.get_json_object("body", "$.trajectory.traces[0].loss_mask").alias("mask")).where("mask IS NOT NULL")
-    return R.raw_mask_findings(b, "body_id", "mask")
+    """LP9 on the masks as they stand in wire bodies, those of every member and trace."""
+    return R.raw_mask_findings(E.raw_masks(table(spark, root, "wire_bodies")), ["body_id", "member_no", "trace_no"], "mask")
 
 
 def accept_quarantine(spark: SparkSession, root: str) -> DataFrame:
