@@ -149,6 +149,24 @@ def test_raw_masks_of_every_member_and_trace(spark, tmp_path):
     assert rows(raw_mask_gate(spark, str(tmp_path))) == [(0, 0, 1, said.format(1)), (1, 2, 2, said.format(0)), (2, 0, 0, said.format(0))]
 
 
+def test_divergence_in_any_trace(spark, tmp_path):
+    import duckdb
+
+    from tracelode.plans import trace_queries as Q
+    from tracelode.schemas import DELIVERY
+
+    def delivery(n, session, *traces):
+        return {"delivery_id": n, "session_id": session, "trajectory": None if traces == (None,) else {"traces": [t and {"response_ids": t} for t in traces]}}
+
+    data = [delivery(0, "s", None), delivery(1, "s", [1, 2], [3, 4]), delivery(2, "s", [1, 2], [3, 5]), delivery(3, "s", [1, 2], [3, 4], [6]), delivery(4, "s", [1, 2]), delivery(5, "s", None, [3, 4]), delivery(6, "t", [1]), delivery(7, None, [1])]
+    spark.createDataFrame([tuple(d.get(f.name) for f in DELIVERY.fields) for d in data], DELIVERY).write.parquet(f"{tmp_path}/pi_polar_task_status.parquet")
+    want = [("s", 2, 0, None), ("s", 2, 1, 1), ("s", 3, 0, None), ("s", 3, 1, None), ("s", 3, 2, 0), ("s", 4, 0, None), ("s", 4, 1, 0), ("s", 5, 0, 0), ("s", 5, 1, None)]
+    assert rows(Q.delivery_divergence_traces(spark, str(tmp_path))) == sorted(want, key=repr)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pi_polar_task_status AS SELECT * FROM read_parquet('{tmp_path}/pi_polar_task_status.parquet/*.parquet')")
+    assert sorted(c.execute(Q.ORACLE["delivery_divergence_traces"]).fetchall(), key=repr) == sorted(want, key=repr)
+
+
 def test_envelopes(spark):
     ok = '{"session_id": "s", "trajectory": {}}'
     texts = [ok, f'{{"results": [{ok}, {ok}]}}', f'{{"results": [{ok}, 5]}}', '{"session_id": "../x", "trajectory": {}}', '{"session_id": "s"}', "oops", None]

@@ -209,13 +209,30 @@ def logprob_delta(spark: SparkSession, root: str) -> DataFrame:
 
 
 def delivery_divergence(spark: SparkSession, root: str) -> DataFrame:
-    """Later deliveries of a session's first trace against the earliest one: where their response ids first differ."""
+    """Later deliveries of a session's first trace against the earliest one: where their response ids first differ.
+
+    Of the first trace only, as its SQL has it; ``delivery_divergence_traces`` compares all.
+    """
     t = _delivered(spark, root).where("trace_no = 0 AND session_id IS NOT NULL").select("session_id", "delivery_id", "response_ids")
     first = t.groupBy("session_id").agg(F.min(F.struct("delivery_id", "response_ids")).alias("f")).select("session_id", F.col("f.delivery_id").alias("first_id"), F.col("f.response_ids").alias("first_ids"))
     later = t.join(first, "session_id").where("delivery_id > first_id")
     return later.select("session_id", "delivery_id", first_divergence(F.col("first_ids"), F.col("response_ids")).alias("diverges_at"))
 
 
+def delivery_divergence_traces(spark: SparkSession, root: str) -> DataFrame:
+    """Later deliveries of a session against the earliest one, trace by trace: where the response ids first differ.
+
+    Deliveries without a trace aren't compared. A trace that only one of the two has stands against no ids.
+    """
+    held = F.transform("trajectory.traces", lambda t: F.when(t.isNotNull(), F.struct(t["response_ids"].alias("ids"))))
+    d = _deliveries(spark, root).where("session_id IS NOT NULL").select("session_id", "delivery_id", held.alias("held")).where(F.exists("held", lambda t: t.isNotNull()))
+    first = d.groupBy("session_id").agg(F.min(F.struct("delivery_id", "held")).alias("f")).select("session_id", F.col("f.delivery_id").alias("first_id"), F.col("f.held").alias("first"))
+    later = d.join(first, "session_id").where("delivery_id > first_id")
+    pairs = later.withColumn("trace_no", F.explode(F.sequence(F.lit(0), F.greatest(F.size("first"), F.size("held")) - 1))).withColumns({"a": F.get("first", "trace_no"), "b": F.get("held", "trace_no")})
+    ids = lambda t: F.when(F.col(t).isNull(), F.array().cast("array<int>")).otherwise(F.col(f"{t}.ids"))
+    return pairs.where("a IS NOT NULL OR b IS NOT NULL").select("session_id", "delivery_id", "trace_no", first_divergence(ids("a"), ids("b")).alias("diverges_at"))
+
+
 def collection_comparison(spark: SparkSession, root: str) -> DataFrame:
     return A.collection(_traces(spark, root).withColumn("split", F.coalesce("split", F.lit("none"))), "split")
 
@@ -254,7 +271,7 @@ def message_texts(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     logprob_discipline, trace_tripwires, page_cutoff_gate, turn_opening_tail, chain_snapshot_gate, admission_gate, prompt_source_gate, system_prompt_gate, workspace_gate, raw_mask_gate, accept_quarantine,
     disposition_counts, streaming_validate, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, session_findings,
-    episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, collection_comparison, message_texts, token_stream, marked_tokens, opening_kinds, redelivery_changes)}
+    episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, delivery_divergence_traces, collection_comparison, message_texts, token_stream, marked_tokens, opening_kinds, redelivery_changes)}
 
 
 _T = "tr AS (SELECT * FROM traces QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_at) = 1)"
@@ -381,6 +398,11 @@ f AS (SELECT delivery_id, trace_no, seq, {" || ".join([_if("coalesce(len(cp), 0)
 SELECT delivery_id, trace_no, seq, unnest(l) AS finding FROM f""",
     "delivery_divergence": f"""WITH {_D}, t AS (SELECT session_id, delivery_id, r FROM d WHERE trace_no = 0 AND session_id IS NOT NULL), f AS (SELECT session_id, min(delivery_id) AS first_id, arg_min(r, delivery_id) AS a FROM t GROUP BY 1)
 SELECT session_id, delivery_id, coalesce(list_filter(range(0, least(len(a), len(r))), lambda i: a[i + 1] IS DISTINCT FROM r[i + 1])[1], CASE WHEN len(a) <> len(r) THEN least(len(a), len(r)) END)::INT AS diverges_at FROM t JOIN f USING (session_id) WHERE delivery_id > first_id""",
+    "delivery_divergence_traces": f"""WITH {_D}, t AS (SELECT session_id, delivery_id, trace_no, r FROM d WHERE session_id IS NOT NULL), s AS (SELECT session_id, min(delivery_id) AS first_id FROM t GROUP BY 1),
+f AS (SELECT session_id, trace_no, r FROM t JOIN s USING (session_id) WHERE delivery_id = first_id), l AS (SELECT t.* FROM t JOIN s USING (session_id) WHERE delivery_id > first_id),
+k AS (SELECT session_id, delivery_id, trace_no FROM l UNION SELECT session_id, l.delivery_id, f.trace_no FROM l JOIN f USING (session_id)),
+x AS (SELECT k.*, CASE WHEN f.trace_no IS NULL THEN [] ELSE f.r END AS a, CASE WHEN l.trace_no IS NULL THEN [] ELSE l.r END AS b FROM k LEFT JOIN f USING (session_id, trace_no) LEFT JOIN l USING (session_id, delivery_id, trace_no))
+SELECT session_id, delivery_id, trace_no, coalesce(list_filter(range(0, least(len(a), len(b))), lambda i: a[i + 1] IS DISTINCT FROM b[i + 1])[1], CASE WHEN len(a) <> len(b) THEN least(len(a), len(b)) END)::INT AS diverges_at FROM x""",
     "envelope_screen": MEMBERS + f""" SELECT body_id, member_no, sid AS session_id, reason IS NULL AS fit, reason FROM (SELECT body_id, member_no, CASE WHEN json_type(m, '$.session_id') = 'VARCHAR' THEN m ->> '$.session_id' END AS sid,
   CASE WHEN json_type(m) <> 'OBJECT' THEN 'not_an_object' WHEN NOT coalesce(json_type(m, '$.session_id') = 'VARCHAR' AND regexp_full_match(m ->> '$.session_id', '[A-Za-z0-9][A-Za-z0-9._-]*'), false) THEN 'unsafe_session_id'
     WHEN json_type(m, '$.trajectory') IS DISTINCT FROM 'OBJECT' THEN 'no_trajectory' END AS reason FROM members)
