@@ -25,6 +25,12 @@ def test_rules(question, answer, want):
     assert P.find_defects(question, answer) == want
 
 
+def test_copy_with_many_words_misspelt():
+    q = "Which surveyor counted the broken crates twice before the harbour office closed the ledger and returned every voucher?"
+    assert P.copies(q, "Which surveyro conuted the borken crtaes twcie befroe the harbuor offcie closed the legder and retunred evrey voucehr?")
+    assert not P.copies(q, "Which surveyor told the broker that crews twist beneath the arbour while officers chose the lodge and retired in winter?")
+
+
 def test_plain_text():
     for content, want in (("x", "x"), ('{"type": "text", "text": "a"}', "a"), ('["a", {"type": "text", "text": "b"}]', "ab"), ('{"type": "text"}', ""), ("[1]", "[1]"), ("{oops", "{oops"), (None, None), ('[{"page": 1}]', '[{"page": 1}]')):
         assert P.plain_text(content) == want

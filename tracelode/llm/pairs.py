@@ -151,15 +151,18 @@ def copies(question: str, answer: str) -> bool:
         return False
     has = set(q)
     left = [w for w in a if w not in has]
-    if len(left) > max(6, len(a) // 4):  # no copy has so many words of its own, however they are spelled
-        return False
     traces: dict[str, str] = {}  # what a word leaves behind: its sorted letters, and itself less any one letter
     for w in has if left else ():
         for t in _left_behind(w):
             traces.setdefault(t, w)
-    twin = {w: next((traces[t] for t in _left_behind(w) if t in traces and _near(w, traces[t])), None) for w in set(left)}
-    if sum(twin[w] is None for w in left) > max(2, len(a) // 10):
-        return False
+    twin: dict[str, str | None] = {}
+    new = 0
+    for w in left:
+        if w not in twin:
+            twin[w] = next((traces[t] for t in _left_behind(w) if t in traces and _near(w, traces[t])), None)
+        new += twin[w] is None
+        if new > max(2, len(a) // 10):
+            return False
     last = [s for s in _SENTENCES.split(question) if words(s)][-1]
     got, core = set(a) | set(twin.values()), words(last)
     return sum(w in got for w in core) >= 0.7 * len(core)
