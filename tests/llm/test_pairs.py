@@ -31,6 +31,19 @@ def test_copy_with_many_words_misspelt():
     assert not P.copies(q, "Which surveyor told the broker that crews twist beneath the arbour while officers chose the lodge and retired in winter?")
 
 
+def test_near_words_are_all_compared():
+    # Whichever word is indexed first, 'ear' is no twin of 'hear', being short; 'year' is.
+    groups = [("hear", "ear", "year"), ("boat", "oat", "goat"), ("mice", "ice", "dice"), ("bold", "old", "cold"), ("wink", "ink", "link"), ("land", "and", "sand"), ("ball", "all", "tall"), ("farm", "arm", "warm")]
+    w, x, y = (" ".join(g[i] for g in groups) for i in range(3))
+    assert P.copies(f"{x}. {y}?", w)
+    # An answer's word may stand for each word that it is near.
+    assert P.copies("kept kent sept?", "kepts kent sept")
+    words = [c * 20 + "qrstuvwxyz" * 3 for c in "abcd"]
+    assert P.copies(" ".join(words), " ".join(w[:30] + w[31:] for w in words)) and P.copies(" ".join(words), " ".join(w[:30] + "a" + w[31:] for w in words))
+    assert P.copies(" ".join(w[:40] for w in words), " ".join(w[:39] for w in words)) and P.copies(" ".join(w[:39] for w in words), " ".join(w[:40] for w in words))
+    assert not P.copies(" ".join(words), " ".join(w[:30] + w[32:] for w in words))
+
+
 def test_plain_text():
     for content, want in (("x", "x"), ('{"type": "text", "text": "a"}', "a"), ('["a", {"type": "text", "text": "b"}]', "ab"), ('{"type": "text"}', ""), ("[1]", "[1]"), ("{oops", "{oops"), (None, None), ('[{"page": 1}]', '[{"page": 1}]')):
         assert P.plain_text(content) == want

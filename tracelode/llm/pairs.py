@@ -137,9 +137,13 @@ def _near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
 
+#: Words of so many letters are compared directly: what they leave behind grows with the square of their length.
+_LONG = 40
+
+
 def _left_behind(word: str) -> set[str]:
-    """What near words share: the sorted letters, or a word less one letter at most."""
-    return {"=" + "".join(sorted(word)), word} | {word[:i] + word[i + 1 :] for i in range(len(word)) if len(word) < 40}
+    """What near words share: the sorted letters, or a word less one letter at most; long words are left whole."""
+    return {"=" + "".join(sorted(word)), word} | {word[:i] + word[i + 1 :] for i in range(len(word)) if len(word) < _LONG}
 
 
 def copies(question: str, answer: str) -> bool:
@@ -151,20 +155,22 @@ def copies(question: str, answer: str) -> bool:
         return False
     has = set(q)
     left = [w for w in a if w not in has]
-    traces: dict[str, str] = {}  # what a word leaves behind: its sorted letters, and itself less any one letter
+    traces: dict[str, list[str]] = {}  # the words that leave something behind: their sorted letters, and themselves less any one letter
     for w in has if left else ():
         for t in _left_behind(w):
-            traces.setdefault(t, w)
-    twin: dict[str, str | None] = {}
+            traces.setdefault(t, []).append(w)
+    long = [w for w in has if len(w) >= _LONG - 1]
+    twins: dict[str, set[str]] = {}
     new = 0
     for w in left:
-        if w not in twin:
-            twin[w] = next((traces[t] for t in _left_behind(w) if t in traces and _near(w, traces[t])), None)
-        new += twin[w] is None
+        if w not in twins:
+            near = {x for t in _left_behind(w) for x in traces.get(t, ()) if _near(w, x)}
+            twins[w] = near.union(x for x in long if _near(w, x)) if len(w) >= _LONG - 1 else near
+        new += not twins[w]
         if new > max(2, len(a) // 10):
             return False
     last = [s for s in _SENTENCES.split(question) if words(s)][-1]
-    got, core = set(a) | set(twin.values()), words(last)
+    got, core = set(a).union(*twins.values()), words(last)
     return sum(w in got for w in core) >= 0.7 * len(core)
 
 
