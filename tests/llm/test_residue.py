@@ -42,6 +42,15 @@ def test_no_evidence(text):
     assert R.evidence(text) == []
 
 
+@pytest.mark.parametrize("kind, text", [
+    ("filler", "Lorem ipsum (1) " + "dolmen hendro 7 elit sagirat " * 20), ("error", "The page you requested could not be found in any of the lists of 2014, " + "such as the list of SN-12 or that of AZ-7, " * 15),
+    ("script", "Please enable JavaScript to see " + "the exhibits 1 to 40, the ledger of 2014, " * 15), ("script", "-" * 500 + " Please enable JavaScript to see the 40 exhibits"),
+])
+def test_evidence_in_long_sentences(kind, text):
+    assert len(text) > 400 and {k for _, k, _ in R.evidence(f"{REAL} {text}")} == {kind}
+    assert R.evidence(f"{REAL} {REAL[:-1]}, and {text}") == []
+
+
 def test_long_texts_end_soon():
     import time
 

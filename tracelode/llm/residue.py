@@ -106,6 +106,7 @@ _FIELD_NAMES = set(
 
 #: Without one of these a sentence holds no field, or no word for scripts; looked for first.
 _MAY_FIELD = re.compile(r"[\[{<«%@#$]|__|\((?!page:)|[Tt](?:ODO|odo|BD|bd)|F(?:IXME|ixme)|fixme")
+_EDGE = re.compile(r"\W*")
 _MAY_SCRIPT = ("script", "js", "skript", "guiones", "comandos")
 
 
@@ -277,8 +278,7 @@ def _line_kind(line: str) -> str | None:
             continue
         if may_field and _has_field(s) and not _ON_FIELDS.search(_FIELD.sub(' ', s)):
             return PLACEHOLDER
-        if len(s) > 400:
-            continue
+        s = s[_EDGE.match(s).end() :] if len(s) > 400 else s  # the patterns would try each place of a long edge
         said = FILLER if _FILLER.match(s) else ERROR if _ERROR_SENTENCE.match(s) else SCRIPT if may_script and _SCRIPT_SENTENCE.match(s) else None
         if said and not tells(s):
             return said
