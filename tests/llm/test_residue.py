@@ -51,6 +51,12 @@ def test_evidence_in_long_sentences(kind, text):
     assert R.evidence(f"{REAL} {REAL[:-1]}, and {text}") == []
 
 
+@pytest.mark.parametrize("field", ["(page: to be completed)", "(page: 12, to be confirmed)", "(page:4 por completar)", "(page: ergänzen)"])
+def test_field_for_a_page(field):
+    assert R.evidence(f"The surveyor put the loss at 5294 crowns {field}.") == [(0, "placeholder", f"The surveyor put the loss at 5294 crowns {field}.")]
+    assert R.evidence("The surveyor put the loss at 5294 crowns (page: 12), and more (page:3-4).") == []
+
+
 def test_long_texts_end_soon():
     import time
 

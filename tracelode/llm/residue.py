@@ -104,8 +104,8 @@ _FIELD_NAMES = set(
 )
 
 
-#: Without one of these a sentence holds no field, or no word for scripts; looked for first.
-_MAY_FIELD = re.compile(r"[\[{<«%@#$]|__|\((?!page:)|[Tt](?:ODO|odo|BD|bd)|F(?:IXME|ixme)|fixme")
+#: Without one of these a sentence holds no field, or no word for scripts; looked for first. Page numbers alone are none.
+_MAY_FIELD = re.compile(r"[\[{<«%@#$]|__|\((?!page:[\d\s,–-]*\))|[Tt](?:ODO|odo|BD|bd)|F(?:IXME|ixme)|fixme")
 _EDGE = re.compile(r"\W*")
 _MAY_SCRIPT = ("script", "js", "skript", "guiones", "comandos")
 
