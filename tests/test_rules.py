@@ -167,6 +167,18 @@ def test_divergence_in_any_trace(spark, tmp_path):
     assert sorted(c.execute(Q.ORACLE["delivery_divergence_traces"]).fetchall(), key=repr) == sorted(want, key=repr)
 
 
+def test_redeliveries_of_other_trajectories_and_null_tasks(spark, tmp_path):
+    from tracelode.plans.trace_queries import redelivery_changes
+    from tracelode.schemas import DELIVERY
+
+    def delivery(n, task, ids, status="COMPLETED"):
+        return {"delivery_id": n, "session_id": "s", "task_id": task, "status": status, "trajectory": ids and {"traces": [{"response_ids": ids}]}}
+
+    data = [delivery(0, "t", [1, 2]), delivery(1, "t", [1, 2]), delivery(2, "t", [1, 3]), delivery(3, "t", None), delivery(4, None, [1]), delivery(5, None, [1], "FAILED"), delivery(6, "u", None), delivery(7, "u", [1])]
+    spark.createDataFrame([tuple(d.get(f.name) for f in DELIVERY.fields) for d in data], DELIVERY).write.parquet(f"{tmp_path}/pi_polar_task_status.parquet")
+    assert rows(redelivery_changes(spark, str(tmp_path))) == [(2, "trajectory", "changed"), (3, "trajectory", "only_a"), (5, "status", "changed"), (7, "trajectory", "only_b")]
+
+
 def test_envelopes(spark):
     ok = '{"session_id": "s", "trajectory": {}}'
     texts = [ok, f'{{"results": [{ok}, {ok}]}}', f'{{"results": [{ok}, 5]}}', '{"session_id": "../x", "trajectory": {}}', '{"session_id": "s"}', "oops", None]

@@ -247,11 +247,14 @@ def opening_kinds(spark: SparkSession, root: str) -> DataFrame:
 
 
 def redelivery_changes(spark: SparkSession, root: str) -> DataFrame:
-    """By which members a later delivery of a session and task differs from its first."""
-    body = F.to_json(F.struct("status", F.col("timing.init_ms").alias("init_ms"), F.col("timing.run_ms").alias("run_ms"), "node_id"))
+    """By which members a later delivery of a session and task differs from its first: status, timing, node_id, and trajectory by its digest.
+
+    Null task_ids are one task. The SQL compares no trajectories and no deliveries of null task_id.
+    """
+    body = F.to_json(F.struct("status", F.col("timing.init_ms").alias("init_ms"), F.col("timing.run_ms").alias("run_ms"), "node_id", F.sha2(F.to_json("trajectory"), 256).alias("trajectory")))
     d = _deliveries(spark, root).where("session_id IS NOT NULL").select("delivery_id", "session_id", "task_id", body.alias("body"))
-    first = d.groupBy("session_id", "task_id").agg(F.min(F.struct("delivery_id", "body")).alias("f"))
-    later = d.join(first, ["session_id", "task_id"]).where("delivery_id > f.delivery_id")
+    first = d.groupBy("session_id", "task_id").agg(F.min(F.struct("delivery_id", "body")).alias("f")).select(F.col("session_id").alias("s"), F.col("task_id").alias("t"), "f")
+    later = d.join(first, (F.col("session_id") == F.col("s")) & F.col("task_id").eqNullSafe(F.col("t"))).where("delivery_id > f.delivery_id")
     return K.member_diff(later, "delivery_id", F.col("f.body"), F.col("body"))
 
 
