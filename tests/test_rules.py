@@ -179,6 +179,19 @@ def test_redeliveries_of_other_trajectories_and_null_tasks(spark, tmp_path):
     assert rows(redelivery_changes(spark, str(tmp_path))) == [(2, "trajectory", "changed"), (3, "trajectory", "only_a"), (5, "status", "changed"), (7, "trajectory", "only_b")]
 
 
+def test_any_number_of_approved_cards(spark, tmp_path):
+    from tracelode.plans.trace_queries import prompt_source_gate
+    from tracelode.schemas import DELIVERY
+
+    n = 10_500
+    tasks = spark.range(n + 2).selectExpr("'t' || id AS task_id", f"CASE WHEN id < {n} THEN 'image-r5' ELSE 'image-r4' END AS sandbox_image", f"CASE WHEN id <= {n} THEN 'card ' || id END AS skill_card_text")
+    tasks.write.parquet(f"{tmp_path}/tasks.parquet")
+    delivery = {"delivery_id": 1, "trajectory": {"traces": [{"metadata": {"task_id": f"t{i}", "prompt_source": "skill:x"}} for i in range(n + 3)]}}
+    spark.createDataFrame([tuple(delivery.get(f.name) for f in DELIVERY.fields)], DELIVERY).write.parquet(f"{tmp_path}/pi_polar_task_status.parquet")
+    got = [(r.trace_no, r.finding[: len(R.G1_NOT_APPROVED)]) for r in prompt_source_gate(spark, str(tmp_path)).orderBy("trace_no").collect()]
+    assert got == [(n, R.G1_NOT_APPROVED), (n + 1, R.G1_CARD[: len(R.G1_NOT_APPROVED)]), (n + 2, R.G1_CARD[: len(R.G1_NOT_APPROVED)])]
+
+
 def test_envelopes(spark):
     ok = '{"session_id": "s", "trajectory": {}}'
     texts = [ok, f'{{"results": [{ok}, {ok}]}}', f'{{"results": [{ok}, 5]}}', '{"session_id": "../x", "trajectory": {}}', '{"session_id": "s"}', "oops", None]

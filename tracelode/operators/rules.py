@@ -235,11 +235,12 @@ def admission_rules(status: Column, trajectory: Column) -> Column:
     return F.concat(finding(~status.eqNullSafe(F.lit("COMPLETED")), f"{ADM1}:", status), F.when(trajectory.isNull(), F.array(F.lit(ADM3))).otherwise(F.concat(finding(none, ADM4), F.coalesce(malformed, _empty()))))
 
 
-def source_rules(source: Column, card_hash: Column, approved: list[str]) -> Column:
-    """G1: free prompts pass; a skill's card hash must be given and approved."""
+def source_rules(source: Column, card_hash: Column, approved: list[str] | Column) -> Column:
+    """G1: free prompts pass; a skill's card hash must be given and approved: one of a list, or as a column says."""
+    known = F.coalesce(approved, F.lit(False)) if isinstance(approved, Column) else card_hash.isin(*approved) if approved else F.lit(False)
     skill = F.coalesce(source.rlike(r"^skill:.*[^\s\p{Z}]"), F.lit(False))
     carded = F.coalesce(card_hash, F.lit("")) != ""
-    return F.when(F.coalesce(source == "free", F.lit(False)), _empty()).when(~skill, F.array(F.lit(G1_SOURCE))).when(~carded, F.array(F.lit(G1_CARD))).otherwise(finding(~card_hash.isin(*approved) if approved else F.lit(True), f"{G1_NOT_APPROVED}:", F.substring(card_hash, 1, 64)))
+    return F.when(F.coalesce(source == "free", F.lit(False)), _empty()).when(~skill, F.array(F.lit(G1_SOURCE))).when(~carded, F.array(F.lit(G1_CARD))).otherwise(finding(~known, f"{G1_NOT_APPROVED}:", F.substring(card_hash, 1, 64)))
 
 
 def system_prompts(traces: DataFrame, key: str) -> DataFrame:

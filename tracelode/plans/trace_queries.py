@@ -71,11 +71,12 @@ def admission_gate(spark: SparkSession, root: str) -> DataFrame:
 
 def prompt_source_gate(spark: SparkSession, root: str) -> DataFrame:
     """Traces' prompt sources; the digest of the task's card stands for the echoed hash, those of cards on r5 images are approved."""
-    tasks = table(spark, root, "tasks").select("task_id", F.sha2("skill_card_text", 256).alias("card_hash"))
-    approved = [r[0] for r in table(spark, root, "tasks").where("sandbox_image LIKE '%r5' AND skill_card_text IS NOT NULL").select(F.sha2("skill_card_text", 256)).distinct().limit(10_000).collect()]
+    tasks = table(spark, root, "tasks").select("task_id", "sandbox_image", F.sha2("skill_card_text", 256).alias("card_hash"))
+    approved = tasks.where("sandbox_image LIKE '%r5' AND card_hash IS NOT NULL").select("card_hash").distinct().withColumn("approved", F.lit(True))
+    tasks = tasks.drop("sandbox_image").join(approved, "card_hash", "left")
     t = _delivered(spark, root).select(*_KEYS, F.col("metadata.task_id").alias("task_id"), F.col("metadata.prompt_source").alias("source"))
     t = t.join(tasks, "task_id", "left")
-    return R.explode_findings(t, _KEYS, R.source_rules(F.col("source"), F.col("card_hash"), approved))
+    return R.explode_findings(t, _KEYS, R.source_rules(F.col("source"), F.col("card_hash"), F.col("approved")))
 
 
 def system_prompt_gate(spark: SparkSession, root: str) -> DataFrame:
