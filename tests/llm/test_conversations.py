@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from conftest import rows
 from tracelode.llm import conversations as C
 
@@ -112,3 +115,36 @@ def test_parent_pointers(spark):
             assert got[n] == (seen[-2], len(seen) - 2, "orphan"), n
     assert len(got) == len(parents)
     assert C.resolve_parents(spark.createDataFrame([], "node int, up int"), "node", "up").count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_rows_come_by_jumping(spark, data, monkeypatch, parts):
+    """Places and broken results are what ``jump`` makes of the pointers, at any number of tasks."""
+    lines = spark.read.parquet(f"{data}/pi_polar_transcript.parquet")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        kept, gone = rows(C.conversations(lines)), rows(C.dropped(lines))
+        assert kept and gone
+        seen, whole = [], C.jump
+        monkeypatch.setattr(C, "jump", lambda e, most: seen.append(set(e.columns)) or whole(e, most))
+        assert rows(C.dropped(lines)) == gone and len(seen) == 2
+        monkeypatch.setattr(C, "jump", lambda e, most: e)
+        assert rows(C.dropped(lines)) != gone
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_leap():
+    parent = np.array([0, 0, 1, 2, 4, 4, 3])
+    one = np.array([0, 1, 1, 1, 0, 1, 1])
+    root, hops = C.leap(parent, one)
+    assert root.tolist() == [0, 0, 0, 0, 4, 4, 0] and hops.tolist() == [0, 1, 2, 3, 0, 1, 4]
+
+
+def test_answers(spark):
+    """A result before its call, of its own message, and of a call nobody made."""
+    log = Log()
+    log.say("c", 1, "user", "q").say("c", 2, "tool", "r", answers="late").say("c", 3, "tool", "r", ["own"], answers="own").say("c", 4, "assistant", "x", ["late", "a"])
+    log.say("c", 5, "tool", "r", answers="a").say("c", 6, "tool", "r", answers="none").say("c", 7, "tool", "r").say("d", 1, "tool", "r", answers="a")
+    got = C.answers(C.place(C.messages(log.frame(spark)))).select("row", "status").collect()
+    assert sorted(map(tuple, got)) == [(1, "cycle"), (2, "cycle"), (4, "ok"), (5, "orphan"), (6, "orphan"), (7, "orphan")]
