@@ -1,4 +1,8 @@
+import time
+
+import heldout_residue
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from tracelode.llm import residue as R
@@ -83,3 +87,28 @@ def test_boilerplate_is_subtracted(spark):
     kept = R.clean(df)
     assert kept.columns == df.columns and sorted(kept.select("doc_id").collect(), key=repr) == sorted(df.where("doc_id IS NULL OR doc_id < 100 OR doc_id IN (102, 103)").select("doc_id").collect(), key=repr)
     assert R.residue(df.limit(0)).count() == R.clean(df.limit(0)).count() == 0
+
+
+def test_texts_from_elsewhere():
+    """Precision and recall on texts that the tables don't hold."""
+    for found, clean in (heldout_residue.FIRST, heldout_residue.SECOND, heldout_residue.THIRD, heldout_residue.FOURTH, heldout_residue.FIFTH):
+        hits, wrong = sum(bool(R.evidence(t)) for t in found), sum(bool(R.evidence(t)) for t in clean)
+        assert hits / len(found) >= 0.8 and hits / (hits + wrong) >= 0.9
+
+
+@pytest.mark.parametrize("unit", ["«a b ", "please the page word ", "x", "<a_a_a_", '" ', "12 ", "(fill ", "{a.", "__a.", "a. b ", "[A ", "%a_", "```\n", "word word. "])
+def test_a_million_characters(unit):
+    began = time.time()
+    R.evidence(unit * (1_000_000 // len(unit)))
+    assert time.time() - began < 20
+
+
+def test_footer_in_the_tables(spark, data):
+    """A notice at the foot of every page of a host is subtracted; pages that are nothing but the notice are not."""
+    documents = spark.read.parquet(f"{data}/documents.parquet")
+    before = set(rows(R.residue(documents)))
+    text = F.when(F.col("source") == "case_pages_north", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nThis site requires JavaScript."))).otherwise(F.col("text"))
+    framed = documents.withColumn("text", text)
+    bare = {(r["doc_id"],) for r in documents.where("source = 'case_pages_north'").collect() if not any(c.isalnum() for c in r["text"] or "")}
+    assert len(set(rows(R.search(framed), "doc_id"))) > len(before) + 10
+    assert set(rows(R.residue(framed))) == before | bare

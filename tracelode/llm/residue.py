@@ -2,11 +2,12 @@
 notices that scripts are required.
 
 Lines are normalised and counted by host (the source of a document): a line in a fifth of a host's
-documents, and in ``LEAST`` at least, is its boilerplate and is subtracted. What is left of a document,
-its residual, is searched for evidence; a document with evidence is excluded. (Notices and fields recur by
-nature, so the share is high: only what frames a host's pages, such as a footer on scripts, is boilerplate.)
-Evidence is taken from whole lines and sentences: a sentence that speaks of a field or an error,
-quotes one or shows code isn't one.
+documents, and in ``LEAST`` at least, is its boilerplate and is subtracted where it stands beside
+content. What is left of a document, its residual, is searched for evidence; a document with evidence is
+excluded. (Notices and fields recur by nature, so the share is high: only what frames a host's pages, such as a footer
+on scripts, is boilerplate.) Evidence is taken from whole lines and sentences: fields by their marks and names,
+lines by their form (traces, status lines, units over and over), notices by the words they
+consist of (``notices``); a sentence that speaks of a field or an error, quotes one or shows code isn't one.
 
 Defined results: null, empty and blank texts have no evidence; a null source is a host of its own;
 texts of any length are searched whole; of rows with one doc_id any with evidence counts; an empty table gives an empty
@@ -20,11 +21,15 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.llm.notices import kind_of, triggers
 from tracelode.operators.dedup import unused
+from tracelode.runtime import checkpointed
 
 PLACEHOLDER, FILLER, ERROR, SCRIPT = "placeholder", "filler", "error", "script"
 #: A line is boilerplate of its host if it is in this share of the host's documents, and in so many at least.
@@ -47,26 +52,16 @@ def normalise(text: str) -> list[str]:
 # --- what a sentence speaks of ---------------------------------------------------------------------
 
 _CODE = re.compile(r"`[^`\n]+`")
-_QUOTED = re.compile(r"„[^“”„]*[“”]|“[^“”]*”|«\s?[^«»]*\s[^«»]*»|\"[^\"{}]*\"")
+_QUOTED = re.compile(r"„[^“”„]*[“”]|“[^“”]*”|«[^«»]*»|\"[^\"{}]*\"")
+_TAG = re.compile(r"</?\w+>")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"“”»')\]]*\s+")
-_COMPANY = re.compile(r"\b(?:GmbH|AG|KG|SA|SL|Ltd|eG|Inc|LLC|SARL)\b")
-#: Verbs by which a sentence tells of something that happened, or of what a template does.
-_TELLS = re.compile(
-    r"\b(?:answered|obliged|tested|printed|renamed|replaces|replaced|explained|reported|showed|displayed|reads|wrote|testified|noted|complained|stuck|switched it|was called|affected"
-    r"|antwortete|meldete|zeigte|verpflichtete|prüfte|testete|erklärte|druckte|umbenannt|ersetzt|berichtete"
-    r"|prévoyait|répondait|répondu|affichait|expliqué|livré|testé|imprimé|renommé|remplace"
-    r"|explicó|respondió|mostró|preveía|entregó|probó|imprimió|renombró|sustituye|impidió)\b",
-    re.I,
-)
-
-
 #: Words by which a sentence speaks of templates and their fields.
 _ON_FIELDS = re.compile(r"\b(?:templates?|fields?|placeholders?|renderer|variables?|syntax|vorlagen?|felde?r?|platzhalter|modèles?|champs?|gabarits?|plantillas?|campos?)\b", re.I)
 
 
-def tells(sentence: str) -> bool:
-    """Whether a sentence speaks of its subject rather than being it."""
-    return bool(_COMPANY.search(sentence) or _TELLS.search(sentence))
+def unquoted(line: str) -> str:
+    """A line without its quotations; a single word in guillemets may be a field and stays."""
+    return _QUOTED.sub(lambda m: m.group() if m.group()[0] == "«" and not re.search(r"\s", m.group()[2:]) else " ", line)
 
 
 # --- placeholders ----------------------------------------------------------------------------------
@@ -75,21 +70,21 @@ _NAME = r"[^\W\d][\w.\- ]{0,40}?"
 _FIELD = re.compile(
     rf"""
       \{{\{{[{{%\#]?\s*{_NAME}\s*[%\#}}]?\}}\}} | \$!?\{{\s*{_NAME}\s*\}} | \#\{{\s*{_NAME}\s*\}} | <%[=-]?\s*{_NAME}\s*-?%> | \{{%\s*{_NAME}\s*%\}}
-    | %\({_NAME}\)[sd] | %%{_NAME}%% | @@{_NAME}@@ | (?<!\w)__[^\W\d_][\w.\-]*?[^\W_]__(?!\w) | \[\[\s*{_NAME}\s*\]\] | <<\s*{_NAME}\s*>> | (?<![\w{{$\#])\{{[^\W\d_][\w.\-]*\}}(?![\w}}])
-    | «[^\W\d_][\w.\-]*»
+    | %\({_NAME}\)[sd] | %%{_NAME}%% | (?<![\w%])%[^\W\d_][\w.\-]{{1,60}}%(?![\w%]) | @@{_NAME}@@ | (?<!\w)__[^\W\d_][\w.\-]{{0,60}}?[^\W_]__(?!\w) | \[\[\s*{_NAME}\s*\]\] | <<\s*{_NAME}\s*>> | (?<![\w{{$\#])\{{[^\W\d_][\w.\-]{{0,60}}\}}(?![\w}}])
+    | «[^\W\d_][\w.\-]{{0,60}}»
     | <(?:enter|insert|add|fill\sin|your|type|eingeben|hier|bitte|indiquer|indiquez|insérer|saisir|votre|indique|indicar|inserte|insertar|introduzca|completar|rellenar|su|ihr|ihre|à\scompléter|por\scompletar|noch\sausfüllen|to\sbe\scompleted)\s?[\s:]\s?[^<>\n]{{1,40}}>
-    | <[^\W\d_]\w*(?:[_.\-]\w+)*>
+    | <[^\W\d_][\w.\-]{{0,60}}>
     | [\[(](?:insert|enter|add|fill\sin|your|type|here|hier|bitte|einfügen|eintragen|ihr|ihre|noch\sausfüllen|insérer|inserer|indiquer|compléter|completer|saisir|votre|à\scompléter|insertar|indicar|indique|completar|rellenar|su|tu)\b[^\[\]()\n]{{0,50}}[\])]
     | [\[(][^\[\]()\n]{{1,50}}\b(?:to\sbe\s(?:completed|added|inserted|filled\sin|confirmed)|here|ergänzen|einfügen|einsetzen|eintragen|ausfüllen|à\scompléter|à\sinsérer|por\scompletar|a\scompletar|pendiente)\s?[\])]
     | \[[A-ZÄÖÜÉÈÀÑÓÍ]{{3,}}(?:[ _.\-][A-ZÄÖÜÉÈÀÑÓÍ]+)*\]
+    | \[[^\W\d_][^\W\d]*(?:[ '\-][^\W\d]+){{0,4}}\]
     | \b(?:TODO|FIXME)\s?:\s?\w+ | \bTBD\b\s?:\s?\w+
     """,
     re.X | re.I,
 )
-_UPPER_ONLY = re.compile(r"\[[^\[\]]+\]")
 #: Words that a bracketed remark of an editor begins with; they are no fields.
 _REMARK = re.compile(r"^[\[(](?:sic|illegible|unleserlich|illisible|ilegible)\b", re.I)
-_BLANK = re.compile(r"^[^\W\d_][\w .]{0,30}\s?:\s?_{4,}$")
+_BLANK = re.compile(r"^[^\W\d_][\w .]{0,30}\s?:\s?_{4,}(?:\s[^\W\d_]{1,12})?$")
 
 
 def _identifier(name: str) -> bool:
@@ -97,17 +92,31 @@ def _identifier(name: str) -> bool:
     return "_" in name or "." in name or "-" in name or name.isupper() or bool(camel) or name.casefold() in _FIELD_NAMES
 
 
-#: Single words that name a field when they stand alone in guillemets or braces (fixed list).
+#: Nouns that name a field when they stand alone in guillemets or braces, or end or begin what stands in brackets.
 _FIELD_NAMES = set(
     "date name address amount recipient court clerk party docket page case datum anschrift betrag empfänger gericht bearbeiter seite aktenzeichen partei montant adresse destinataire tribunal greffier "
-    "partie dossier nom fecha nombre domicilio importe destinatario juzgado secretario parte expediente página title subject city street phone email sender signature".split()
+    "partie dossier nom fecha nombre domicilio importe destinatario juzgado secretario parte expediente página title nachname vorname prénom apellido subject city street phone email sender signature".split()
 )
+_BRACKET_NAMES = _FIELD_NAMES - {"court", "clerk", "party", "page", "case", "seite", "partie", "parte", "página", "gericht", "tribunal"} | set(
+    "client customer company number nummer numéro número time telephone kunde kundenname firma unterschrift vorname nachname prénom signature entreprise cognome sobrenome achternaam voornaam lastname firstname surname empresa apellido firma naam datum bedrag nome data indirizzo importo valor endereço".split()
+)
+
+
+#: What no editor puts in brackets as a remark.
+_PERSONAL = set("nachname vorname prénom apellido surname firstname lastname signature unterschrift telephone email phone".split())
+
+
+def _bracketed(t: str) -> bool:
+    """Whether what stands in square brackets is named as a field is: in capitals, with an instruction, or by a field's noun."""
+    inner = t[1:-1]
+    if inner.isupper() and len(inner) >= 3 or _HINT.search(t):
+        return True
+    ws = [w.casefold() for w in re.split(r"[ _.'\-]+", inner)]
+    return bool({ws[0], ws[-1]} & _BRACKET_NAMES) and (len(ws) > 1 or inner[:1].isupper() or ws[0] in _PERSONAL)
 
 
 #: Without one of these a sentence holds no field, or no word for scripts; looked for first. Page numbers alone are none.
 _MAY_FIELD = re.compile(r"[\[{<«%@#$]|__|\((?!page:[\d\s,–-]*\))|[Tt](?:ODO|odo|BD|bd)|F(?:IXME|ixme)|fixme")
-_EDGE = re.compile(r"\W*")
-_MAY_SCRIPT = ("script", "js", "skript", "guiones", "comandos")
 
 
 def _has_field(sentence: str) -> bool:
@@ -118,9 +127,9 @@ def _has_field(sentence: str) -> bool:
         if (t[0] in "«<" and " " not in t and t[1] not in "<%") or (t[0] == "{" and t[1] not in "{%"):
             if not _identifier(t[1:-1]):
                 continue
-        if t[0] == "[" and t[1] != "[" and not re.search(r"[a-zäöüéèàñóí]", t) and not t[1:-1].isupper():
+        if t[0] == "%" and t[1] not in "%(" and not _identifier(t[1:-1]):
             continue
-        if re.fullmatch(r"\[[^\W\d_]+(?:[ _.\-][^\W\d_]+)*\]", t) and not t[1:-1].isupper() and not re.search(_HINT, t):
+        if re.fullmatch(r"\[[^\W\d_][^\W\d]*(?:[ _.'\-][^\W\d]+)*\]", t) and not _bracketed(t):
             continue
         return True
     return False
@@ -130,40 +139,22 @@ _HINT = re.compile(r"\b(?:insert|enter|add|fill|your|type|here|hier|bitte|einfü
 
 # --- filler ----------------------------------------------------------------------------------------
 
-_FILLER = re.compile(
-    r"""^\W*(?:
-      (?:this\sis\s)?(?:an?\s)?(?:dummy|sample|placeholder|example|filler)\s(?:text|paragraph|copy|content|sentence)(?:[,;]?\s(?:please\s)?(?:replace|ignore|here|only).*)?
-    | (?:text|content|body\scopy|copy|description)\s(?:goes\shere|to\sfollow|to\scome|follows|coming\ssoon|pending)
-    | lorem\sipsum\b.*
-    | (?:dies\sist\s|hier\ssteht\s|das\sist\s)(?:ein\s|nur\s(?:ein\s)?)?(?:blindtext|beispieltext|platzhalter(?:text)?|mustertext|fülltext)
-    | (?:blindtext|beispieltext|platzhaltertext|mustertext)(?:\b.{0,30})?
-    | (?:text|inhalt)\s(?:folgt|wird\snoch\sergänzt|wird\snachgereicht|kommt\snoch) | inhalt\sin\skürze
-    | (?:ceci\sest\s)?(?:un\s)?(?:faux\stexte|texte\s(?:d'exemple|factice|provisoire|de\sremplissage)) | (?:contenu|texte)\s(?:à\svenir|à\scompléter|ici)
-    | (?:este\ses\s|esto\ses\s)?(?:un\s)?(?:texto|párrafo)\s(?:de\s(?:ejemplo|prueba|relleno|muestra)|provisional|simulado|ficticio) | (?:contenido|texto)\s(?:pendiente|por\svenir|próximamente|aquí|a\scontinuación)
-    | (?:this|the)\s(?:page|section)\sis\sstill\sbeing\swritten\b.*
-    | (?:an\sdieser\sstelle|hier)\s(?:erscheint|steht|folgt)\s(?:demnächst|in\skürze|bald)\b.*
-    | ici\s(?:figurera|paraîtra|viendra)\s(?:prochainement|bientôt)\b.* | aquí\s(?:figurará|aparecerá|irá)\s(?:en\sbreve|próximamente|pronto)\b.*
-    )\W*$""",
-    re.X | re.I,
-)
 _UNIT = re.compile(r"^(.{1,40}?)\s*(?:\1\s*){3,}.{0,40}$")
-_XWORDS = re.compile(r"^(?:x{2,}[\s.,;:!?]*){3,}x*$|^(?:[xX]+[\s.,;]+){6,}[xX]*[.]?$", re.I)
-_LABEL = re.compile(r"^[^\W\d_]+ \d+$")
+_LABEL = re.compile("^[A-Za-z\u00c0-\u024f]+ [0-9]+$")
 _STUB = re.compile(r"^(?:\.{2,}|…|tb[da]|n/?a|text|texte|texto|body text|description|beschreibung|descripción|inhalt|contenu|contenido|content|folgt|lorem|xxx+)\W*$", re.I)
-#: Words that no plain sentence of the corpus' languages does without; Latin ones are left out, as filler has them.
+_LOREM = re.compile(r"^\W*lorem\s+ipsum\b", re.I)
+#: Frequent words of languages; a plain sentence does without none of its own. Latin ones are left out, as filler has them.
 _FUNCTION = set(
     "the of and to that was by on for with his her which had at from this be are not it have who when der die das und den von zu mit dem des ein eine auf für ist im nicht sich wie wer dass wurde hatte "
-    "le la les des du un une dans que qui sur pour par ne pas au aux avait el los las del y en una con se su para al lo como no is were has has as they their its or but le de à é es son sus wird werden sind".split()
+    "le la les des du un une dans que qui sur pour par ne pas au aux avait el los las del y en una con se su para al lo como no is were has have as they their its or but le de à é es son sus wird werden sind "
+    "il gli di che per della nel sono è o da um uma não em os na het een van niet op te dat att och en av som är det på og til ikke ja on ei se oli w i na z się nie do a je ve že".split()
 )
 _LATIN = set("et in ut sed a ad ex ac non per".split())
 
 
 def _repeats(line: str) -> bool:
-    m = _UNIT.match(line)
-    if not m:
-        return False
-    unit = m.group(1)
-    return any(c.isalnum() for c in unit) and len(line) >= 30 and _tail_of(unit, line)
+    m = _UNIT.match(line) if len(line) >= 30 else None
+    return bool(m) and any(c.isalnum() for c in m.group(1)) and _tail_of(m.group(1), line)
 
 
 def _tail_of(unit: str, line: str) -> bool:
@@ -172,6 +163,14 @@ def _tail_of(unit: str, line: str) -> bool:
     return bool(one) and bare == (one * (len(bare) // len(one) + 1))[: len(bare)]
 
 
+def _crossed(line: str) -> bool:
+    """Whether a line is words of the letter x only, three at least."""
+    if line[:1] not in "xX" or set(line) - set("xX \t.,;:!?"):
+        return False
+    ws = re.findall("[xX]+", line)
+    return len(ws) >= 6 or len(ws) >= 3 and all(len(w) >= 2 for w in ws)
+
+
 def _mock_latin(line: str) -> bool:
     """Whether a line of eight words or more has letters only and no word that a sentence needs."""
     if re.search(r"[\d|:/@_=<>{}()\[\]]", line):
@@ -184,58 +183,14 @@ def _mock_latin(line: str) -> bool:
     return sum(w in _FUNCTION for w in plain) <= len(ws) // 40 and capital * 3 <= len(ws) and all(ord(c) < 0x250 for w in ws for c in w)
 
 
-# --- errors ----------------------------------------------------------------------------------------
+# --- errors: lines of a form of their own ------------------------------------------------------------
 
-_STATUS = r"(?:[45]\d\d)"
-_REASON = (
-    r"(?:bad\srequest|unauthori[sz]ed|payment\srequired|forbidden|not\sfound|method\snot\sallowed|not\sacceptable|request\stime-?out|conflict|gone|too\smany\srequests|internal\s(?:server\s)?error|not\simplemented"
-    r"|bad\sgateway|service\s(?:temporarily\s)?unavailable|gateway\stime-?out|verboten|nicht\sgefunden|interdit|introuvable|prohibido|no\sencontrad[oa])"
-)
 _ERROR_LINE = re.compile(
-    rf"""^\W*(?:
-      http/\d(?:\.\d)?\s{_STATUS}\b.* | (?:<h\d>|<title>)\s*(?:{_STATUS}\s)?{_REASON}.*
-    | (?:error|fehler|erreur|http|status|code)[:\s]*{_STATUS}\W* | {_STATUS}\s?[-–:]?\s?{_REASON}\W* | (?:error|fehler|erreur)\s{_STATUS}\b[:.\s-]*{_REASON}\W*
+    r"""^\W*(?:
+      http/\d(?:\.\d)?\s[45]\d\d\b.* | (?:error|fehler|erreur|errore|erro|fout|http|status|code|err)[:\s]*[45]\d\d\W*
     | traceback\s\(most\srecent\scall\slast\):.* | file\s"[^"]+",\sline\s\d+.* | (?:[a-z]\w*\.)*[a-z]\w*(?:error|exception)(?::\s.*)? | at\s[\w$.]+\([\w$.]*:?\d*\)
-    | (?:php\s)?(?:warning|fatal\serror|notice|parse\serror):\s.*\bon\sline\s\d+.* | ora-\d{{4,5}}:.* | sqlstate\b.* | segmentation\sfault.*
-    | \{{?\s*"error"\s*:.* 
-    )$""",
-    re.X | re.I,
-)
-_ERROR_SENTENCE = re.compile(
-    r"""^\W*(?:(?:oops|sorry|hoppla|désolé|lo\ssentimos|entschuldigung|ups|uy)\W+)?(?:
-      (?:the|that|this)\s(?:requested\s)?(?:page|document|file|resource|docket|address|url)\b.{0,40}\b(?:could\snot\sbe|was\snot|cannot\sbe|can't\sbe|not)\s(?:be\s)?(?:found|loaded|displayed|opened|located)\b.*
-    | (?:we\s)?(?:can't|cannot|could\snot|couldn't)\s(?:find|load|open|reach)\s(?:that|this|the)\s(?:page|document|file|docket|server|portal)\b.*
-    | no\sroute\smatches\b.* | page\snot\sfound | (?:the\s)?server\s(?:took\stoo\slong|is\s(?:down|busy|overloaded|unavailable)|did\snot\s(?:answer|respond))\b.*
-    | something\swent\swrong\b.* | an?\s(?:unexpected|internal|unknown)\s(?:server\s)?error\s(?:has\s)?occurred\b.* | internal\s(?:server\s)?error
-    | you\s(?:do\snot|don't)\shave\s(?:permission|access|the\srights?)\b.* | access\s(?:to\sthis\s(?:resource|page|docket|file)\s(?:has\sbeen|is|was)\s(?:blocked|denied|forbidden)|denied)\b.*
-    | (?:this|the)\s(?:document|page|service|docket|portal|site|docket\sportal|file)\sis\s(?:temporarily\s|currently\s)?(?:unavailable|down|offline|closed)\b.*
-    | we\sare\s(?:currently\s)?experiencing\s(?:technical\s)?(?:difficulties|problems)\b.* | the\slink\syou\sfollowed\b.* | too\smany\srequests\b.* | your\ssession\s(?:has\s)?(?:expired|timed\sout)\b.*
-    | (?:the\s|your\s)?request\scould\snot\sbe\s(?:processed|completed)\b.* | error\sestablishing\sa\sdatabase\sconnection\b.* | upstream\sconnect\serror\b.* | connection\s(?:refused|timed\sout|reset)\b.*
-    | (?:down|closed)\sfor\smaintenance\b.*
-    | die\s(?:angeforderte|gewünschte|gesuchte)\s(?:seite|datei|akte)\b.{0,40}\b(?:nicht\s(?:gefunden|vorhanden|geladen|verfügbar)|existiert\snicht)\b.* | (?:seite|datei)\snicht\sgefunden
-    | sie\shaben\skeine\s(?:berechtigung|zugriffsrechte|rechte|erlaubnis)\b.* | (?:der\s)?zugriff\s(?:wurde\s)?(?:verweigert|gesperrt|blockiert)\b.* | es\sist\sein\s(?:interner|unerwarteter|unbekannter)?\s?fehler\saufgetreten\b.* | ein\s(?:interner|unerwarteter)\sfehler\b.*
-    | (?:der|das|die)\s(?:dienst|server|portal|seite|dokument|aktenportal)\sist\s(?:vorübergehend|derzeit|zurzeit|momentan)?\s?nicht\s(?:erreichbar|verfügbar)\b.* | wegen\swartung(?:sarbeiten)?\b.* | (?:der\s)?link\sist\s(?:veraltet|ungültig|defekt)\b.*
-    | (?:die|ihre)\s(?:anfrage|anforderung)\skonnte\snicht\b.* | (?:ihre|die)\ssitzung\sist\sabgelaufen\b.* | zu\sviele\sanfragen\b.* | (?:der\s)?server\s(?:antwortet\snicht|hat\snicht\b.*|braucht\szu\slange)\b.* | etwas\sist\sschief\S*\b.*
-    | la\spage\s(?:demandée|recherchée|que\svous\b.{0,30})\b.{0,40}\b(?:introuvable|n'existe\spas|pas\sété\strouvée|n'a\spas)\b.* | (?:page|document)\sintrouvable | vous\sn'avez\spas\s(?:accès|l'autorisation|le\sdroit|les\sdroits)\b.* | (?:l')?accès\s(?:refusé|interdit|bloqué)\b.*
-    | une\serreur\s(?:interne|inattendue|technique)?\s?(?:est\ssurvenue|s'est\sproduite)\b.* | le\s(?:service|serveur|portail|site)\s(?:est|n'est|ne)\b.{0,20}\b(?:indisponible|disponible|accessible|répond|fermé)\b.* | (?:votre|la)\ssession\s(?:a|est)\sexpirée?\b.*
-    | trop\sde\s(?:requêtes|demandes)\b.* | (?:la|votre)\s(?:requête|demande)\sn'a\spas\spu\b.* | (?:le|ce)\slien\s(?:est|a)\b.{0,30}\b(?:rompu|périmé|obsolète|expiré|déplacé|mort)\b.* | (?:en|fermé\spour)\smaintenance\b.*
-    | no\sse\s(?:ha\spodido|pudo|ha\sencontrado|encontró|puede)\b.{0,30}\b(?:página|archivo|documento|expediente|solicitud|petición|servidor)\b.* | página\sno\sencontrada | se\s(?:ha\sproducido|produjo)\sun\serror\b.*
-    | (?:usted\s)?no\stiene\s(?:permiso|acceso|autorización)\b.* | acceso\s(?:denegado|bloqueado|prohibido)\b.* | el\s(?:servicio|servidor|portal|sitio)\s(?:no\s)?(?:está|se\sencuentra|responde|tardó)\b.* | (?:su|la)\ssesión\sha\s(?:caducado|expirado)\b.*
-    | demasiadas\s(?:solicitudes|peticiones)\b.* | (?:la|su)\s(?:solicitud|petición)\sno\s(?:se\s)?(?:pudo|ha\spodido)\b.* | (?:el|este)\senlace\b.{0,30}\b(?:roto|caducado|obsoleto|movido|ya\sno)\b.* | (?:cerrado|en)\s(?:por\s)?mantenimiento\b.* | algo\s(?:ha\ssalido|salió)\smal\b.*
-    )$""",
-    re.X | re.I,
-)
-
-# --- scripts ---------------------------------------------------------------------------------------
-
-_JS = r"(?:la\sejecución\sde\s|l'exécution\sde\s|die\sausführung\svon\s|le\slangage\s|el\slenguaje\s|aktives\s|client-side\s|clientseitige\s)?(?:java-?\s?script|js|ecmascript|scripting|scripts?|skripte?|guiones|secuencias\sde\scomandos)"
-_SCRIPT_SENTENCE = re.compile(
-    rf"""^\W*(?:.{{0,40}}?[.…!]\s)?(?:
-      .{{0,60}}\b(?:enable|activate|allow|turn\son|unblock|switch\son|permit|re-enable)\s(?:the\s|your\s)?{_JS}\b.* | .{{0,50}}\b{_JS}\s(?:is|are|must\sbe|has\sto\sbe|needs\sto\sbe|was|were)\s(?:required|needed|necessary|turned|enabled|disabled|switched|blocked|activated|deactivated|not|off)\b.*
-    | .{{0,60}}\b(?:requires?|needs?|without|has|have|runs?|supports?|support|using)\s{_JS}\b.* | .{{0,60}}\b{_JS}\s(?:blocked|disabled|switched\soff|turned\soff|required)\b.* | noscript\b.*
-    | .{{0,60}}\b(?:aktivieren|erlauben|zulassen|einschalten|schalten)\b.{{0,20}}\b{_JS}\b.* | .{{0,60}}\b(?:wird|ist|muss)\s{_JS}\b.* | (?:.*\b)?ohne\s{_JS}\b.* | .{{0,60}}\b(?:hat|benötigt|erfordert|braucht|unterstützt)\s(?:kein\s)?{_JS}\b.* | .{{0,40}}\b{_JS}\s(?:ist|wird|muss|aktivieren|einschalten|abgeschaltet|deaktiviert)\b.*
-    | .{{0,60}}\b(?:activez|activer|autorisez|autoriser|débloquez|débloquer)\s{_JS}\b.* | .{{0,60}}\b(?:nécessite|requiert|exige|demande|besoin\sde|exécute|a\sdésactivé|bloque)\s{_JS}\b.* | (?:.*\b)?sans\s{_JS}\b.* | .{{0,40}}\b{_JS}\s(?:est|doit)\b.*
-    | .{{0,60}}\b(?:active|activar|habilite|habilitar|permita|permitir|desbloquee)\s{_JS}\b.* | .{{0,60}}\b(?:necesita|requiere|exige|ejecute|ejecuta|tiene|ha\sdesactivado|bloquea)\s{_JS}\b.* | (?:.*\b)?sin\s{_JS}\b.* | .{{0,40}}\b{_JS}\s(?:está|es|debe|desactivad[oa]|bloquead[oa])\b.*
+    | (?:php\s)?(?:warning|fatal\serror|notice|parse\serror):\s.*[/\\(].*\bon\sline\s\d+.* | ora-\d{4,5}:.* | sqlstate\b.* | segmentation\sfault.*
+    | \{?\s*"error"\s*:.*
     )$""",
     re.X | re.I,
 )
@@ -244,47 +199,96 @@ _SCRIPT_SENTENCE = re.compile(
 # --- a document ------------------------------------------------------------------------------------
 
 
-def evidence(text: str | None) -> list[tuple[int, str, str]]:
-    """The evidence in a text: (line number, kind, line), in order; at most one kind a line."""
-    if not text:
-        return []
-    out, fenced, lines = [], False, normalise(text)
-    for i, line in enumerate(lines):
-        if line.startswith("```"):
-            fenced = not fenced and "```" in "\n".join(lines[i + 1 :])
-            continue
-        if line and not fenced and (kind := _line_kind(line)):
-            out.append((i, kind, line))
-    # An outline without content: labels with numbers, each over a stub.
-    shown = [(i, x) for i, x in enumerate(lines) if x]
-    stubs = [(i, x) for (i, x), (_, y) in zip(shown, shown[1:]) if _LABEL.match(x) and _STUB.match(y)]
-    if len(stubs) >= 2:
-        out += [(i, FILLER, x) for i, x in stubs]
-    return out
-
-
-def _line_kind(line: str) -> str | None:
+def _line_kind(line: str, may_notice: bool) -> str | None:
+    """The kind of evidence that a normalised line is or holds; a notice is looked for only if it may hold one."""
     bare = _CODE.sub(" ", unescape(line) if "&" in line else line)
     if _BLANK.match(bare):
         return PLACEHOLDER
-    if _repeats(bare) or _XWORDS.match(bare) or _mock_latin(bare):
+    if _repeats(bare) or _crossed(bare) or _LOREM.match(bare) or _mock_latin(bare):
         return FILLER
     if _ERROR_LINE.match(bare):
         return ERROR
-    low = bare.lower()
-    may_field, may_script = _MAY_FIELD.search(bare), any(w in low for w in _MAY_SCRIPT)
-    for s in _SENTENCE.split(_QUOTED.sub(" ", bare)):
-        if not s:
-            continue
-        if may_field and _has_field(s) and not _ON_FIELDS.search(_FIELD.sub(' ', s)):
+    may_field = _MAY_FIELD.search(bare)
+    if not may_field and not may_notice:
+        return None
+    for s in _SENTENCE.split(unquoted(bare)):
+        if s and may_field and _has_field(s) and not _ON_FIELDS.search(_FIELD.sub(" ", s)):
             return PLACEHOLDER
-        s = s[_EDGE.match(s).end() :] if len(s) > 400 else s  # the patterns would try each place of a long edge
-        said = FILLER if _FILLER.match(s) else ERROR if _ERROR_SENTENCE.match(s) else SCRIPT if may_script and _SCRIPT_SENTENCE.match(s) else None
-        if said and not tells(s):
-            return said
+        if s and may_notice and _LOREM.match(s):
+            return FILLER
+        if s and may_notice and (kind := kind_of(_TAG.sub(" ", s) if s[:1] == "<" else s)):
+            return kind
     return None
 
 
+#: By these patterns, matched over whole Arrow buffers in linear time, lines are told that may hold evidence: words of
+#: notices and marks of fields; letters only, at some length; a unit over and over; lines of a form of their own.
+_NOTICES = triggers()
+_FIELDS = (
+    r"\{[^\s\"]|\[[^\s\d\]]|<[^\s\d]|«[^\s\d]|%[\pL(%]|@@|__|\bfixme|:\s?_{4}|&[a-z#]"
+    r"|\(\s?(?:insert|enter|add|fill|your|type|here|hier|bitte|einfügen|eintragen|ihre?|noch|insérer|inserer|indiquer|compléter|completer|saisir|votre|à c|insertar|indicar|indique|completar|rellenar|su|tu)\b"
+    r"|\b(?:to be (?:completed|added|inserted|filled in|confirmed)|here|ergänzen|einfügen|einsetzen|eintragen|ausfüllen|à compléter|à insérer|por completar|a completar|pendiente)\s?[\])]"
+)
+_SHAPE = r"^traceback|^file \"|^[^\d|:/@_=<>{}()\[\]]{30,}$|^.*x+[\s.,;:!?]+x+|x{6}|exception|\w+error\b|ora-\d|sqlstate|segmentation|on line \d|\bat [\w$.]+\(|\b[45]\d\d\b.*\b(?:bad|conflict)|^\W*(?:http|status|code|err)[:\s]"
+_HIDE, _ENDS, _BLANKS = "[\u200b\u200c\u200d\u2060\ufeff\u00ad]", "\r\n?|[\x0b\x0c\u0085\u2028\u2029]", "[\t \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\x1c-\x1f]+"
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The normalised lines of an Arrow array of texts: the text's place, the line's number, the line."""
+    plain = pc.replace_substring_regex(pc.replace_substring_regex(pc.replace_substring_regex(texts, _HIDE, ""), _ENDS, "\n"), "[\u2019\u00b4]", "'")
+    lists = pc.split_pattern(pc.replace_substring_regex(plain, _BLANKS, " "), "\n")
+    many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    parent = np.repeat(np.arange(len(texts)), many)
+    number = np.arange(len(parent)) - np.repeat(np.cumsum(many) - many, many)
+    return parent, number, pc.utf8_trim_whitespace(pc.list_flatten(lists))
+
+
+def _suspects(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each normalised line whether it may hold evidence, and whether that may be a notice."""
+    low = pc.utf8_lower(lines)
+    mask = lambda p: pc.match_substring_regex(low, p).to_numpy(zero_copy_only=False)
+    notice = mask(_NOTICES)
+    return notice | mask(_FIELDS) | mask(_SHAPE) | _repetitive(lines), notice
+
+
+def _repetitive(lines: pa.Array) -> np.ndarray:
+    """Which lines of 30 characters or more begin with one unit four times; digits may make the unit."""
+    long = pc.indices_nonzero(pc.greater_equal(pc.utf8_length(lines), 30)).to_numpy()
+    hit = np.zeros(len(lines), bool)
+    # A unit of at most 40 characters: its first characters come back within 42 places.
+    for i, line in zip(long.tolist(), lines.take(pa.array(long)).to_pylist()):
+        hit[i] = line.find(line[:3], 1, 48) > 0 and line.find(line[:3], len(line) // 2) > 0 and _repeats(line)
+    return hit
+
+
+def evidence(text: str | None) -> list[tuple[int, str, str]]:
+    """The evidence in a text: (line number, kind, line); at most one kind a line."""
+    return [e[1:] for e in sorted(evidence_of(pa.array([text], pa.string()))[0])]
+
+
+def evidence_of(texts: pa.Array) -> tuple[list[tuple[int, int, str, str]], np.ndarray]:
+    """The evidence in texts, (text's place, line number, kind, line), and how many lines with a letter or figure each text has."""
+    parent, number, lines = _split(texts)
+    hit, notice = _suspects(lines)
+    count = lambda p: np.bincount(parent[pc.match_substring_regex(lines, p).to_numpy(zero_copy_only=False)], minlength=len(texts))
+    # What stands between fences is code; a fence that nothing closes opens none.
+    for i in np.flatnonzero(count("^```")).tolist():
+        mine = np.flatnonzero(parent == i)
+        fences = [k for k in mine.tolist() if lines[k].as_py().startswith("```")]
+        for a, b in zip(fences[::2], fences[1::2]):
+            hit[a : b + 1] = False
+    at = np.flatnonzero(hit)
+    found = [(i, n, kind, line) for i, n, line, may in zip(parent[at].tolist(), number[at].tolist(), lines.take(pa.array(at)).to_pylist(), notice[at].tolist()) if (kind := _line_kind(line, may))]
+    # An outline without content: labels with numbers, each over a stub.
+    for i in np.flatnonzero(count(_LABEL.pattern) > 1).tolist():
+        mine = np.flatnonzero(parent == i)
+        shown = [(n, x) for n, x in zip(number[mine].tolist(), lines.take(pa.array(mine)).to_pylist()) if x]
+        stubs = [(n, x) for (n, x), (_, y) in zip(shown, shown[1:]) if _LABEL.match(x) and _STUB.match(y)]
+        if len(stubs) >= 2:
+            found += [(i, n, FILLER, x) for n, x in stubs]
+    return found, count(r"[\pL\pN]")
+
+
 # --- the operator ----------------------------------------------------------------------------------
 
 
@@ -321,28 +325,37 @@ def boilerplate(documents: DataFrame, share: float = SHARE, least: int = LEAST)
 
 
 def search(documents: DataFrame) -> DataFrame:
-    """Every line of ``documents`` with evidence: doc_id, source, line_no (from 0), kind, line (hash)."""
+    """Every line of ``documents`` with evidence: doc_id, source, line_no (from 0), kind, line (hash), beside (how many
+    lines of other content the document has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parent, no, kinds, lines = [], [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                for n, kind, line in evidence(text):
-                    parent.append(i)
-                    no.append(n)
-                    kinds.append(kind)
-                    lines.append(line_key(line))
-            at = pa.array(parent, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(kinds, pa.string()), pa.array(lines, pa.int64())], names=["doc_id", "source", "line_no", "kind", "line"])
+            found, said = evidence_of(b.column(2))
+            docs, no, kinds, texts = (list(x) for x in zip(*found)) if found else ([], [], [], [])
+            distinct = np.bincount([i for i, _ in {(i, n) for i, n, _, _ in found}], minlength=b.num_rows) if found else said
+            rows = pa.array(docs, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array(no, pa.int32()), pa.array(kinds, pa.string()), pa.array([line_key(x) for x in texts], pa.int64()), pa.array(np.maximum(said - distinct, 0), pa.int32()).take(rows)],
+                names=["doc_id", "source", "line_no", "kind", "line", "beside"],
+            )
 
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id bigint, source string, line_no int, kind string, line bigint")
+    return rows.mapInArrow(run, "doc_id bigint, source string, line_no int, kind string, line bigint, beside int")
 
 
 def residual_evidence(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """The evidence that is left when each host's boilerplate is subtracted: as ``search`` has it."""
-    common = boilerplate(documents, share, least).select(F.col("source").alias("host"), F.col("line").alias("known"))
-    return search(documents).join(common, F.col("source").eqNullSafe(F.col("host")) & (F.col("line") == F.col("known")), "left_anti")
+    """The evidence that is left when each host's boilerplate is subtracted: as ``search`` has it.
+
+    The texts are read once: only the lines with evidence need their count, and those are what ``search`` gives.
+    A recurrent line frames a host's pages only where it stands beside content; where it is all there is,
+    the page is the notice, however many such pages a host has.
+    """
+    found = checkpointed(search(documents))
+    counted = found.select("source", "line", "doc_id").distinct().groupBy("source", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
+    sizes = documents.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n"))
+    common = counted.join(sizes, F.col("source").eqNullSafe(F.col("host"))).where(F.col("docs") >= F.col("n") * share).select("host", F.col("line").alias("known"))
+    framed = F.col("source").eqNullSafe(F.col("host")) & (F.col("line") == F.col("known")) & (F.col("beside") > 0)
+    return found.join(common, framed, "left_anti")
 
 
 def residue(documents: DataFrame) -> DataFrame:
