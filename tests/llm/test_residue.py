@@ -105,7 +105,7 @@ def test_a_million_characters(unit):
 
 def test_footer_in_the_tables(spark, data):
     """A notice at the foot of every page of a host is subtracted; pages that are nothing but the notice are not."""
-    documents = spark.read.parquet(f"{data}/documents.parquet")
+    documents = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
     before = set(rows(R.residue(documents)))
     text = F.when(F.col("source") == "case_pages_north", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nThis site requires JavaScript."))).otherwise(F.col("text"))
     framed = documents.withColumn("text", text)
