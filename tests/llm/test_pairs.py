@@ -1,3 +1,4 @@
+import heldout_pairs
 import pytest
 
 from conftest import rows
@@ -78,3 +79,17 @@ def test_operator(spark):
     assert rows(P.first_defects(df)) == [(2, "empty"), (3, "empty"), (5, "refusal"), (6, "empty"), (7, "empty"), (8, "empty"), (9, "copy")]
     assert rows(P.defects(df).where("trace_id = 9")) == [(9, 0, "copy"), (9, 1, "truncated")]
     assert P.first_defects(df.limit(0)).count() == 0
+
+
+def test_pairs_from_elsewhere():
+    """Pairs that the tables don't hold: verdicts right, and how many of the flagged ones are."""
+    for pairs in (heldout_pairs.FIRST, heldout_pairs.SECOND):
+        got = [(next(iter(P.find_defects(q, a, f)), None), want) for q, a, f, want in pairs]
+        right = [g for g, want in got if want and g == want]
+        assert len(right) >= 0.9 * sum(want is not None for _, want in got) and len(right) >= 0.9 * sum(g is not None for g, _ in got)
+
+
+def test_finish_reason_alone_tells_nothing():
+    assert P.find_defects("Who?", "Anna Miller", "length") == P.find_defects("Who?", "It was Anna Miller.", "length") == []
+    assert P.find_defects("Who?", "It was Anna, because of the", "stop") == ["truncated"]
+    assert P.find_defects("Who?", "The clerk filed", "length") == ["truncated"] and P.find_defects("Who?", "The clerk filed", "stop") == []

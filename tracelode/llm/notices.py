@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 
+from tracelode.llm.lexicon import Lexicon
+
 SCRIPT, FAIL, THING, ACT, NOT, SEE, GLUE, FILL, BODY, COME, OFF, GRANT, NET = range(13)
 
 #: The lexicon, by language and part. A star stands for any ending.
@@ -95,41 +97,8 @@ _WORDS = {
     },
 }
 
-_EXACT: dict[str, frozenset[int]] = {}
-_STEMS: dict[str, dict[str, frozenset[int]]] = {}  # by the first three letters
-
-
-def _build() -> None:
-    for parts in _WORDS.values():
-        for part, words in parts.items():
-            for w in words.split():
-                if w.endswith("*"):
-                    at = _STEMS.setdefault(w[:3].rstrip("*"), {})
-                    at[w[:-1]] = at.get(w[:-1], frozenset()) | {part}
-                else:
-                    _EXACT[w] = _EXACT.get(w, frozenset()) | {part}
-
-
-_build()
-_NONE: frozenset[int] = frozenset()
-_CACHE: dict[str, frozenset[int]] = {}
-
-
-def parts_of(word: str) -> frozenset[int]:
-    """The parts that a word in lower case can have; empty if it is outside the lexicon."""
-    found = _CACHE.get(word)
-    if found is None:
-        found = _EXACT.get(word, _NONE)
-        for k in (3, 2):
-            for stem, parts in _STEMS.get(word[:k], {}).items():
-                if word.startswith(stem) and len(word) <= len(stem) + 10:
-                    found = found | parts
-        if len(_CACHE) > 100_000:
-            _CACHE.clear()
-        _CACHE[word] = found
-    return found
-
-
+_LEXICON = Lexicon(_WORDS)
+parts_of = _LEXICON.parts
 _TOKEN = re.compile(r"(?<![^\W_])[^\W\d_]+(?![^\W_])")
 _PLACES = re.compile(r"\S*[/\\]\S*|\b\S+\.(?:php|py|html?|js|aspx?|com|org|net)\b")
 _STATUS = re.compile(r"\b[45]\d\d\b")
@@ -144,7 +113,7 @@ _TOLD = re.compile(r"\b(?:had|hatten?|avai(?:t|ent)|había|habían|answered|obli
 
 def triggers() -> str:
     """A pattern, for texts in lower case, without which a text has no notice; it is of the kind that is matched in linear time."""
-    stems = {w for parts in _WORDS.values() for part, words in parts.items() if part in (SCRIPT, FAIL, FILL, GRANT) for w in words.split()}
+    stems = _LEXICON.of(SCRIPT, FAIL, FILL, GRANT)
     ends = {r"\b" + re.escape(w.rstrip("*")) + ("" if w.endswith("*") else r"\b") for w in stems}
     # What is missed rather than failed, and what is still to come, by the words that tell.
     ends |= {rf"\b{w}\b" for w in "geladen geöffnet angezeigt existe found available reached existe existiert existiert ocurrido ocurrió ocorreu loaded opened displayed matches gefunden erreichbar verarbeitet aufgetreten antwortet verfügbar vorhanden trouvée trouvé répond encontrado encontrada disponible responde trovata gevonden bereikbaar bereikt provisoire remplacer cargar".split()}
@@ -167,7 +136,7 @@ def _judge(words: list[str], low: str) -> str | None:
     has, alien, n = set(), 0, len(words)
     counts = [0] * 13
     for w in words:
-        parts = parts_of(w) if len(w) > 1 else _NONE
+        parts = parts_of(w)
         if not parts and len(w) > 1:
             alien += 1
             if alien * 2 > n:

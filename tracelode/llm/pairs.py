@@ -1,8 +1,8 @@
 """Defective prompt and response pairs, by ordered rules over the pair's texts.
 
 Question is the last user message of the prompt, answer the last assistant message of the response. The
-rules, in their order: emptiness; multilingual refusal phrases; the copied question; unclosed
-delimiters and abrupt endings; another language or script. ``defects`` gives every rule that
+rules, in their order: emptiness; refusals in many languages, by the build of their sentences (``refusals``); the copied
+question; unclosed delimiters and abrupt endings; another language or script. ``defects`` gives every rule that
 triggers, ``first_defects`` the first one of each pair.
 
 Defined results: a null or empty message list has no message; null messages, and messages of null
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.llm.refusals import refuses as only_declines
+
 EMPTY, REFUSAL, COPY, TRUNCATED, LANGUAGE = "empty", "refusal", "copy", "truncated", "language"
 ORDER = [EMPTY, REFUSAL, COPY, TRUNCATED, LANGUAGE]
 
@@ -63,59 +65,15 @@ def words(text: str) -> list[str]:
 
 # --- refusal ------------------------------------------------------------------------------------
 
-#: What a sentence that only declines says, by language (fixed phrases).
-_REFUSES = re.compile(
-    r"""
-    # English
-      \bI\s?(?:'m|\sam)\s(?:sorry|afraid|unable|not\s(?:able|allowed|permitted|authori[sz]ed|in\sa\sposition|comfortable|going))
-    | \bI\s(?:can(?:'t|not|\snot)|could\s?n[o']t|won't|will\snot|would\srather\snot|must\s(?:decline|refuse)|have\sto\s(?:decline|refuse|pass)|do(?:n't|\snot)\sfeel\scomfortable|decline|refuse|need\sto\sdecline|prefer\snot)\b
-    | \bI'd\srather\snot\b | \bI\smust\s(?:decline|refuse)\b | \bmust\sdecline\sto\b
-    | \b(?:against|violates?|outside|beyond)\s(?:of\s)?(?:my|our|the)\s(?:guidelines|polic(?:y|ies)|rules|role|remit|scope|instructions)\b
-    | \boutside\swhat\sI'm\sallowed\b | \bfalls\soutside\b
-    | \bno\sanswer\s(?:can|will)\sbe\sgiven\b | \b(?:requests?|questions?)\sof\sthis\s(?:sort|kind)\s(?:are|is|can)\b.{0,20}\bnot?\b
-    | \bnot\sbe\sappropriate\sfor\sme\b | \bmy\srole\sdoes\snot\b | \bwithout\sme\b | \btalk\sabout\ssomething\selse\b
-    | \bunable\sto\s(?:assist|help|answer|comment|provide|discuss) | \bnot\sable\sto\s(?:assist|help|answer|comment|provide|discuss)
-    # German
-    | \b(?:kann|könnte|darf|werde|möchte|will|muss)\sich\b.{0,60}\b(?:nicht|nichts|keine[nrsm]?|ablehnen|passen)\b | \bich\s(?:kann|könnte|darf|werde|möchte|will)\b.{0,60}\b(?:nicht|nichts|keine[nrsm]?)\b
-    | \b(?:muss\sich|ich\smuss)\b.{0,60}\b(?:ablehnen|passen|verweigern)\b | \bäußere\sich\smich\snicht\b | \bhelfe\sich\snicht\b
-    | \bnicht\s(?:gestattet|erlaubt|möglich|befugt|in\sder\sLage)\b | \bmir\s(?:leider\s)?(?:nicht|untersagt)\b
-    | \bgegen\smeine\s(?:Vorgaben|Richtlinien|Regeln)\b | \bnicht\szu\smeinen\sAufgaben\b | \bnicht\smeine\sAufgabe\b
-    | \bvon\smir\sunbeantwortet\b | \bkeine\sAntwort\b.{0,30}\b(?:geben|möglich)\b | \bwerden\snicht\sunterstützt\b
-    # French
-    | \bje\sne\s(?:peux|puis|suis|saurais|souhaite|veux)\b.{0,40}\bpas\b | \bje\s(?:dois|préfère|préférerais|refuse)\b.{0,30}\b(?:décliner|refuser|ne\spas|de\s)
-    | \bje\sne\speux\b | \bm['’]est\simpossible\b | \bdépasse\smon\s(?:rôle|cadre|mandat)\b | \baucune\sréponse\sne\b | \bpas\sautorisée?\sà\b | \bcontraire\sà\smes\b | \bne\sm['’]est\spas\s(?:permis|possible)\b
-    | \bmes\s(?:consignes|règles|directives)\b | \bhors\sde\smon\b
-    # Spanish
-    | \bno\s(?:puedo|podría|debo|voy\sa|estoy\s(?:autorizad[oa]|en\scondiciones)|me\ses\sposible|me\scorresponde|me\sestá\spermitido|quiero|deseo)\b
-    | \b(?:debo|tengo\sque|he\sde)\s(?:rechazar|declinar)\b | \bprefiero\sno\b | \bfuera\sde\smi\s(?:cometido|ámbito|alcance|función)\b
-    | \bcontra\smis\s(?:normas|pautas|directrices)\b | \bmis\s(?:normas|pautas|directrices)\b | \baveriguarlo\b.{0,20}\b(?:otra\svía|sin\smí|por\ssu\scuenta)\b | \bninguna\srespuesta\b | \bno\sse\sdará\b
-    """,
-    re.X | re.I,
-)
-#: What accompanies a refusal without being an answer: apologies, referrals, offers.
-_POLITE = re.compile(
-    r"""
-      \b(?:sorry|apologi[sz]e|apologies|unfortunately|regrettably|hope\syou\sunderstand|understanding|thank\syou)\b
-    | \banything\selse\b | \bask\s(?:me\s)?(?:something|anything)\sdifferent\b | \bfeel\sfree\b | \bqualified\sadvis[eo]r\b | \bplease\sconsult\b | \bhelp\syou\s(?:with|otherwise)\b
-    | \btut\smir\sleid\b | \bbedaure | \bleider\b | \bVerständnis\b | \bFachperson\b | \bsonst\s(?:noch\s)?etwas\b | \bandere\sFrage\b | \bstellen\sSie\b.{0,30}\bFrage\b | \bwenden\sSie\ssich\b
-    | \bdésolée?\b | \bmalheureusement\b | \bexcuser\b | \bvous\saider\b | \bconseiller\squalifié\b | \bcompréhension\b | \bautre\squestion\b | \bveuillez\sconsulter\b
-    | \blo\ssiento\b | \blamentablemente\b | \bdisculpas?\b | \bayudarle\b | \basesor\scualificado\b | \bcomprensión\b | \botra\s(?:cosa|pregunta)\b | \bpor\sdesgracia\b
-    """,
-    re.X | re.I,
-)
 #: What shows that a text answers: a page, a serial, a docket, a table or list.
 _EVIDENCE = re.compile(r"\bpage:\s?\d+|\bSN-\d+|\bAZ-\d{4}-|^\s*(?:[-*•]|\d+[.)])\s|^\s*\||```", re.M)
 _SENTENCES = re.compile(r"(?<=[.!?…。])[\"“”»')\]]*\s+|\n+")
 
 
-def refuses(answer: str) -> bool:
-    """Whether every sentence of ``answer`` declines or is a courtesy, and one at least declines."""
+def refuses(question: str | None, answer: str) -> bool:
+    """Whether ``answer`` only declines (``refusals``); pages, serials, tables and lists outside quotations are content."""
     bare = _QUOTED.sub(" ", answer)
-    if _EVIDENCE.search(answer) and _EVIDENCE.search(bare):
-        return False
-    said = [s for s in _SENTENCES.split(bare) if seen(s)]
-    declined = [bool(_REFUSES.search(s.replace("’", "'"))) for s in said]
-    return any(declined) and all(d or _POLITE.search(s) for d, s in zip(declined, said))
+    return not _EVIDENCE.search(bare) and only_declines([s for s in _SENTENCES.split(bare) if seen(s)], question)
 
 
 # --- copy ---------------------------------------------------------------------------------------
@@ -179,8 +137,14 @@ def copies(question: str, answer: str) -> bool:
 _CLOSED = re.compile(r"[.!?…。！？][\"“”»«›'’)\]*_]*$")
 _ABBREVIATED = re.compile(r"\b(?:Dr|Mr|Mrs|Prof|no|nos|cf|vol|pp?|Nr|Bl|Abs|Art|approx|vgl|bzw|ca|núm|pág|fol|éd|art|Sr|Sra|resp)\.$|\(cf\.$", re.I)
 #: A short answer that is whole: serials, dockets, numbers, names, each perhaps with its page.
-_SHORT = re.compile(r"^(?:[A-Z]{2}-[\w-]*\d|[\d.,:%/\s€$-]*\d|\w[\w&.'’-]*(?:,?\s+(?:\w[\w&.'’-]*)){0,4}|yes|no)\s*(?:\(\s*(?:page|p\.|Seite|S\.|pág\.|página)\s?:?\s?\d+\s*\))?$", re.I)
-_OPENS = re.compile(r"(?:\b(?:under|following|by|unter|folgende|sous|bajo|siguientes)|[:,;–—-])$", re.I)
+_SHORT = re.compile(r"^(?:[A-Z]{2}-[\w-]*\d|[A-Z]{3}\s[\d.,\s]*\d|[\d.,:%/\s€$-]*\d|\w[\w&.'’-]*(?:,?\s+(?:\w[\w&.'’-]*)){0,4}|yes|no)\s*(?:\(\s*(?:page|p\.|Seite|S\.|pág\.|página)\s?:?\s?\d+\s*\))?$", re.I)
+_ITEM = re.compile(r"^\s*(?:[-*•–]|\d+[.)]|[a-z]\))\s+\S")
+#: What a text can't end with: an open mark, or a word that needs another after it.
+_OPENS = re.compile(
+    r"(?:[:,;–—(/&+=-]|\b(?:the|a|an|of|to|and|or|but|by|with|for|from|that|which|under|into|following|because|is|was|are|were|had|has|der|die|das|den|dem|des|ein|eine|einen|einer|und|oder|aber|von|vom|zu|zum|zur|mit|für|bei|dass|unter|folgende|weil|ist|wurde|hatte|im|am"
+    r"|le|la|les|un|une|des|du|de|et|ou|mais|par|pour|avec|que|qui|sous|dans|est|avait|el|los|las|una|del|y|o|pero|por|para|con|bajo|siguientes|en|es|fue|había))$", re.I)
+#: A sentence begins so; a name or a figure doesn't.
+_BEGINS = re.compile(r"^(?:the|a|an|this|that|there|he|she|it|they|we|i|nobody|according|der|die|das|ein|eine|es|er|sie|niemand|nach|laut|le|la|les|l'|un|une|il|elle|ils|personne|selon|el|los|las|una|nadie|según)\b", re.I)
 
 
 _MARKS = re.compile("[()\\[\\]{}„“”«»‚\"]")
@@ -207,12 +171,17 @@ def _unclosed(text: str) -> bool:
     return bool(stack)
 
 
-def breaks_off(answer: str) -> bool:
-    """Whether ``answer`` ends before its end."""
+def breaks_off(answer: str, finish: str | None = None) -> bool:
+    """Whether ``answer`` ends before its end.
+
+    The text decides: open marks, a row of a table that isn't whole, a last sentence without its stop, a last word that needs another.
+    Lists, addresses, names and figures end without a stop; where such a short text begins as a sentence does,
+    ``finish`` tells which of the two it is.
+    """
     text = answer.strip().strip("\u200b\ufeff").rstrip()
     if _unclosed(text):
         return True
-    lines = text.splitlines()
+    lines = [x for x in text.splitlines() if seen(x)]
     last = lines[-1].strip()
     if last.startswith("|"):
         table = [x.strip() for x in lines if x.strip().startswith("|")]
@@ -221,8 +190,14 @@ def breaks_off(answer: str) -> bool:
         return False
     if _CLOSED.search(text):
         return bool(_ABBREVIATED.search(text)) or bool(re.search(r"(?:^|\n)\s*\d+\.$", text))
-    if len(lines) == 1 and len(text) <= 60 and _SHORT.match(text) and not _OPENS.search(text):
-        return False
+    if _OPENS.search(text):
+        return True
+    items = [x for x in lines if _ITEM.match(x)]
+    if _ITEM.match(lines[-1]) and len(items) > 1:
+        # An item is whole as a phrase where the items before it are phrases, too.
+        return any(_CLOSED.search(x.strip()) for x in items[:-1]) or len(last.split()) > 12
+    if _SHORT.match(last) and (len(lines) == 1 or not _CLOSED.search(lines[-2].strip())):
+        return finish == "length" and bool(_BEGINS.match(last))
     return True
 
 
@@ -233,6 +208,12 @@ COMMON = {
     "en": "the of and to in that was by on for with his her which had at from this be are not it an had were has have who when could less yet only into before after what said is they she he how many why did does where whose list every",
     "de": "der die das und den von zu mit dem des ein eine einen einer auf für ist im nicht sich wie wer dass wurde wurden hatte an am aus bei nach vor über durch bereits seien schon jedoch nur niemand konnte wann was hat zum zur ich sie er es welche welcher warum viele alle laut bis",
     "fr": "le la les des du de un une et à dans que qui sur pour par ne pas au aux est été avait avaient ce cette dit se sont avec mais plus où quand comme après avant selon je il elle en combien quelle quel quelles quels pourquoi tous",
+    "nl": "de het een van en niet dat die voor met op zijn was werd wordt werden heeft hebben had door over naar bij aan uit ook nog geen maar wel hij zij wie wat wanneer waarom tussen alle moest",
+    "it": "il lo gli di che non per una del della dei delle nel nella sono è era ha hanno aveva anche più con come dal dalla alla questo questa chi quando perché tutti fra stato",
+    "pt": "o os as de a e se do da dos das não em no na nos um uma que para com por foi são era tem tinha também mais como ao pelo pela este esta quem quando porque entre todos",
+    "sv": "och att det som en ett av är var för på med inte den har hade till från om vid efter över mellan alla när vem vad",
+    "da": "og at det som en et af er var for på med ikke den har havde til fra om ved efter over mellem alle når hvem hvad blev",
+    "pl": "i w na z że się nie do to jest był była było przez po od dla oraz jak co kto kiedy dlaczego między wszystkie został",
     "es": "el la los las del de que y en un una por con no se su para al lo como fue había habían pero más cuando solo sobre antes después según quién cómo durante entre sin está yo él ella cuenta cuántas cuántos qué cuál dónde a",
 }
 _COMMON = {k: set(v.split()) for k, v in COMMON.items()}
@@ -242,6 +223,12 @@ _NAMES = {
     "en": r"english|englisch\w*|anglais|inglés",
     "de": r"german|deutsch\w*|allemand|alemán",
     "fr": r"french|französisch\w*|français|francés",
+    "nl": r"dutch|niederländisch\w*|holländisch\w*|néerlandais|neerlandés|holandés",
+    "it": r"italian|italienisch\w*|italien|italiano",
+    "pt": r"portuguese|portugiesisch\w*|portugais|portugués",
+    "sv": r"swedish|schwedisch\w*|suédois|sueco",
+    "da": r"danish|dänisch\w*|danois|danés",
+    "pl": r"polish|polnisch\w*|polonais|polaco",
     "es": r"spanish|spanisch\w*|espagnol|español|castellano",
 }
 _ASKED = {k: re.compile(rf"\b(?:in|into|auf|en|to|ins?|language|idioma|langue|Sprache|au|al|reads?|speaks?|only)\s(?:\w+\s){{0,2}}?(?:{v})\b|\b(?:{v})\b", re.I) for k, v in _NAMES.items()}
@@ -295,16 +282,16 @@ def other_language(question: str, answer: str) -> bool:
 # --- the operator -------------------------------------------------------------------------------
 
 
-def find_defects(question: str | None, answer: str | None) -> list[str]:
-    """Every defect of a pair, in the order of the rules."""
+def find_defects(question: str | None, answer: str | None, finish: str | None = None) -> list[str]:
+    """Every defect of a pair, in the order of the rules; ``finish`` is why the answer ended, if that is known."""
     if not seen(answer):
         return [EMPTY]
     out = []
-    if refuses(answer):
+    if refuses(question, answer):
         out.append(REFUSAL)
     if question and copies(question, answer):
         out.append(COPY)
-    if breaks_off(answer):
+    if breaks_off(answer, finish):
         out.append(TRUNCATED)
     if question and other_language(question, answer):
         out.append(LANGUAGE)
@@ -317,10 +304,15 @@ def _last(messages: str, role: str):
     return F.when(F.size(mine) > 0, F.struct(F.try_element_at(mine, F.lit(-1))["content"].alias("content")))
 
 
+def _rows(traces: DataFrame) -> DataFrame:
+    finish = F.col("finish_reason") if "finish_reason" in traces.columns else F.lit(None)
+    return traces.select("trace_id", _last("prompt_messages", "user")["content"].alias("question"), _last("response_messages", "assistant")["content"].alias("answer"), finish.cast("string").alias("finish_reason"))
+
+
 def pairs(traces: DataFrame) -> DataFrame:
-    """trace_id, question and answer (contents as they stand) of each distinct trace."""
-    rows = traces.select("trace_id", _last("prompt_messages", "user")["content"].alias("question"), _last("response_messages", "assistant")["content"].alias("answer"))
-    return rows.groupBy("trace_id").agg(F.max_by(F.struct("question", "answer"), F.hash("question", "answer")).alias("p")).select("trace_id", "p.*")
+    """trace_id, question, answer (contents as they stand) and finish_reason (null where traces have none) of each distinct trace."""
+    first = F.max_by(F.struct("question", "answer", "finish_reason"), F.hash("question", "answer", "finish_reason")).alias("p")
+    return _rows(traces).groupBy("trace_id").agg(first).select("trace_id", "p.*")
 
 
 def judge(rows: DataFrame) -> DataFrame:
@@ -328,16 +320,15 @@ def judge(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [find_defects(plain_text(q), plain_text(a)) for q, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            found = [find_defects(plain_text(q), plain_text(a), f) for q, a, f in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["trace_id", "defects"])
 
-    return rows.select("trace_id", "question", "answer").mapInArrow(run, "trace_id bigint, defects array<string>")
+    return rows.select("trace_id", "question", "answer", "finish_reason").mapInArrow(run, "trace_id bigint, defects array<string>")
 
 
 def _judged(traces: DataFrame) -> DataFrame:
     """As ``judge(pairs(traces))``, but judged where the rows lie, so that only verdicts are shuffled."""
-    rows = traces.select("trace_id", _last("prompt_messages", "user")["content"].alias("question"), _last("response_messages", "assistant")["content"].alias("answer"))
-    return judge(rows).groupBy("trace_id").agg(F.max("defects").alias("defects"))
+    return judge(_rows(traces)).groupBy("trace_id").agg(F.max("defects").alias("defects"))
 
 
 def defects(traces: DataFrame) -> DataFrame:
