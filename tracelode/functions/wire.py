@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import types as T
@@ -32,13 +33,21 @@ def canonical(value) -> str | None:
         return None
 
 
+def spoken(value, within: bool = False) -> Iterator[str]:
+    """The strings that a content value says, in order: itself, a part's text, those of a list's strings and parts."""
+    match value:
+        case str():
+            yield value
+        case {"text": str(text)}:
+            yield text
+        case [*items] if not within:
+            for item in items:
+                yield from spoken(item, True)
+
+
 def flatten(value) -> str:
-    """A content value as text: a string itself, a part's text, the joined texts of a list; else empty."""
-    if isinstance(value, str):
-        return value
-    parts = [value] if isinstance(value, dict) else value if isinstance(value, list) else []
-    texts = [p if isinstance(p, str) else p.get("text") if isinstance(p, dict) else None for p in parts]
-    return "".join(t for t in texts if isinstance(t, str))
+    """A content value as text; empty if it says nothing."""
+    return "".join(spoken(value))
 
 
 def kind(value) -> str:

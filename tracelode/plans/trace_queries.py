@@ -146,24 +146,51 @@ def tool_segments(spark: SparkSession, root: str) -> DataFrame:
     return t.select("trace_id", F.greatest(F.size("s"), F.lit(0)).alias("n"), F.coalesce(F.aggregate("s", F.lit(0), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).alias("ids"))
 
 
+def _turned(spark: SparkSession, root: str) -> DataFrame:
+    return _delivered(spark, root).withColumn("response_logprobs", F.coalesce("response_logprobs", stub_logprobs(F.col("response_ids"))))
+
+
 def _completions(spark: SparkSession, root: str) -> DataFrame:
-    t = _delivered(spark, root).withColumn("response_logprobs", F.coalesce("response_logprobs", stub_logprobs(F.col("response_ids"))))
-    return J.sampled_turns(t, _KEYS)
+    return J.sampled_turns(_turned(spark, root), _KEYS)
 
 
 def sampled_turns(spark: SparkSession, root: str) -> DataFrame:
     return _completions(spark, root).select(*_KEYS, "seq", F.size("prompt_ids").alias("n_prompt"), F.size("response_ids").alias("n_response"), F.size("logprobs").alias("n_logprobs"))
 
 
-def prefix_merge(spark: SparkSession, root: str) -> DataFrame:
-    """The completions of each delivered trace merged again: ids and masks as joined text."""
-    m = J.reconstruct(_completions(spark, root), _KEYS)
+def _digests(m: DataFrame, *more: str) -> DataFrame:
     text = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
-    return m.select(*_KEYS, "chain_no", F.size("response_ids").alias("n"), text("prompt_ids").alias("prompt"), text("response_ids").alias("response"), text("loss_mask").alias("mask"), "kept", "total")
+    return m.select(*_KEYS, "chain_no", F.size("response_ids").alias("n"), text("prompt_ids").alias("prompt"), text("response_ids").alias("response"), text("loss_mask").alias("mask"), "kept", "total", *more)
+
+
+def prefix_merge(spark: SparkSession, root: str) -> DataFrame:
+    """The completions of each delivered trace merged again: ids and masks as hashes of joined text."""
+    return _digests(J.reconstruct_traces(_turned(spark, root), _KEYS))
 
 
 def chain_statistics(spark: SparkSession, root: str) -> DataFrame:
-    return J.statistics(J.reconstruct(_completions(spark, root), _KEYS), _KEYS)
+    return J.statistics(J.reconstruct_traces(_turned(spark, root), _KEYS), _KEYS)
+
+
+#: Ids that a template puts at the end of every prompt, and that the next prompt doesn't repeat.
+GLUE = [270, 271]
+
+
+def glue_stitch(spark: SparkSession, root: str) -> DataFrame:
+    """The completions of each delivered trace with glue planted behind every prompt, stitched and merged."""
+    c = _completions(spark, root).where(F.size("prompt_ids") > 0)
+    glued = c.withColumn("prompt_ids", F.concat("prompt_ids", F.array(*[F.lit(g) for g in GLUE])))
+    return _digests(J.reconstruct(glued, _KEYS, glue=GLUE), "stitched")
+
+
+def broken_chains(spark: SparkSession, root: str) -> DataFrame:
+    """Completions with faults planted: every delivery's turns a second time behind a prompt of another agent, and,
+    in every fourth delivery, no end marks."""
+    c = _completions(spark, root).where(F.size("prompt_ids") > 0)
+    unmarked = lambda a: F.when(F.col("delivery_id") % 4 == 1, F.transform(a, lambda x: F.when(x == END, 261).otherwise(x))).otherwise(F.col(a))
+    c = c.withColumns({"prompt_ids": unmarked("prompt_ids"), "response_ids": unmarked("response_ids"), "copy": F.explode(F.array(F.lit(0), F.lit(1)))})
+    c = c.withColumns({"prompt_ids": F.when(F.col("copy") == 1, F.concat(F.array(F.lit(999)), "prompt_ids")).otherwise(F.col("prompt_ids")), "seq": F.col("seq") * 2 + F.col("copy")})
+    return _digests(J.reconstruct(c, _KEYS))
 
 
 def session_findings(spark: SparkSession, root: str) -> DataFrame:
@@ -274,7 +301,7 @@ def message_texts(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     logprob_discipline, trace_tripwires, page_cutoff_gate, turn_opening_tail, chain_snapshot_gate, admission_gate, prompt_source_gate, system_prompt_gate, workspace_gate, raw_mask_gate, accept_quarantine,
-    disposition_counts, streaming_validate, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, session_findings,
+    disposition_counts, streaming_validate, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, glue_stitch, broken_chains, session_findings,
     episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, delivery_divergence_traces, collection_comparison, message_texts, token_stream, marked_tokens, opening_kinds, redelivery_changes)}
 
 
@@ -423,3 +450,24 @@ f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY session_id, task_i
 _LAST = "CASE WHEN s[q] > 0 THEN r[s[q]] ELSE p[-1] END"
 ORACLE["opening_kinds"] = _RUNS + f""" SELECT delivery_id, trace_no, CASE {_LAST} WHEN 258 THEN 'assistant' WHEN 260 THEN 'end' ELSE 'other' END AS kind, count(*) AS n FROM x, unnest(range(1, len(s) + 1)) AS u(q) GROUP BY ALL"""
 ORACLE["envelope_members"] = f"WITH s AS ({ORACLE['envelope_screen']}) SELECT body_id, max(member_no) AS member_no, session_id FROM s WHERE body_id NOT IN (SELECT body_id FROM s WHERE NOT fit) GROUP BY body_id, session_id"
+# A trace's turns merged again: what stands between two runs, from the first end mark after the earlier prompt on; a prompt without ids is extended by none.
+_TURNS = _RUNS + """, z AS (SELECT delivery_id, trace_no, p, r, s, e, len(s) AS k, coalesce(len(p), 0) + s[1] = 0 AS bare FROM x WHERE len(s) > 0),
+c AS (SELECT *, 0 AS chain_no, 1 AS a, CASE WHEN bare THEN 1 ELSE k END AS b FROM z UNION ALL SELECT *, 1, 2, k FROM z WHERE bare AND k > 1)"""
+_TURNED = """, t AS (SELECT *, list_transform(range(a, b), lambda q: r[s[q] + 1 : s[q + 1]]) AS tails FROM c),
+m AS (SELECT *, list_transform(tails, lambda l: coalesce(list_position(l, 260), 0)) AS mk FROM t),
+w AS (SELECT *, coalesce(list_position(mk, 0), 0) AS cut FROM m),
+g AS (SELECT *, CASE WHEN cut = 0 THEN b - a + 1 ELSE cut END AS kept FROM w),
+f AS (SELECT *, [[]::INT[]] || list_transform(range(1, kept), lambda i: CASE WHEN r[e[a + i - 1]] = 260 THEN tails[i][mk[i] + 1 :] ELSE tails[i][mk[i] :] END || {0}) AS betw,
+  list_transform(range(a, a + kept), lambda q: r[s[q] + 1 : e[q]]) AS said FROM g),
+h AS (SELECT *, flatten(list_transform(range(1, kept + 1), lambda i: betw[i] || said[i])) AS ids, flatten(list_transform(range(1, kept + 1), lambda i: list_transform(betw[i], lambda y: 0) || list_transform(said[i], lambda y: 1))) AS ms FROM f)"""
+_SUM = "sha256(array_to_string({}, ','))"
+ORACLE["prefix_merge"] = _TURNS + _TURNED.format("[]::INT[]") + f""" SELECT delivery_id, trace_no, chain_no, len(ids) AS n, {_SUM.format('coalesce(p, []) || r[1 : s[a]]')} AS prompt, {_SUM.format('ids')} AS response, {_SUM.format('ms')} AS mask, kept, b - a + 1 AS total FROM h"""
+ORACLE["chain_statistics"] = _TURNS + _TURNED.format("[]::INT[]") + """ SELECT delivery_id, trace_no, count(*) AS chains_total, count(*) FILTER (WHERE kept = b - a + 1) AS chains_full, count(*) FILTER (WHERE kept < b - a + 1) AS chains_truncated,
+  sum(b - a + 1)::BIGINT AS completions_total, sum(kept)::BIGINT AS completions_merged FROM h GROUP BY 1, 2"""
+# The turns of a trace from the first with a prompt on are one chain; stitched, glue stands behind what lies between two runs.
+_PROMPTED = _RUNS + """, z AS (SELECT delivery_id, trace_no, p, r, s, e, len(s) AS k, coalesce(len(p), 0) + s[1] = 0 AS bare FROM x WHERE len(s) > 0),
+c AS (SELECT *, 0 AS chain_no, CASE WHEN bare THEN 2 ELSE 1 END AS a, k AS b FROM z WHERE NOT bare OR k > 1)"""
+ORACLE["glue_stitch"] = _PROMPTED + _TURNED.format("[270, 271]") + f""" SELECT delivery_id, trace_no, chain_no, len(ids) AS n, {_SUM.format('coalesce(p, []) || r[1 : s[a]] || [270, 271]')} AS prompt, {_SUM.format('ids')} AS response, {_SUM.format('ms')} AS mask, kept,
+  b - a + 1 AS total, b - a AS stitched FROM h"""
+ORACLE["broken_chains"] = _PROMPTED.replace("p, r, s, e, len(s)", "CASE WHEN delivery_id % 4 = 1 THEN list_transform(p, lambda y: CASE WHEN y = 260 THEN 261 ELSE y END) ELSE p END AS p, CASE WHEN delivery_id % 4 = 1 THEN list_transform(r, lambda y: CASE WHEN y = 260 THEN 261 ELSE y END) ELSE r END AS r, s, e, len(s)") + _TURNED.format("[]::INT[]") + f"""
+SELECT delivery_id, trace_no, o.n::INT AS chain_no, len(ids) AS n, {_SUM.format('CASE WHEN o.n = 1 THEN [999] ELSE []::INT[] END || coalesce(p, []) || r[1 : s[a]]')} AS prompt, {_SUM.format('ids')} AS response, {_SUM.format('ms')} AS mask, kept, b - a + 1 AS total FROM h, (VALUES (0), (1)) AS o(n)"""
