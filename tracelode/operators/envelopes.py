@@ -15,6 +15,21 @@ from tracelode.operators.nested import members_of
 _SAFE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*\Z")
 
 
+def members_with_reasons(body: str | None) -> list[tuple[object, str | None, str | None]]:
+    """Each member of a body with its session_id and the reason why it is unfit, None if it is fit."""
+    out = []
+    for m in members_of(body):
+        sid = m.get("session_id") if isinstance(m, dict) else None
+        if not isinstance(m, dict):
+            reason = "not_an_object"
+        elif not (isinstance(sid, str) and _SAFE.match(sid)):
+            reason = "unsafe_session_id"
+        else:
+            reason = None if isinstance(m.get("trajectory"), dict) else "no_trajectory"
+        out.append((m, sid if isinstance(sid, str) else None, reason))
+    return out
+
+
 def screen(bodies: DataFrame) -> DataFrame:
     """Each member of each body: body_id, member_no, session_id, fit, reason.
 
@@ -26,13 +41,8 @@ def screen(bodies: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                members = members_of(text)
-                if not members:
-                    rows.append((key, -1, None, "no_member"))
-                for i, m in enumerate(members):
-                    sid = m.get("session_id") if isinstance(m, dict) else None
-                    reason = "not_an_object" if not isinstance(m, dict) else "unsafe_session_id" if not (isinstance(sid, str) and _SAFE.match(sid)) else None if isinstance(m.get("trajectory"), dict) else "no_trajectory"
-                    rows.append((key, i, sid if isinstance(sid, str) else None, reason))
+                judged = members_with_reasons(text)
+                rows += [(key, i, sid, reason) for i, (_, sid, reason) in enumerate(judged)] or [(key, -1, None, "no_member")]
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["body_id", "member_no", "session_id", "reason"])
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +11,12 @@ from tracelode.functions.wire import canonical_hash
 from tracelode.operators import analytics as A
 from tracelode.operators import compare as K
 from tracelode.operators import envelopes as E
+from tracelode.operators import gate as G
 from tracelode.operators import rules as R
 from tracelode.operators import trajectory as J
 from tracelode.plans.records import MEMBERS
-from tracelode.schemas import DELIVERY
+from tracelode.runtime import shared_folder
+from tracelode.schemas import BODY, DELIVERY
 from tracelode.sources.tables import table
 from tracelode.streaming import validate as V
 
@@ -98,22 +96,64 @@ def raw_mask_gate(spark: SparkSession, root: str) -> DataFrame:
     return R.raw_mask_findings(E.raw_masks(table(spark, root, "wire_bodies")), ["body_id", "member_no", "trace_no"], "mask")
 
 
+def _pins(spark: SparkSession, root: str) -> G.Pins:
+    """Approved are the system prompts of the eval split, the cards on r5 images, and turns that open after the assistant's mark."""
+    prompts = R.system_prompts(_traces(spark, root).where("split = 'eval'"), "trace_id").select("digest")
+    cards = table(spark, root, "tasks").where("sandbox_image LIKE '%r5'").select(F.sha2("skill_card_text", 256).alias("card"))
+    return G.Pins(system_prompts=G.pinned(prompts), cards=G.pinned(cards), tails=TAILS)
+
+
+def _cards(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "tasks").select("task_id", F.sha2("skill_card_text", 256).alias("card_hash"))
+
+
+def _gated(spark: SparkSession, root: str):
+    """The whole gate over deliveries; the digest of a task's card stands for the hash that traces would state."""
+    pins, cards = _pins(spark, root), _cards(spark, root)
+    return lambda d: G.gate(d, ["delivery_id", "session_id"], pins, cards=cards)
+
+
+def _shown(d: DataFrame) -> DataFrame:
+    return d.withColumn("findings", F.array_join("findings", "|"))
+
+
 def accept_quarantine(spark: SparkSession, root: str) -> DataFrame:
-    d = R.dispositions(_deliveries(spark, root), TAILS)
-    return d.select("delivery_id", "session_id", F.array_join("findings", "|").alias("findings"), "disposition")
+    return _shown(_gated(spark, root)(_deliveries(spark, root)))
 
 
 def disposition_counts(spark: SparkSession, root: str) -> DataFrame:
-    return V.counters(R.dispositions(_deliveries(spark, root), TAILS))
+    return V.counters(_gated(spark, root)(_deliveries(spark, root)))
 
 
 def streaming_validate(spark: SparkSession, root: str) -> DataFrame:
     """As accept_quarantine, by a stream that takes all files there are; the result is what it wrote."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    sink = os.path.join(base, f"tracelode-stream-{uuid.uuid4().hex}")
+    sink = shared_folder(spark, "stream")
     # A pattern, since a stream takes the path of a folder or a pattern, and the table may be one file.
-    V.run_available(spark, f"{root}/pi_polar_task_status.parque[t]", DELIVERY, lambda s: R.dispositions(s, TAILS), sink)
-    return V.routed(spark, sink).select("delivery_id", "session_id", F.array_join("findings", "|").alias("findings"), "disposition")
+    V.run_available(spark, f"{root}/pi_polar_task_status.parque[t]", DELIVERY, _gated(spark, root), sink)
+    return _shown(V.routed(spark, sink).select("delivery_id", "session_id", "findings", "disposition"))
+
+
+def _doctored_bodies(bodies: DataFrame) -> DataFrame:
+    """Bodies with faults planted by id: a mask value that is no integer, findings of the builder, a split that is null."""
+    body = F.col("body")
+    for left, old, new in (
+        (0, '"loss_mask":[1', '"loss_mask":["x"'), (1, '"metadata":{"builder":', '"metadata":{"validation":{"findings":["S1:empty_prompt_ids:c1"]},"builder":'), (2, '"prompt_source":', '"split":null,"prompt_source":'),
+        (3, '"finish_reason":"stop"', '"finish_reason":"abort"'),
+    ):
+        body = F.when(F.col("body_id") % 4 == left, F.replace(body, F.lit(old), F.lit(new))).otherwise(body)
+    return bodies.withColumn("body", body)
+
+
+def raw_gate(spark: SparkSession, root: str) -> DataFrame:
+    """The whole gate over raw bodies with planted faults, unfit envelopes rejected whole."""
+    return _shown(G.gate_bodies(_doctored_bodies(table(spark, root, "wire_bodies")), _pins(spark, root), cards=_cards(spark, root)))
+
+
+def raw_stream(spark: SparkSession, root: str) -> DataFrame:
+    """As raw_gate, by a stream, and of each session only the member that came last."""
+    sink, pins, cards = shared_folder(spark, "stream"), _pins(spark, root), _cards(spark, root)
+    V.run_available(spark, f"{root}/wire_bodies.parque[t]", BODY, lambda b: G.gate_bodies(_doctored_bodies(b), pins, cards=cards), sink)
+    return _shown(V.latest(spark, sink, "session_id", ["body_id", "member_no"]).select("body_id", "member_no", "session_id", "findings", "disposition"))
 
 
 def envelope_screen(spark: SparkSession, root: str) -> DataFrame:
@@ -301,7 +341,7 @@ def message_texts(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     logprob_discipline, trace_tripwires, page_cutoff_gate, turn_opening_tail, chain_snapshot_gate, admission_gate, prompt_source_gate, system_prompt_gate, workspace_gate, raw_mask_gate, accept_quarantine,
-    disposition_counts, streaming_validate, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, glue_stitch, broken_chains, session_findings,
+    disposition_counts, streaming_validate, raw_gate, raw_stream, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, glue_stitch, broken_chains, session_findings,
     episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, delivery_divergence_traces, collection_comparison, message_texts, token_stream, marked_tokens, opening_kinds, redelivery_changes)}
 
 
@@ -471,3 +511,48 @@ ORACLE["glue_stitch"] = _PROMPTED + _TURNED.format("[270, 271]") + f""" SELECT d
   b - a + 1 AS total, b - a AS stitched FROM h"""
 ORACLE["broken_chains"] = _PROMPTED.replace("p, r, s, e, len(s)", "CASE WHEN delivery_id % 4 = 1 THEN list_transform(p, lambda y: CASE WHEN y = 260 THEN 261 ELSE y END) ELSE p END AS p, CASE WHEN delivery_id % 4 = 1 THEN list_transform(r, lambda y: CASE WHEN y = 260 THEN 261 ELSE y END) ELSE r END AS r, s, e, len(s)") + _TURNED.format("[]::INT[]") + f"""
 SELECT delivery_id, trace_no, o.n::INT AS chain_no, len(ids) AS n, {_SUM.format('CASE WHEN o.n = 1 THEN [999] ELSE []::INT[] END || coalesce(p, []) || r[1 : s[a]]')} AS prompt, {_SUM.format('ids')} AS response, {_SUM.format('ms')} AS mask, kept, b - a + 1 AS total FROM h, (VALUES (0), (1)) AS o(n)"""
+
+# The whole gate: dt has one row for each trace object (delivery_id, session_id, trace_no, t), src the records themselves, extra what raw bodies state.
+_GATE = """x AS (SELECT *, """ + _STARTS + """ AS s, """ + _ENDS + """ AS e FROM d),
+tr AS (SELECT delivery_id * 100000 + trace_no AS trace_id, t.metadata.timestep AS timestep, t.prompt_messages AS prompt_messages, t.response_messages AS response_messages FROM dt),
+""" + _LATE.removeprefix("WITH ") + f""",
+late AS (SELECT trace_id, ['{R.G5_TIMESTEP}'] AS f FROM tt WHERE t IS NULL UNION ALL SELECT trace_id, list('{R.G5_PAGE}:' || page || '>' || t ORDER BY page) FROM pg JOIN tt USING (trace_id) WHERE page > t GROUP BY 1),
+said AS (SELECT trace_id, k AS ord, prompt_messages[k] AS x FROM tr, unnest(range(1, coalesce(len(prompt_messages), 0) + 1)) AS u(k)),
+sys AS (SELECT trace_id, ord, sha256({_FLAT.format('x.content')}) AS h FROM said WHERE x.role = 'system'),
+okp AS (SELECT DISTINCT sha256({_FLAT.format('m.content')}) AS h FROM (SELECT unnest(prompt_messages) AS m FROM traces WHERE split = 'eval') WHERE m.role = 'system'),
+g2 AS (SELECT trace_id, coalesce(list('{R.G2_NOT_APPROVED}:' || coalesce(h, 'unhashable') ORDER BY ord) FILTER (WHERE h IS NULL OR h NOT IN (SELECT h FROM okp WHERE h IS NOT NULL)), []) AS f FROM sys GROUP BY 1),
+okc AS (SELECT DISTINCT sha256(skill_card_text) AS h FROM tasks WHERE sandbox_image LIKE '%r5' AND skill_card_text IS NOT NULL),
+src1 AS (SELECT delivery_id, trace_no, md.prompt_source AS source, sha256(skill_card_text) AS h FROM d LEFT JOIN tasks ON tasks.task_id = d.md.task_id),
+g1 AS (SELECT delivery_id, trace_no, CASE WHEN coalesce(source, '') = 'free' THEN [] WHEN NOT coalesce(regexp_matches(source, '^skill:.*\\S'), false) THEN ['{R.G1_SOURCE}'] WHEN h IS NULL THEN ['{R.G1_CARD}']
+  WHEN h IN (SELECT h FROM okc) THEN [] ELSE ['{R.G1_NOT_APPROVED}:' || h] END AS f FROM src1),
+per AS (SELECT x.delivery_id, x.trace_no, ({_LP}) || ({_TR1}) || @raw@ || coalesce(late.f, []) || coalesce(g2.f, ['{R.G2_MISSING}']) || g1.f || ({_TAIL}) AS f
+  FROM x JOIN g1 ON g1.delivery_id = x.delivery_id AND g1.trace_no = x.trace_no LEFT JOIN late ON late.trace_id = x.delivery_id * 100000 + x.trace_no LEFT JOIN g2 ON g2.trace_id = x.delivery_id * 100000 + x.trace_no @join@),
+mine AS (SELECT delivery_id, trace_no, f FROM per UNION ALL SELECT delivery_id, k - 1, ['{R.ADM5}'] FROM src, unnest(range(1, coalesce(len(trajectory.traces), 0) + 1)) AS u(k) WHERE trajectory.traces[k] IS NULL),
+agg AS (SELECT delivery_id, flatten(list(f ORDER BY trace_no)) AS f FROM mine GROUP BY 1),
+z AS (SELECT delivery_id, session_id, {_if("status IS DISTINCT FROM 'COMPLETED'", f"'{R.ADM1}:'", _NUM.format("status"))} || CASE WHEN trajectory IS NULL THEN ['{R.ADM3}'] ELSE @builder@ || {_if("coalesce(len(trajectory.traces), 0) = 0", f"'{R.ADM4}'")} ||
+  ({_G7.replace('st.', 'trajectory.metadata.reconstruction_stats.').replace('st IS NULL', 'trajectory.metadata.reconstruction_stats IS NULL')}) END || coalesce(agg.f, []) AS findings FROM src LEFT JOIN agg USING (delivery_id)),
+y AS (SELECT delivery_id, session_id, array_to_string(findings, '|') AS findings, CASE WHEN len(findings) = 0 THEN 'accepted' ELSE 'quarantined' END AS disposition FROM z) """
+_WHOLE = f"WITH {_D}, src AS (SELECT * FROM pi_polar_task_status), " + _GATE.replace("@raw@", "[]").replace("@join@", "").replace("@builder@", "[]")
+# The gate's operator runs every check of the specification since it was widened, and so does its SQL.
+ORACLE["accept_quarantine"] = ORACLE["streaming_validate"] = _WHOLE + "SELECT * FROM y"
+ORACLE["disposition_counts"] = _WHOLE + "SELECT disposition, count(*) AS n FROM y GROUP BY 1"
+# Raw bodies, doctored alike: a body with an unfit member is refused whole; of a session's members in a body the last counts.
+_BODIES = """WITH wire_bodies AS (SELECT body_id, received_at, CASE body_id % 4 WHEN 0 THEN replace(body, '"loss_mask":[1', '"loss_mask":["x"')
+  WHEN 1 THEN replace(body, '"metadata":{"builder":', '"metadata":{"validation":{"findings":["S1:empty_prompt_ids:c1"]},"builder":')
+  WHEN 2 THEN replace(body, '"prompt_source":', '"split":null,"prompt_source":') WHEN 3 THEN replace(body, '"finish_reason":"stop"', '"finish_reason":"abort"') ELSE body END AS body FROM wire_bodies),
+""" + MEMBERS.strip().removeprefix("WITH ") + ", screened AS (" + ORACLE["envelope_screen"].removeprefix(MEMBERS).strip() + """),
+refused AS (SELECT body_id, arg_min(reason, member_no) AS reason FROM screened WHERE NOT fit GROUP BY 1),
+kept AS (SELECT body_id, max(member_no) AS member_no, session_id FROM screened WHERE body_id NOT IN (SELECT body_id FROM refused) GROUP BY body_id, session_id),
+src AS (SELECT body_id * 1000 + member_no AS delivery_id, body_id, member_no, kept.session_id, CASE WHEN json_type(m, '$.status') = 'VARCHAR' THEN m ->> '$.status' END AS status,
+  from_json(m -> '$.trajectory', '{"metadata":{"reconstruction_stats":{"chains_total":"INTEGER","completions_total":"INTEGER","completions_merged":"INTEGER"}},"traces":[{"prompt_ids":["INTEGER"],"response_ids":["INTEGER"],"loss_mask":["INTEGER"],
+    "prompt_messages":[{"role":"VARCHAR","content":"VARCHAR","tool_calls":[{"id":"VARCHAR","type":"VARCHAR","function":{"name":"VARCHAR","arguments":"VARCHAR"}}],"tool_call_id":"VARCHAR"}],
+    "response_messages":[{"role":"VARCHAR","content":"VARCHAR","tool_calls":[{"id":"VARCHAR","type":"VARCHAR","function":{"name":"VARCHAR","arguments":"VARCHAR"}}],"tool_call_id":"VARCHAR"}],
+    "finish_reason":"VARCHAR","response_logprobs":["DOUBLE"],"metadata":{"task_id":"VARCHAR","timestep":"INTEGER","prompt_source":"VARCHAR"}}]}') AS trajectory,
+  json_extract_string(m, '$.trajectory.metadata.validation.findings[*]') AS builder, json_extract(m, '$.trajectory.traces[*]') AS raw FROM kept JOIN members USING (body_id, member_no)),
+dt AS (SELECT delivery_id, session_id, (k - 1)::INT AS trace_no, trajectory.traces[k] AS t, CASE json_type(raw[k], '$.metadata.split') WHEN 'NULL' THEN 'None' ELSE raw[k] ->> '$.metadata.split' END AS split
+  FROM src, unnest(range(1, coalesce(len(trajectory.traces), 0) + 1)) AS u(k) WHERE trajectory.traces[k] IS NOT NULL),
+d AS (SELECT delivery_id, session_id, trace_no, split, t.prompt_ids AS p, t.response_ids AS r, t.loss_mask AS m, t.response_logprobs AS lp, t.finish_reason AS fr, t.metadata AS md, coalesce(len(t.response_ids), 0) AS n, coalesce(len(t.loss_mask), 0) AS nm FROM dt), """
+_BODY_GATE = _BODIES + _GATE.replace("@raw@", _if("split NOT IN ('train', 'eval')", f"'{R.TR3}:'", "split")).replace("@join@", "").replace("@builder@", f"CASE WHEN len(builder) > 0 THEN ['{R.ADM2}:' || len(builder)] || builder ELSE [] END")
+_JUDGED = "SELECT src.body_id, src.member_no, y.session_id, findings, disposition FROM y JOIN src USING (delivery_id) UNION ALL SELECT body_id, -1, NULL, reason, 'rejected' FROM refused"
+ORACLE["raw_gate"] = _BODY_GATE + _JUDGED
+ORACLE["raw_stream"] = _BODY_GATE + f", judged AS ({_JUDGED}) SELECT * FROM judged QUALIFY session_id IS NULL OR row_number() OVER (PARTITION BY session_id ORDER BY body_id DESC, member_no DESC) = 1"

@@ -83,3 +83,5 @@ def prune(schema: T.DataType, paths: list[str]) -> T.DataType:
         if below:
             fields.append(T.StructField(f.name, prune(f.dataType, below), f.nullable))
     return T.StructType(fields)
+
+BODY = ddl("body_id bigint, received_at timestamp, body string")
