@@ -133,6 +133,45 @@ def streaming_validate(spark: SparkSession, root: str) -> DataFrame:
     return _shown(V.routed(spark, sink).select("delivery_id", "session_id", "findings", "disposition"))
 
 
+def _doctored_deliveries(spark: SparkSession, root: str) -> DataFrame:
+    """Deliveries that pass every check, and one fault planted in each by its id, so that every rule fires alone."""
+    d = _deliveries(spark, root).where("trajectory IS NOT NULL")
+    fault = F.col("delivery_id") % 16
+    planted = lambda k, a, b: F.when(fault == k, a).otherwise(b)
+    card = F.struct(F.lit("system").alias("role"), planted(10, F.lit("Do as you like."), F.lit("Answer from the pages.")).alias("content"))
+
+    def trace(t):
+        ids = F.coalesce(t["response_ids"], F.array().cast("array<int>"))
+        n = F.size(ids)
+        ones = F.when(n > 0, F.array_repeat(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        mask = planted(6, F.concat(F.slice(ones, 2, n), F.array(F.lit(2))), planted(8, F.slice(ones, 2, n), ones))
+        logprobs = stub_logprobs(ids)
+        first = lambda v: F.concat(F.array(F.lit(v)), F.slice(logprobs, 2, n))
+        logprobs = F.when(fault == 1, F.slice(logprobs, 2, n)).when(fault == 2, first(-9999.0)).when(fault == 3, first(float("inf"))).when(fault == 4, first(0.5)).when(fault == 5, F.transform(logprobs, lambda x: x * 0)).when(fault != 7, logprobs)
+        system = F.struct(card["role"].alias("role"), card["content"].alias("content"), F.get(t["prompt_messages"], F.lit(0))["tool_calls"].alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"))
+        asked = F.filter(F.coalesce(t["prompt_messages"], F.slice(t["response_messages"], 1, 0)), lambda m: F.coalesce(m["role"] != "system", F.lit(False)))
+        head = F.coalesce(t["prompt_ids"], F.array().cast("array<int>"))
+        meta = t["metadata"].withField("timestep", planted(12, F.lit(0), F.lit(9999))).withField("prompt_source", planted(11, F.lit("skill:x"), F.lit("free")))
+        return (
+            t.withField("prompt_ids", F.concat(head, F.array(planted(14, F.lit(END), F.lit(258))))).withField("response_ids", ids).withField("loss_mask", mask).withField("response_logprobs", logprobs)
+            .withField("prompt_messages", F.concat(F.array(system.withField("tool_calls", F.lit(None).cast("array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"))), asked))
+            .withField("finish_reason", planted(9, F.lit("abort"), F.lit("stop"))).withField("metadata", meta)
+        )
+
+    traces = F.transform(F.filter("trajectory.traces", lambda t: t.isNotNull() & t["metadata"].isNotNull() & (F.coalesce(F.size(t["response_ids"]), F.lit(0)) > 3)), trace)
+    stats = F.struct(F.lit(1).alias("chains_total"), F.lit(2).alias("completions_total"), planted(13, F.lit(1), F.lit(2)).alias("completions_merged"))
+    done = F.col("trajectory").withField("traces", traces).withField("metadata", F.col("trajectory.metadata").withField("reconstruction_stats", stats))
+    return d.where("trajectory.metadata IS NOT NULL").withColumn("trajectory", done).withColumn("status", planted(15, F.lit("FAILED"), F.lit("COMPLETED")))
+
+
+def doctored_gate(spark: SparkSession, root: str) -> DataFrame:
+    """The whole gate over sound deliveries with one planted fault each; deliveries without fault are accepted."""
+    cards = table(spark, root, "tasks").where("sandbox_image LIKE '%r5'").select(F.sha2("skill_card_text", 256).alias("card"))
+    approved = spark.range(1).select(F.sha2(F.lit("Answer from the pages."), 256).alias("d"))
+    pins = G.Pins(system_prompts=G.pinned(approved), cards=G.pinned(cards), tails=TAILS)
+    return _shown(G.gate(_doctored_deliveries(spark, root), ["delivery_id", "session_id"], pins, cards=_cards(spark, root)))
+
+
 def _doctored_bodies(bodies: DataFrame) -> DataFrame:
     """Bodies with faults planted by id: a mask value that is no integer, findings of the builder, a split that is null."""
     body = F.col("body")
@@ -341,7 +380,7 @@ def message_texts(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     logprob_discipline, trace_tripwires, page_cutoff_gate, turn_opening_tail, chain_snapshot_gate, admission_gate, prompt_source_gate, system_prompt_gate, workspace_gate, raw_mask_gate, accept_quarantine,
-    disposition_counts, streaming_validate, raw_gate, raw_stream, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, glue_stitch, broken_chains, session_findings,
+    disposition_counts, streaming_validate, doctored_gate, raw_gate, raw_stream, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, glue_stitch, broken_chains, session_findings,
     episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, delivery_divergence_traces, collection_comparison, message_texts, token_stream, marked_tokens, opening_kinds, redelivery_changes)}
 
 
@@ -556,3 +595,18 @@ _BODY_GATE = _BODIES + _GATE.replace("@raw@", _if("split NOT IN ('train', 'eval'
 _JUDGED = "SELECT src.body_id, src.member_no, y.session_id, findings, disposition FROM y JOIN src USING (delivery_id) UNION ALL SELECT body_id, -1, NULL, reason, 'rejected' FROM refused"
 ORACLE["raw_gate"] = _BODY_GATE + _JUDGED
 ORACLE["raw_stream"] = _BODY_GATE + f", judged AS ({_JUDGED}) SELECT * FROM judged QUALIFY session_id IS NULL OR row_number() OVER (PARTITION BY session_id ORDER BY body_id DESC, member_no DESC) = 1"
+# Sound deliveries with one fault each, as planted: q is the fault, tx a trace's members made sound.
+_SOUND = """WITH base AS (SELECT delivery_id, session_id, delivery_id % 16 AS q, list_filter(trajectory.traces, lambda t: t IS NOT NULL AND t.metadata IS NOT NULL AND coalesce(len(t.response_ids), 0) > 3) AS ts
+  FROM pi_polar_task_status WHERE trajectory IS NOT NULL AND trajectory.metadata IS NOT NULL),
+opened AS (SELECT delivery_id, session_id, q, (k - 1)::INT AS trace_no, ts[k] AS o, len(ts[k].response_ids) AS n FROM base, unnest(range(1, coalesce(len(ts), 0) + 1)) AS u(k)),
+lps AS (SELECT *, list_transform(range(0, n), lambda i: -0.03125::DOUBLE * (i % 7 + 1)) AS lp0, list_transform(range(0, n), lambda i: 1) AS m0 FROM opened),
+cured AS (SELECT *, coalesce(o.prompt_ids, []) || [CASE WHEN q = 14 THEN 260 ELSE 258 END] AS p2, CASE q WHEN 6 THEN m0[2:] || [2] WHEN 8 THEN m0[2:] ELSE m0 END AS m2,
+  CASE q WHEN 1 THEN lp0[2:] WHEN 2 THEN [-9999.0::DOUBLE] || lp0[2:] WHEN 3 THEN ['inf'::DOUBLE] || lp0[2:] WHEN 4 THEN [0.5::DOUBLE] || lp0[2:] WHEN 5 THEN list_transform(lp0, lambda y: 0.0::DOUBLE) WHEN 7 THEN NULL ELSE lp0 END AS lp2,
+  [{'role': 'system', 'content': CASE WHEN q = 10 THEN 'Do as you like.' ELSE 'Answer from the pages.' END, 'tool_calls': NULL, 'tool_call_id': NULL}] || list_filter(coalesce(o.prompt_messages, []), lambda x: coalesce(x.role <> 'system', false)) AS pm2,
+  CASE WHEN q = 12 THEN 0 ELSE 9999 END AS t2, CASE WHEN q = 11 THEN 'skill:x' ELSE 'free' END AS s2, CASE WHEN q = 9 THEN 'abort' ELSE 'stop' END AS f2 FROM lps),
+dt AS (SELECT delivery_id, session_id, trace_no, {'prompt_ids': p2, 'response_ids': o.response_ids, 'loss_mask': m2, 'response_logprobs': lp2, 'finish_reason': f2, 'prompt_messages': pm2, 'response_messages': o.response_messages,
+  'metadata': {'task_id': o.metadata.task_id, 'timestep': t2, 'prompt_source': s2}} AS t FROM cured),
+d AS (SELECT delivery_id, session_id, trace_no, t.prompt_ids AS p, t.response_ids AS r, t.loss_mask AS m, t.response_logprobs AS lp, t.finish_reason AS fr, t.metadata AS md, coalesce(len(t.response_ids), 0) AS n, coalesce(len(t.loss_mask), 0) AS nm FROM dt),
+src AS (SELECT delivery_id, session_id, CASE WHEN q = 15 THEN 'FAILED' ELSE 'COMPLETED' END AS status, {'traces': ts, 'metadata': {'reconstruction_stats': {'chains_total': 1, 'completions_total': 2, 'completions_merged': CASE WHEN q = 13 THEN 1 ELSE 2 END}}} AS trajectory FROM base), """
+_OKP = _GATE[_GATE.index("okp AS ("):_GATE.index("g2 AS (")]
+ORACLE["doctored_gate"] = _SOUND + _GATE.replace("@raw@", "[]").replace("@join@", "").replace("@builder@", "[]").replace(_OKP, "okp AS (SELECT sha256('Answer from the pages.') AS h),\n") + "SELECT * FROM y"
