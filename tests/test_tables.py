@@ -144,3 +144,23 @@ def test_stream_is_as_batch(spark, tmp_path):
     spark.createDataFrame([(9,)], "v int").write.mode("append").parquet(src)
     V.run_available(spark, src, df.schema, rule, sink)  # only what is new
     assert rows(V.counters(V.routed(spark, sink))) == [("accepted", 3), ("quarantined", 2)]
+
+
+def test_index_recall(spark):
+    """Inverted lists against brute force: at least nine of ten hits, and all with every list probed."""
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 16))
+    e = (centres[rnd.integers(0, 40, 4000)] + 0.6 * rnd.normal(size=(4000, 16))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)] + [(9999, None)], "unit bigint, embedding array<float>")
+    queries = rows.where("unit % 20 = 0").select(F.col("unit").alias("query_id"), "embedding")
+    exact = {(r[0], r[1]) for r in R.search_many(rows.withColumn("case", F.lit(1)), queries.select("query_id", F.lit(1).alias("case"), F.lit(2**40).alias("cutoff"), "embedding"), scoped=False).select("query_id", "unit").collect()}
+    near = {(r[0], r[1]) for r in R.search_index(rows, queries).select("query_id", "unit").collect()}
+    whole = {(r[0], r[1]) for r in R.search_index(rows, queries, lists=8, probes=8).select("query_id", "unit").collect()}
+    assert len(exact) == 1000 and len(near & exact) >= 0.9 * len(exact) and whole == exact
+
+
+def test_fingerprints_count_equal_rows(spark):
+    rows = lambda *r: spark.createDataFrame(r, "case int, page int, chunk_idx int, text string, embedding array<float>")
+    a, b = (1, 1, 0, "a", [1.0]), (1, 1, 1, "b", [1.0])
+    marks = {R.fingerprint(rows(*r), {}) for r in ([a], [a, a, a], [a, b], [a, a, b, b], [b], [(1, 1, 0, "c", [1.0])])}
+    assert len(marks) == 6 and R.fingerprint(rows(a, b), {}) == R.fingerprint(rows(b, a), {})

@@ -161,11 +161,12 @@ def row_at(rows: DataFrame, position: int, key: list[str] = KEY) -> DataFrame:
 
 
 def write_task_table(rows: DataFrame, path: str) -> dict:
-    """The sorted table as Parquet, and its lock: rows by split and a digest of the rows that no writer version changes."""
-    rows.orderBy(*KEY).coalesce(1).write.mode("overwrite").parquet(path)
+    """The sorted table as Parquet (its parts in order), and its lock: rows by split and a digest of the rows that no writer version changes."""
+    rows.orderBy(*KEY).write.mode("overwrite").parquet(path)
     cols = [*KEY, *COMPARED]
-    digest = rows.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(F.to_json(F.struct(*cols)))).alias("x"), *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS]).first()
-    return {"rows": digest["rows"], "digest": f"{(digest['x'] or 0) & (2**64 - 1):016x}"} | {s: digest[s] for s in SPLITS}
+    hashes = F.xxhash64(F.to_json(F.struct(*cols))).cast("decimal(38,0)")  # summed, so that equal rows don't cancel
+    digest = rows.agg(F.count("*").alias("rows"), F.sum(hashes).alias("x"), *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS]).first()
+    return {"rows": digest["rows"], "digest": f"{int(digest['x'] or 0) % 2**64:016x}"} | {s: digest[s] for s in SPLITS}
 
 
 def lock_text(lock: dict) -> str:

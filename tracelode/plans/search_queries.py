@@ -44,6 +44,19 @@ def search_unscoped_multi(spark: SparkSession, root: str) -> DataFrame:
     return R.search_many(rows, _queries(spark, root), scoped=False).select("query_id", F.col("unit").alias("id"), F.round("score", 6).alias("score"), "rank")
 
 
+def search_index_multi(spark: SparkSession, root: str) -> DataFrame:
+    """As search_unscoped_multi, by inverted lists; no SQL, as what the lists leave unread is lost (recall is tested)."""
+    rows = _chunks(spark, root).select(F.col("vec_id").alias("unit"), "embedding")
+    return R.search_index(rows, _queries(spark, root)).select("query_id", F.col("unit").alias("id"), F.round("score", 6).alias("score"), "rank")
+
+
+def hits_with_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The hits of every query with the fields of their rows: the row's case and page, after the ranking."""
+    rows = _chunks(spark, root).select("case", F.col("vec_id").alias("unit"), "embedding")
+    hits = R.search_many(rows, _queries(spark, root).withColumn("cutoff", F.lit(2**62)), k=30).select("query_id", F.col("unit").alias("vec_id"), "rank")
+    return R.attach(hits, _chunks(spark, root), ["vec_id"], ["case", "page"])
+
+
 def prefilter_vs_postfilter(spark: SparkSession, root: str) -> DataFrame:
     """Hits of each query when the cutoff comes before the ranking, and when it comes after."""
     rows, q = _chunks(spark, root).select("case", F.col("page").alias("unit"), "embedding"), _queries(spark, root)
@@ -102,7 +115,7 @@ def tool_log(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    search_case_topk, search_case_multi, search_unscoped, search_unscoped_multi, prefilter_vs_postfilter, case_status, decision_stats, decision_stats_filtered, decision_counters, scope_errors, health_census, tool_log)}
+    search_case_topk, search_case_multi, search_unscoped, search_unscoped_multi, search_index_multi, hits_with_pages, prefilter_vs_postfilter, case_status, decision_stats, decision_stats_filtered, decision_counters, scope_errors, health_census, tool_log)}
 
 _CHUNKS = "WITH c AS (SELECT vec_id, label AS \"case\", (vec_id // 10)::INT AS page, embedding::DOUBLE[] AS e FROM embeddings), "
 _Q = "q AS (SELECT vec_id AS query_id, \"case\", page AS cutoff, e FROM c WHERE vec_id % 20 = 0)"
@@ -118,6 +131,8 @@ SELECT query_id, page, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
 SELECT id, round(score, 6) AS score, rank FROM r WHERE rank <= 5 AND score > 0""",
     "search_unscoped_multi": _CHUNKS + _Q + f""", r AS (SELECT q.query_id, c.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY {_COS} DESC, c.vec_id) AS rank FROM q, c)
 SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5 AND score > 0""",
+    "hits_with_pages": _CHUNKS + _Q + f""", r AS (SELECT q.query_id, c.vec_id, c."case", c.page, {_COS} AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY {_COS} DESC, c.vec_id) AS rank FROM q JOIN c ON c."case" = q."case")
+SELECT query_id, vec_id, rank, "case", page FROM r WHERE rank <= 20 AND score > 0""",
     "prefilter_vs_postfilter": _CHUNKS + _Q + ", " + _PAGES + f""", pre AS (SELECT query_id, least(count(*), 5) AS prefiltered FROM p WHERE score > 0 GROUP BY 1),
 a AS (SELECT q.query_id, c.page, max({_COS}) AS score, any_value(q.cutoff) AS cutoff FROM q JOIN c ON c."case" = q."case" GROUP BY ALL),
 post AS (SELECT query_id, count(*) AS postfiltered FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS rank FROM a WHERE score > 0) WHERE rank <= 5 AND page <= cutoff GROUP BY 1)
