@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelode.functions.kernels import segments  # noqa: F401
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once: within a lambda an outer expression is computed for each element."""
@@ -65,28 +67,6 @@ def finding(condition: Column, *text: str | Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.array(F.concat(*parts))).otherwise(F.array().cast("array<string>"))
 
 
-def segments(ids: Column, opens: int, closes: int) -> Column:
-    """The stretches from an ``opens`` id to the next ``closes`` id, marks included: array of (start, end), end exclusive.
-
-    A stretch that isn't closed runs to the end; an open mark within a stretch is part of it.
-    """
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    state = F.struct(F.lit(-1).alias("at"), none.alias("done"))
-
-    def step(s: Column, i: Column) -> Column:
-        x, at, done = F.get(ids, i), s["at"], s["done"]
-        begins, ends = (at < 0) & F.coalesce(x == opens, F.lit(False)), (at >= 0) & F.coalesce(x == closes, F.lit(False))
-        return F.struct(
-            F.when(begins, i).when(ends, F.lit(-1)).otherwise(at).alias("at"),
-            F.when(ends, F.concat(done, F.array(F.struct(at.alias("start"), (i + 1).alias("end"))))).otherwise(done).alias("done"),
-        )
-
-    def last(s: Column) -> Column:
-        return F.when(s["at"] >= 0, F.concat(s["done"], F.array(F.struct(s["at"].alias("start"), F.size(ids).alias("end"))))).otherwise(s["done"])
-
-    return F.aggregate(indices(ids), state, step, last)
-
-
 def first_divergence(a: Column, b: Column) -> Column:
     """The first index at which two arrays differ, the shorter's size if it is a prefix, null if they are equal."""
     n = F.least(F.size(a), F.size(b))

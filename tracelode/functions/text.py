@@ -88,8 +88,9 @@ def windows(text: Column, size: int = WINDOW, overlap: int = OVERLAP) -> Column:
 
 
 def byte_ids(text: Column) -> Column:
-    """The UTF-8 bytes of a text as ids."""
-    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit(".."), 0), lambda x: F.conv(x, 16, 10).cast("int"))
+    """The UTF-8 bytes of a text as ids; for use within other expressions (``kernels.byte_ids`` takes whole columns)."""
+    each = F.split(F.decode(F.encode(text, "utf-8"), "ISO-8859-1"), "")  # one character a byte
+    return F.transform(F.filter(each, lambda c: c != ""), F.ascii)
 
 
 def stub_logprobs(ids: Column) -> Column:

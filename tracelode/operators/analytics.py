@@ -150,9 +150,16 @@ def marked_tokens(traces: DataFrame, opens: int, closes: int) -> DataFrame:
 
 def opening_kinds(rows: DataFrame, keys: list[str], kinds: dict[str, list[int]]) -> DataFrame:
     """keys, kind, n: the turns of each row by the first of ``kinds`` (name to ids) that the ids before them end with, else other."""
-    ids = F.concat(F.coalesce("prompt_ids", F.array().cast("array<int>")), F.coalesce("response_ids", F.array().cast("array<int>")))
-    at = F.greatest(F.size("prompt_ids"), F.lit(0))
-    before = lambda a, r: F.slice(a, F.lit(1), at + r["start"])
+    most = max(map(len, kinds.values()))
+    none = F.array().cast("array<int>")
+    prompt, response = F.coalesce("prompt_ids", none), F.coalesce("response_ids", none)
+
+    def before(r):
+        """No more of what stands before a run than the longest of ``kinds`` needs."""
+        short = F.greatest(F.lit(most) - r["start"], F.lit(0))
+        lead = F.slice(prompt, F.greatest(F.size(prompt) - short + 1, F.lit(1)), short)
+        return F.concat(lead, F.slice(response, F.greatest(r["start"] - most + 1, F.lit(1)), F.least(r["start"], F.lit(most))))
+
     name = lambda a: F.coalesce(*[F.when(ends_with(a, F.array(*[F.lit(x) for x in t])), F.lit(k)) for k, t in kinds.items()], F.lit("other"))
-    told = let(ids, lambda a: F.transform(mask_runs(F.col("loss_mask")), lambda r: let(before(a, r), name)))
+    told = F.transform(mask_runs(F.col("loss_mask")), lambda r: let(before(r), name))
     return rows.select(*keys, F.explode(told).alias("kind")).groupBy(*keys, "kind").agg(F.count("*").alias("n"))

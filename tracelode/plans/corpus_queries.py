@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as TX
+from tracelode.functions.kernels import byte_ids
 from tracelode.operators import compare as K
 from tracelode.operators import corpus as C
 from tracelode.sources.tables import table
@@ -134,7 +135,7 @@ def split_mismatch(spark: SparkSession, root: str) -> DataFrame:
 
 
 def byte_stream(spark: SparkSession, root: str) -> DataFrame:
-    ids = TX.byte_ids(F.col("text"))
+    ids = byte_ids(F.col("text"))
     return table(spark, root, "documents").where("text IS NOT NULL").select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("bigint").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
 
 
