@@ -96,6 +96,13 @@ def raw_mask_gate(spark: SparkSession, root: str) -> DataFrame:
     return R.raw_mask_findings(E.raw_masks(table(spark, root, "wire_bodies")), ["body_id", "member_no", "trace_no"], "mask")
 
 
+def raw_mask_faults(spark: SparkSession, root: str) -> DataFrame:
+    """As raw_mask_gate, with the first mask value of two bodies in three made true or a text."""
+    b = table(spark, root, "wire_bodies")
+    body = F.when(F.col("body_id") % 3 == 0, F.replace("body", F.lit('"loss_mask":[1'), F.lit('"loss_mask":[true'))).when(F.col("body_id") % 3 == 1, F.replace("body", F.lit('"loss_mask":[1'), F.lit('"loss_mask":["1"'))).otherwise(F.col("body"))
+    return R.raw_mask_findings(E.raw_masks(b.withColumn("body", body)), ["body_id", "member_no", "trace_no"], "mask")
+
+
 def _pins(spark: SparkSession, root: str) -> G.Pins:
     """Approved are the system prompts of the eval split, the cards on r5 images, and turns that open after the assistant's mark."""
     prompts = R.system_prompts(_traces(spark, root).where("split = 'eval'"), "trace_id").select("digest")
@@ -379,7 +386,7 @@ def message_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    logprob_discipline, trace_tripwires, page_cutoff_gate, turn_opening_tail, chain_snapshot_gate, admission_gate, prompt_source_gate, system_prompt_gate, workspace_gate, raw_mask_gate, accept_quarantine,
+    logprob_discipline, trace_tripwires, page_cutoff_gate, turn_opening_tail, chain_snapshot_gate, admission_gate, prompt_source_gate, system_prompt_gate, workspace_gate, raw_mask_gate, raw_mask_faults, accept_quarantine,
     disposition_counts, streaming_validate, doctored_gate, raw_gate, raw_stream, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, glue_stitch, broken_chains, session_findings,
     episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, delivery_divergence_traces, collection_comparison, message_texts, token_stream, marked_tokens, opening_kinds, redelivery_changes)}
 
@@ -610,3 +617,14 @@ d AS (SELECT delivery_id, session_id, trace_no, t.prompt_ids AS p, t.response_id
 src AS (SELECT delivery_id, session_id, CASE WHEN q = 15 THEN 'FAILED' ELSE 'COMPLETED' END AS status, {'traces': ts, 'metadata': {'reconstruction_stats': {'chains_total': 1, 'completions_total': 2, 'completions_merged': CASE WHEN q = 13 THEN 1 ELSE 2 END}}} AS trajectory FROM base), """
 _OKP = _GATE[_GATE.index("okp AS ("):_GATE.index("g2 AS (")]
 ORACLE["doctored_gate"] = _SOUND + _GATE.replace("@raw@", "[]").replace("@join@", "").replace("@builder@", "[]").replace(_OKP, "okp AS (SELECT sha256('Answer from the pages.') AS h),\n") + "SELECT * FROM y"
+_MASKS = """mk AS (SELECT body_id, member_no, trace_no, json_extract(t, '$.loss_mask[*]') AS v FROM (SELECT body_id, member_no, (k - 1)::INT AS trace_no, ts[k] AS t FROM (SELECT body_id, member_no, json_extract(m, '$.trajectory.traces[*]') AS ts FROM members),
+  unnest(range(1, len(ts) + 1)) AS u(k)) WHERE json_type(t, '$.loss_mask') = 'ARRAY'),
+bad AS (SELECT *, list_filter(range(0, len(v)), lambda i: NOT (json_type(v[i + 1]) IN ('UBIGINT', 'BIGINT') AND (v[i + 1] ->> '$') IN ('0', '1'))) AS b FROM mk)
+SELECT body_id, member_no, trace_no, '""" + R.LP9 + """:first=' || b[1] || ':count=' || len(b) AS finding FROM bad WHERE len(b) > 0"""
+ORACLE["raw_mask_gate"] = MEMBERS + ", " + _MASKS
+ORACLE["raw_mask_faults"] = """WITH wire_bodies AS (SELECT body_id, received_at, CASE body_id % 3 WHEN 0 THEN replace(body, '"loss_mask":[1', '"loss_mask":[true') WHEN 1 THEN replace(body, '"loss_mask":[1', '"loss_mask":["1"') ELSE body END AS body FROM wire_bodies),
+""" + MEMBERS.strip().removeprefix("WITH ") + ", " + _MASKS
+# The canonical form of an object of plain members: its members by name, without spaces or escapes of letters.
+ORACLE["argument_hashes"] = """WITH l AS (SELECT row_id, message.content AS c FROM pi_polar_transcript WHERE message IS NOT NULL), p AS (SELECT row_id, (k - 1)::INT AS part, c[k].arguments AS a FROM l, unnest(range(1, coalesce(len(c), 0) + 1)) AS u(k) WHERE c[k].type = 'toolCall'),
+j AS (SELECT row_id, part, a, CASE WHEN json_valid(a) THEN a::JSON END AS j FROM p)
+SELECT row_id, part, CASE WHEN j IS NULL THEN NULL WHEN json_type(j) <> 'OBJECT' THEN sha256(j::VARCHAR) ELSE sha256('{' || array_to_string(list_transform(list_sort(json_keys(j)), lambda k: to_json(k)::VARCHAR || ':' || json_extract(j, '$."' || k || '"')::VARCHAR), ',') || '}') END AS sha256 FROM j"""
