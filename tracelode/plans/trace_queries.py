@@ -322,17 +322,6 @@ def logprob_delta(spark: SparkSession, root: str) -> DataFrame:
     return A.logprob_delta(t, _KEYS, "response_logprobs", "replayed", "loss_mask")
 
 
-def delivery_divergence(spark: SparkSession, root: str) -> DataFrame:
-    """Later deliveries of a session's first trace against the earliest one: where their response ids first differ.
-
-    Of the first trace only, as its SQL has it; ``delivery_divergence_traces`` compares all.
-    """
-    t = _delivered(spark, root).where("trace_no = 0 AND session_id IS NOT NULL").select("session_id", "delivery_id", "response_ids")
-    first = t.groupBy("session_id").agg(F.min(F.struct("delivery_id", "response_ids")).alias("f")).select("session_id", F.col("f.delivery_id").alias("first_id"), F.col("f.response_ids").alias("first_ids"))
-    later = t.join(first, "session_id").where("delivery_id > first_id")
-    return later.select("session_id", "delivery_id", first_divergence(F.col("first_ids"), F.col("response_ids")).alias("diverges_at"))
-
-
 def delivery_divergence_traces(spark: SparkSession, root: str) -> DataFrame:
     """Later deliveries of a session against the earliest one, trace by trace: where the response ids first differ.
 
@@ -347,6 +336,11 @@ def delivery_divergence_traces(spark: SparkSession, root: str) -> DataFrame:
     return pairs.where("a IS NOT NULL OR b IS NOT NULL").select("session_id", "delivery_id", "trace_no", first_divergence(ids("a"), ids("b")).alias("diverges_at"))
 
 
+def delivery_divergence(spark: SparkSession, root: str) -> DataFrame:
+    """All traces, as delivery_divergence_traces; it once compared first traces only."""
+    return delivery_divergence_traces(spark, root)
+
+
 def collection_comparison(spark: SparkSession, root: str) -> DataFrame:
     return A.collection(_traces(spark, root).withColumn("split", F.coalesce("split", F.lit("none"))), "split")
 
@@ -363,7 +357,7 @@ def opening_kinds(spark: SparkSession, root: str) -> DataFrame:
 def redelivery_changes(spark: SparkSession, root: str) -> DataFrame:
     """By which members a later delivery of a session and task differs from its first: status, timing, node_id, and trajectory by its digest.
 
-    Null task_ids are one task. The SQL compares no trajectories and no deliveries of null task_id.
+    Null task_ids are one task.
     """
     body = F.to_json(F.struct("status", F.col("timing.init_ms").alias("init_ms"), F.col("timing.run_ms").alias("run_ms"), "node_id", F.sha2(F.to_json("trajectory"), 256).alias("trajectory")))
     d = _deliveries(spark, root).where("session_id IS NOT NULL").select("delivery_id", "session_id", "task_id", body.alias("body"))
@@ -513,9 +507,7 @@ SELECT delivery_id, trace_no, len(v) AS n, round(list_avg(v), 6) AS mean, round(
 w AS (SELECT *, lag(cp) OVER (PARTITION BY delivery_id, trace_no ORDER BY q) AS bp FROM c),
 f AS (SELECT delivery_id, trace_no, seq, {" || ".join([_if("coalesce(len(cp), 0) = 0", "'S1:empty_prompt_ids'"), _if("coalesce(len(cr), 0) = 0", "'S6:empty_response_ids'"), _if("q > 1 AND cp IS NOT DISTINCT FROM bp", "'S3:duplicate_consecutive_prompt'"), _if("fr = 'length' AND q < k", "'S7:mid_chain_finish_length'")])} AS l FROM w)
 SELECT delivery_id, trace_no, seq, unnest(l) AS finding FROM f""",
-    "delivery_divergence": f"""WITH {_D}, t AS (SELECT session_id, delivery_id, r FROM d WHERE trace_no = 0 AND session_id IS NOT NULL), f AS (SELECT session_id, min(delivery_id) AS first_id, arg_min(r, delivery_id) AS a FROM t GROUP BY 1)
-SELECT session_id, delivery_id, coalesce(list_filter(range(0, least(len(a), len(r))), lambda i: a[i + 1] IS DISTINCT FROM r[i + 1])[1], CASE WHEN len(a) <> len(r) THEN least(len(a), len(r)) END)::INT AS diverges_at FROM t JOIN f USING (session_id) WHERE delivery_id > first_id""",
-    "delivery_divergence_traces": f"""WITH {_D}, t AS (SELECT session_id, delivery_id, trace_no, r FROM d WHERE session_id IS NOT NULL), s AS (SELECT session_id, min(delivery_id) AS first_id FROM t GROUP BY 1),
+    "delivery_divergence": f"""WITH {_D}, t AS (SELECT session_id, delivery_id, trace_no, r FROM d WHERE session_id IS NOT NULL), s AS (SELECT session_id, min(delivery_id) AS first_id FROM t GROUP BY 1),
 f AS (SELECT session_id, trace_no, r FROM t JOIN s USING (session_id) WHERE delivery_id = first_id), l AS (SELECT t.* FROM t JOIN s USING (session_id) WHERE delivery_id > first_id),
 k AS (SELECT session_id, delivery_id, trace_no FROM l UNION SELECT session_id, l.delivery_id, f.trace_no FROM l JOIN f USING (session_id)),
 x AS (SELECT k.*, CASE WHEN f.trace_no IS NULL THEN [] ELSE f.r END AS a, CASE WHEN l.trace_no IS NULL THEN [] ELSE l.r END AS b FROM k LEFT JOIN f USING (session_id, trace_no) LEFT JOIN l USING (session_id, delivery_id, trace_no))
@@ -530,9 +522,9 @@ b AS (SELECT trace_id, k, [CASE role WHEN 'system' THEN 256 WHEN 'user' THEN 257
 j AS (SELECT trace_id, flatten(list(ids ORDER BY k)) AS ids FROM b GROUP BY 1)
 SELECT tr.trace_id, (len(coalesce(ids, [])) + 1)::INT AS n, coalesce(coalesce(ids, []) || [258] = prompt_ids, false) AS same FROM tr LEFT JOIN j USING (trace_id)"""
 _CHANGE = "CASE WHEN {0} IS NOT DISTINCT FROM f.{0} THEN NULL WHEN {0} IS NULL THEN 'only_a' WHEN f.{0} IS NULL THEN 'only_b' ELSE 'changed' END"
-ORACLE["redelivery_changes"] = """WITH d AS (SELECT delivery_id, session_id, task_id, status, timing.init_ms AS init_ms, timing.run_ms AS run_ms, node_id FROM pi_polar_task_status WHERE session_id IS NOT NULL),
+ORACLE["redelivery_changes"] = """WITH d AS (SELECT delivery_id, session_id, task_id, status, timing.init_ms AS init_ms, timing.run_ms AS run_ms, node_id, trajectory FROM pi_polar_task_status WHERE session_id IS NOT NULL),
 f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY session_id, task_id ORDER BY delivery_id) = 1), j AS (""" + " UNION ALL ".join(
-    f"SELECT d.delivery_id, '{c}' AS member, {_CHANGE.format(c).replace(f'WHEN {c} IS', f'WHEN d.{c} IS')} AS change FROM d JOIN f ON f.session_id = d.session_id AND f.task_id = d.task_id WHERE d.delivery_id > f.delivery_id" for c in ("status", "init_ms", "run_ms", "node_id")) + ") SELECT * FROM j WHERE change IS NOT NULL"
+    f"SELECT d.delivery_id, '{c}' AS member, {_CHANGE.format(c).replace(f'WHEN {c} IS', f'WHEN d.{c} IS')} AS change FROM d JOIN f ON f.session_id = d.session_id AND f.task_id IS NOT DISTINCT FROM d.task_id WHERE d.delivery_id > f.delivery_id" for c in ("status", "init_ms", "run_ms", "node_id", "trajectory")) + ") SELECT * FROM j WHERE change IS NOT NULL"
 _LAST = "CASE WHEN s[q] > 0 THEN r[s[q]] ELSE p[-1] END"
 ORACLE["opening_kinds"] = _RUNS + f""" SELECT delivery_id, trace_no, CASE {_LAST} WHEN 258 THEN 'assistant' WHEN 260 THEN 'end' ELSE 'other' END AS kind, count(*) AS n FROM x, unnest(range(1, len(s) + 1)) AS u(q) GROUP BY ALL"""
 ORACLE["envelope_members"] = f"WITH s AS ({ORACLE['envelope_screen']}) SELECT body_id, max(member_no) AS member_no, session_id FROM s WHERE body_id NOT IN (SELECT body_id FROM s WHERE NOT fit) GROUP BY body_id, session_id"
@@ -628,3 +620,4 @@ ORACLE["raw_mask_faults"] = """WITH wire_bodies AS (SELECT body_id, received_at,
 ORACLE["argument_hashes"] = """WITH l AS (SELECT row_id, message.content AS c FROM pi_polar_transcript WHERE message IS NOT NULL), p AS (SELECT row_id, (k - 1)::INT AS part, c[k].arguments AS a FROM l, unnest(range(1, coalesce(len(c), 0) + 1)) AS u(k) WHERE c[k].type = 'toolCall'),
 j AS (SELECT row_id, part, a, CASE WHEN json_valid(a) THEN a::JSON END AS j FROM p)
 SELECT row_id, part, CASE WHEN j IS NULL THEN NULL WHEN json_type(j) <> 'OBJECT' THEN sha256(j::VARCHAR) ELSE sha256('{' || array_to_string(list_transform(list_sort(json_keys(j)), lambda k: to_json(k)::VARCHAR || ':' || json_extract(j, '$."' || k || '"')::VARCHAR), ',') || '}') END AS sha256 FROM j"""
+ORACLE["delivery_divergence_traces"] = ORACLE["delivery_divergence"]
