@@ -56,7 +56,7 @@ def test_as_in_sql(spark, data, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, data, name):
     """Queries that SQL can't say run to their end, give their columns, and rows that aren't all null."""
-    df = QUERIES[name](spark, data)
+    df = QUERIES[name](spark, data.replace("sf0.001", "sf0.01"))  # of the smallest tables some give nothing
     found = df.collect()
     assert df.columns and found and any(any(v is not None for v in r) for r in found)
 
