@@ -112,3 +112,20 @@ def test_the_longest_copy_counts(spark):
 def test_null_ids_and_odd_masks(spark):
     got = training_rows(spark.createDataFrame([(1, [None, 2**31 - 1], [-5], [7], 0, "x")], SCHEMA), 10).first()
     assert got["ids"] == [0, 2**31 - 1, -5] and got["loss_mask"] == [0, 0, 7] and got["trace_ids"] == [1]
+
+
+def test_hot_length_in_parts(spark):
+    """A length that most items share is ranked in parts; the places are as good, none is taken twice."""
+    df = spark.createDataFrame([(i, [0] * (10 if i % 4 else i % 23), None, None) for i in range(900)], "trace_id bigint, prompt_ids array<int>, response_ids array<int>, loss_mask array<int>")
+    whole, parts = (pack(df, 32, per).where("length > 0").collect() for per in (100_000, 50))
+    for places in (whole, parts):
+        taken = sorted((r["row"], r["offset"], r["length"]) for r in places)
+        assert all(b[0] > a[0] or b[1] >= a[1] + a[2] for a, b in zip(taken, taken[1:])) and max(o + n for _, o, n in taken) <= 32
+    assert sorted((r["row"], r["offset"], r["length"]) for r in whole) == sorted((r["row"], r["offset"], r["length"]) for r in parts)
+
+
+def test_null_ids_are_told_apart(spark):
+    df = spark.createDataFrame([(None, [1, 2], [3], [1]), (None, [4], None, None), (None, [4], None, None), (7, [9], None, None)], "trace_id bigint, prompt_ids array<int>, response_ids array<int>, loss_mask array<int>")
+    assert sorted(r["length"] for r in pack(df, 8).collect()) == [1, 1, 3]
+    made = training_rows(df, 8).collect()
+    assert sorted(x for r in made for x in r["ids"]) == [1, 2, 3, 4, 9] and sum(sum(r["loss_mask"]) for r in made) == 1

@@ -2,17 +2,16 @@
 
 Items and gaps of equal length are interchangeable, so the rounds work on runs: the number of items
 of each length and the row intervals of each gap, both sorted. The runs come from one distributed count and
-are at most ``capacity`` times ``SALTS`` numbers, whatever the size of the table; they are all that reaches the
-driver. A round places all items of one length: a sweep over the gaps that follow the length, the smallest
+are at most ``capacity`` numbers, whatever the size of the table; they are all that reaches the driver. A round places all items of one length: a sweep over the gaps that follow the length, the smallest
 first, gives each gap as many items as it holds, conflicts for a gap being resolved by the items' rank; items
 without a gap open rows; then the gaps are updated, and the next shorter length follows. That is best
-fit, longest first, exactly. The items themselves are ranked within their length by a salted,
-distributed count, and find their place by binary search in the plan.
+fit, longest first, exactly. The items themselves are ranked within their length in parts of about ``PART`` items,
+the parts' bases being summed where they lie, and find their place by binary search in the plan.
 
 Defined results: an item longer than the capacity is cut into full rows and a rest, every other
 item stays whole; a null array has no ids; a trace without ids has length 0 and neither row nor
-offset; rows repeated under one trace_id count once (the longest); a null trace_id
-is a trace of its own id; an empty table gives an empty table; other columns are ignored.
+offset; rows repeated under one trace_id count once (the longest); rows of null
+trace_id are told apart by their ids and mask; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 from tracelode.runtime import checkpointed
 
 CAPACITY = 4096
-#: Parts of each length's items; a length that a third of all items share is ranked in so many tasks.
-SALTS = 32
+#: Items of one length that are ranked in one task; a length has as many parts as its count asks for.
+PART = 100_000
 #: Above this, the plan would no longer be small; lengths would have to be grouped.
 MAX_CAPACITY = 1 << 17
 
@@ -98,46 +97,65 @@ def _size(c: str):
     return F.greatest(F.size(c), F.lit(0))
 
 
+def _mark(c: str = "trace_id"):
+    """What tells rows of null trace_id apart; 0 for all others."""
+    return F.when(F.col(c).isNull(), F.xxhash64("prompt_ids", "response_ids", "loss_mask")).otherwise(F.lit(0).cast("bigint"))
+
+
 def items(traces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The whole traces, or their parts of at most ``capacity`` ids: trace_id, part, begin, length."""
-    sizes = traces.select("trace_id", (_size("prompt_ids") + _size("response_ids")).alias("n")).groupBy("trace_id").agg(F.max("n").alias("n"))
+    """The whole traces, or their parts of at most ``capacity`` ids: trace_id, mark (0, for null ids a hash), part, begin, length."""
+    columns = {c for c in traces.columns}
+    mark = _mark() if "loss_mask" in columns else F.lit(0).cast("bigint")
+    sizes = traces.select("trace_id", mark.alias("mark"), (_size("prompt_ids") + _size("response_ids")).alias("n")).groupBy("trace_id", "mark").agg(F.max("n").alias("n"))
     part = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int"))).alias("part")
-    return sizes.select("trace_id", "n", part).select(
-        "trace_id", "part", (F.col("part") * capacity).alias("begin"), F.least(F.col("n") - F.col("part") * capacity, F.lit(capacity)).cast("int").alias("length"),
-        F.pmod(F.xxhash64("trace_id", "part"), F.lit(SALTS)).cast("int").alias("salt"),
+    return sizes.select("trace_id", "mark", "n", part).select(
+        "trace_id", "mark", "part", (F.col("part") * capacity).alias("begin"), F.least(F.col("n") - F.col("part") * capacity, F.lit(capacity)).cast("int").alias("length"),
     )
 
 
-def pack(traces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The place of every trace: trace_id, part, begin (in the trace's ids), length, row, offset."""
+def _ranked(parts: DataFrame, counts: dict[int, int], per: int) -> DataFrame:
+    """``parts`` with ``k``, each item's rank among those of its length, from 0."""
+    hot = {n: -(-c // per) for n, c in counts.items() if c > per}
+    salts = F.coalesce(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[F.col("length")], F.lit(1)) if hot else F.lit(1)
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("trace_id", "mark", "part"), salts).cast("int"))
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("trace_id", "mark", "part")).cast("bigint") - 1
+    ranked = salted.withColumn("k", within)
+    if not hot:
+        return ranked.drop("salt")
+    sizes = salted.where(F.col("length").isin(*hot)).groupBy("length", "salt").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
+    return ranked.join(bases, ["length", "salt"], "left").withColumn("k", F.col("k") + F.coalesce("base", F.lit(0))).drop("salt", "base")
+
+
+def _pack(traces: DataFrame, capacity: int, per: int) -> DataFrame:
     if not 0 < capacity <= MAX_CAPACITY:
         raise ValueError(f"capacity must be in 1 .. {MAX_CAPACITY}")
     parts = checkpointed(items(traces, capacity))
-    counted = parts.where("length > 0").groupBy("length", "salt").count().orderBy("length", "salt").toArrow().to_pydict()
-    counts: dict[int, int] = {}
-    first = np.zeros((capacity + 1, SALTS), np.int64)
-    for n, s, c in zip(counted["length"], counted["salt"], counted["count"]):
-        first[n, s] = counts.get(n, 0)
-        counts[n] = counts.get(n, 0) + c
-    plan = Plan(counts, capacity)
-    shared = parts.sparkSession.sparkContext.broadcast((plan, first))
+    counted = parts.where("length > 0").groupBy("length").count().toArrow().to_pydict()  # at most capacity rows
+    counts = dict(zip(counted["length"], counted["count"]))
+    shared = parts.sparkSession.sparkContext.broadcast(Plan(counts, capacity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, before = shared.value
+        p = shared.value
         for b in batches:
-            length, salt, k = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "salt", "k"))
+            length, k = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "k"))
             empty = length == 0
             if len(p.key):
-                row, offset = p.find(np.where(empty, p.length[0], length), np.where(empty, 0, before[length, salt] + k - 1))
+                row, offset = p.find(np.where(empty, p.length[0], length), np.where(empty, 0, k))
             else:
                 row, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("trace_id", "part", "begin", "length")] + [pa.array(row, pa.int64(), mask=empty), pa.array(offset.astype(np.int32), pa.int32(), mask=empty)],
-                names=["trace_id", "part", "begin", "length", "row", "offset"],
+                [b.column(c) for c in ("trace_id", "mark", "part", "begin", "length")] + [pa.array(row, pa.int64(), mask=empty), pa.array(offset.astype(np.int32), pa.int32(), mask=empty)],
+                names=["trace_id", "mark", "part", "begin", "length", "row", "offset"],
             )
 
-    ranked = parts.withColumn("k", F.row_number().over(Window.partitionBy("length", "salt").orderBy("trace_id", "part")).cast("bigint"))
-    return ranked.mapInArrow(run, "trace_id bigint, part int, begin int, length int, row bigint, offset int")
+    return _ranked(parts, counts, per).mapInArrow(run, "trace_id bigint, mark bigint, part int, begin int, length int, row bigint, offset int")
+
+
+def pack(traces: DataFrame, capacity: int = CAPACITY, per: int = PART) -> DataFrame:
+    """The place of every trace: trace_id, part, begin (in the trace's ids), length, row, offset."""
+    return _pack(traces, capacity, per).drop("mark")
 
 
 def oversize(traces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -169,13 +187,13 @@ def _numbers(values: pa.Array) -> np.ndarray:
 
 
 def _stretches(traces: DataFrame, capacity: int) -> DataFrame:
-    """The parts of every trace with their ids and mask pressed: trace_id, part, n (ids of the whole trace), data."""
+    """The parts of every trace with their ids and mask pressed: trace_id, mark, part, n (ids of the whole trace), data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, parts, sizes, data = [], [], [], []
             for i in range(b.num_rows):
-                prompt, response, mask = (_numbers(b.column(c)[i].values) if b.column(c)[i].is_valid else np.zeros(0, np.int32) for c in (1, 2, 3))
+                prompt, response, mask = (_numbers(b.column(c)[i].values) if b.column(c)[i].is_valid else np.zeros(0, np.int32) for c in (2, 3, 4))
                 ids, marks = np.concatenate([prompt, response]), np.zeros(len(prompt) + len(response), np.int32)
                 k = min(len(response), len(mask))
                 marks[len(prompt) : len(prompt) + k] = mask[:k]
@@ -184,10 +202,10 @@ def _stretches(traces: DataFrame, capacity: int) -> DataFrame:
                     parts.append(part)
                     sizes.append(len(ids))
                     data.append(_press(ids[at : at + capacity], marks[at : at + capacity]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(parts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], names=["t", "p", "n", "data"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(keys, pa.int64())) for c in (0, 1)), pa.array(parts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], names=["t", "m", "p", "n", "data"])
 
-    rows = traces.select(F.col("trace_id").cast("bigint").alias("t"), *[F.col(c).cast("array<int>") for c in ("prompt_ids", "response_ids", "loss_mask")])
-    return rows.mapInArrow(run, "t bigint, p int, n int, data binary")
+    rows = traces.select(F.col("trace_id").cast("bigint").alias("t"), _mark().alias("m"), *[F.col(c).cast("array<int>") for c in ("prompt_ids", "response_ids", "loss_mask")])
+    return rows.mapInArrow(run, "t bigint, m bigint, p int, n int, data binary")
 
 
 def training_rows(traces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -196,8 +214,8 @@ def training_rows(traces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     A prompt's mask is 0; a response's is its loss_mask, 0 where that is null or too short; a null id is 0.
     The ids are pressed where they are read, go through the two shuffles pressed, and are laid out where their row is made.
     """
-    layout = pack(traces, capacity).where("length > 0").select("trace_id", "part", "row", "offset")
-    placed = _stretches(traces, capacity).join(layout, F.col("t").eqNullSafe(F.col("trace_id")) & (F.col("p") == F.col("part")))
+    layout = _pack(traces, capacity, PART).where("length > 0").select("trace_id", "mark", "part", "row", "offset")
+    placed = _stretches(traces, capacity).join(layout, F.col("t").eqNullSafe(F.col("trace_id")) & (F.col("m") == F.col("mark")) & (F.col("p") == F.col("part")))
     # Of copies of a trace the longest comes first in its place; the others are passed over.
     rows = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("offset", (-F.col("n")).alias("shorter"), "trace_id", "data"))).alias("s"))
 

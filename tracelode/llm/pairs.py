@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.functions.wire import flatten
 from tracelode.llm.refusals import refuses as only_declines
 
 EMPTY, REFUSAL, COPY, TRUNCATED, LANGUAGE = "empty", "refusal", "copy", "truncated", "language"
@@ -49,8 +50,7 @@ def plain_text(content: str | None) -> str | None:
     parts = value if isinstance(value, list) else [value]
     if not all(isinstance(p, str) or is_part(p) for p in parts):
         return content
-    texts = [p if isinstance(p, str) else p.get("text") for p in parts]
-    return "".join(t for t in texts if isinstance(t, str))
+    return flatten(value)
 
 
 # --- words --------------------------------------------------------------------------------------

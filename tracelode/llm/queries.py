@@ -17,6 +17,38 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_chunks(table(spark, root, "chunks"))
 
 
+def p2_whole(spark: SparkSession, root: str) -> DataFrame:
+    """The pieces of each chunk put together again: the longest piece, and the hash of the text without the overlaps."""
+    keys = ["case_id", "page", "chunk_idx"]
+    p = p2_pieces(spark, root).where("text IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece_idx", "text", "overlap"))).alias("s"))
+    body = F.array_join(F.transform("s", lambda x: F.substr(x["text"], x["overlap"] + 1)), "")
+    return p.select(*keys, (F.array_max(F.transform("s", lambda x: F.length(x["text"]))) <= 1000).alias("fits"), F.length(body).alias("n"), F.sha2(body, 256).alias("sha256"))
+
+
+def p3_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Each trace as the training rows hold it: its ids one part after the other, hashed, and how many are trained."""
+    layout = packing.pack(table(spark, root, "traces")).where("length > 0")
+    r = p3_rows(spark, root).select("row", "ids", "loss_mask")
+    cut = lambda c: F.slice(c, F.col("offset") + 1, F.col("length"))
+    held = layout.join(r, "row").select("trace_id", F.struct("part", cut("ids").alias("ids"), cut("loss_mask").alias("m")).alias("x")).groupBy("trace_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    ids, mask = F.flatten(F.transform("x", lambda x: x["ids"])), F.flatten(F.transform("x", lambda x: x["m"]))
+    return held.select("trace_id", F.size("x").alias("parts"), F.size(ids).alias("n"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("sha256"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("trained"))
+
+
+def p3_bounds(spark: SparkSession, root: str) -> DataFrame:
+    """The ids that the rows hold, whether any row holds too many, and whether at most one row in a hundred is more than the least number."""
+    f = p3_fill(spark, root)
+    return f.select("ids", F.col("least_rows").cast("bigint").alias("least_rows"), (F.col("fullest") <= 4096).alias("fits"), (F.col("rows") <= F.ceil(F.col("least_rows") * 1.01) + 1).alias("tight"))
+
+
+def p8_bounds(spark: SparkSession, root: str) -> DataFrame:
+    """Of each target source with documents whether its share and its repeats are as asked, and whether it ever strays by two blocks or more."""
+    s = p8_shares(spark, root).where("tokens > 0")
+    wanted = F.broadcast(s.agg(F.sum("target_weight").alias("w")))
+    near = F.abs(F.col("actual_share") - F.col("target_weight") / F.col("w")) <= 0.01
+    return s.join(wanted).select("source", near.alias("share_ok"), (F.col("most_repeats") <= F.coalesce("max_repeats", F.lit(1))).alias("repeats_ok"), (F.col("greatest_deviation") < 2).alias("order_ok"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return packing.oversize(table(spark, root, "traces"))
 
@@ -78,7 +110,7 @@ def p9_boilerplate(spark: SparkSession, root: str) -> DataFrame:
     return residue.boilerplate(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_layout, p3_rows, p3_fill, p4_found, p4_messages, p5_found, p5_defects, p7_ids, p8_mixture, p8_shares, p9_found, p9_clean, p9_evidence, p9_boilerplate)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_whole, p3_found, p3_layout, p3_rows, p3_fill, p3_whole, p3_bounds, p4_found, p4_messages, p5_found, p5_defects, p7_ids, p8_mixture, p8_shares, p8_bounds, p9_found, p9_clean, p9_evidence, p9_boilerplate)}
 
 # The messages of a conversation, as p4 defines them.
 _MESSAGES = r"""
@@ -113,4 +145,9 @@ ORACLE = {
     "p3_found": "SELECT DISTINCT trace_id FROM traces WHERE coalesce(len(prompt_ids), 0) + coalesce(len(response_ids), 0) > 4096",
     "p4_found": _MESSAGES + "SELECT id, reason FROM verdict WHERE reason IS NOT NULL",
     "p4_messages": _MESSAGES + "SELECT m.id, pos, role, instant AS timestamp_ms, CASE WHEN bare THEN NULL ELSE text END AS text FROM m JOIN verdict USING (id) WHERE reason IS NULL",
+    "p2_whole": "SELECT DISTINCT case_id, page, chunk_idx, true AS fits, length(text) AS n, sha256(text) AS sha256 FROM chunks WHERE text IS NOT NULL",
+    "p3_whole": """WITH t AS (SELECT DISTINCT trace_id, coalesce(prompt_ids, []) || coalesce(response_ids, []) AS ids, coalesce(loss_mask, [])[1 : coalesce(len(response_ids), 0)] AS m FROM traces)
+SELECT trace_id, ceil(len(ids) / 4096)::INT AS parts, len(ids) AS n, sha256(array_to_string(ids, ',')) AS sha256, coalesce(list_sum(m), 0)::INT AS trained FROM t WHERE len(ids) > 0""",
+    "p3_bounds": "SELECT sum(n)::BIGINT AS ids, ceil(sum(n) / 4096)::BIGINT AS least_rows, true AS fits, true AS tight FROM (SELECT DISTINCT trace_id, coalesce(len(prompt_ids), 0) + coalesce(len(response_ids), 0) AS n FROM traces)",
+    "p8_bounds": "SELECT source, true AS share_ok, true AS repeats_ok, true AS order_ok FROM mix_targets WHERE target_weight > 0 AND coalesce(max_repeats, 1) > 0 AND source IN (SELECT source FROM documents WHERE text <> '')",
 }
