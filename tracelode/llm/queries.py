@@ -28,11 +28,16 @@ def p2_whole(spark: SparkSession, root: str) -> DataFrame:
 def p3_whole(spark: SparkSession, root: str) -> DataFrame:
     """Each trace as the training rows hold it: its ids one part after the other, hashed, and how many are trained."""
     layout = packing.pack(table(spark, root, "traces")).where("length > 0")
+    layout = layout.join(layout.groupBy("trace_id").agg(F.count("*").alias("parts")), "trace_id")
     r = p3_rows(spark, root).select("row", "ids", "loss_mask")
     cut = lambda c: F.slice(c, F.col("offset") + 1, F.col("length"))
-    held = layout.join(r, "row").select("trace_id", F.struct("part", cut("ids").alias("ids"), cut("loss_mask").alias("m")).alias("x")).groupBy("trace_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    ids, mask = F.flatten(F.transform("x", lambda x: x["ids"])), F.flatten(F.transform("x", lambda x: x["m"]))
-    return held.select("trace_id", F.size("x").alias("parts"), F.size(ids).alias("n"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("sha256"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("trained"))
+    digest = lambda ids: F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
+    # A trace of one part is hashed where its row is; only ids of several parts come together.
+    part = F.struct("part", F.when(F.col("parts") > 1, cut("ids")).alias("ids"), F.when(F.col("parts") == 1, digest(cut("ids"))).alias("h"))
+    held = layout.join(r, "row").select("trace_id", "length", F.aggregate(cut("loss_mask"), F.lit(0), lambda a, x: a + x).alias("m"), part.alias("x"))
+    whole = held.groupBy("trace_id").agg(F.array_sort(F.collect_list("x")).alias("x"), F.sum("length").alias("n"), F.sum("m").alias("trained"))
+    hashed = F.coalesce(F.get("x", F.lit(0))["h"], digest(F.flatten(F.transform("x", lambda x: x["ids"]))))
+    return whole.select("trace_id", F.size("x").alias("parts"), F.col("n").cast("int").alias("n"), hashed.alias("sha256"), F.col("trained").cast("int").alias("trained"))
 
 
 def p3_bounds(spark: SparkSession, root: str) -> DataFrame:
