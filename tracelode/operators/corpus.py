@@ -42,6 +42,67 @@ def unexpected_files(files: DataFrame) -> DataFrame:
     return files.where(bad).select(F.lit("tree").alias("scope"), F.concat_ws("/", "split", "case_id", F.col("timestep").cast("string"), "name").alias("place"), F.lit("unexpected file").alias("detail"))
 
 
+def entries(spark: SparkSession, root: str, depth: int = 7) -> DataFrame:
+    """Everything below a corpus root down to ``depth`` levels, folders and empty files too: place (from the root), level, is_dir, bytes.
+
+    The complement of ``tree_files``, which can't see what has no bytes: a listing by the driver, one call a level.
+    """
+    import re
+
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    start = files.makeQualified(base).toString().rstrip("/") + "/"
+    rows = []
+    for level in range(1, depth + 1):
+        found = files.globStatus(jvm.org.apache.hadoop.fs.Path(base, "/".join("*" * level)))
+        text = jvm.org.apache.commons.lang3.ArrayUtils.toString(found)
+        now = re.findall(r"path=(.*?); isDirectory=(true|false); (?:length=(\d+);)?", text)
+        if not now:
+            break
+        rows += [(p.removeprefix(start), level, d == "true", int(n or 0)) for p, d, n in now]
+    return spark.createDataFrame(rows, "place string, level int, is_dir boolean, bytes bigint")
+
+
+#: What may stand at each level of a corpus: a pattern of the place, and whether it is a folder.
+_LAYOUT = {1: (r"(?:train|eval)", True), 2: (r"[^/]+/cases", True), 3: (r"[^/]+/cases/[a-z0-9][a-z0-9_-]*", True), 4: (r".+/timestep-[1-9][0-9]*", True), 5: (r".+/(?:pages|prompts\.yaml)", None), 6: (r".+/pages/page_[0-9]{4}\.md", False)}
+
+
+def tree_findings(found: DataFrame) -> DataFrame:
+    """``entries`` against the layout: scope, place, detail for unexpected entries, empty folders and empty files, and timesteps that lack pages or prompts."""
+    want = F.lit(False)
+    for level, (pattern, folder) in _LAYOUT.items():
+        fits = F.col("place").rlike(f"^{pattern}\\z")
+        kind = F.col("is_dir") == F.lit(folder) if folder is not None else F.col("is_dir") == F.col("place").endswith("/pages")
+        want = want | ((F.col("level") == level) & fits & kind)
+    told = lambda df, place, detail: df.select(F.lit("tree").alias("scope"), F.col(place).alias("place"), F.lit(detail).alias("detail"))
+    above = found.select(F.regexp_extract("place", r"^(.*)/[^/]+$", 1).alias("place")).distinct()
+    bare = found.where("is_dir").join(above, "place", "left_anti")
+    steps = found.where(F.col("is_dir") & (F.col("level") == 4)).select("place")
+    lacks = lambda name: told(steps.join(found.where(F.col("level") == 5).select(F.regexp_extract("place", rf"^(.*)/{name}$", 1).alias("place")), "place", "left_anti"), "place", f"no {name}")
+    parts = [told(found.where(~want), "place", "unexpected entry"), told(bare, "place", "empty folder"), told(found.where("NOT is_dir AND bytes = 0"), "place", "empty file"), lacks("pages"), lacks("prompts.yaml")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def branch_census(files: DataFrame) -> DataFrame:
+    """Of each branch its files and one hash over their names and contents: case_id, timestep, n_files, n_pages, digest."""
+    each = F.concat_ws(" ", "name", "sha256")
+    return files.where("case_id IS NOT NULL").groupBy("case_id", "timestep").agg(F.count("*").alias("n_files"), F.count("page").alias("n_pages"), F.sha2(F.array_join(F.array_sort(F.collect_list(each)), "\n"), 256).alias("digest"))
+
+
+def fixed_files(clone: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Files that every branch must hold with one content (``names``: name to sha256), and files that are neither these nor pages: case_id, timestep, name, finding."""
+    branches = clone.select("case_id", "timestep").distinct()
+    want = branches.select("*", F.explode(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])).alias("name", "want"))
+    other = clone.where(F.col("page").isNull()).select("case_id", "timestep", "name", "sha256")
+    both = want.join(other, ["case_id", "timestep", "name"], "full_outer")
+    found = F.when(F.col("want").isNull(), "extra").when(F.col("sha256").isNull(), "missing").when(F.col("want") != F.col("sha256"), "differs")
+    return both.select("case_id", "timestep", "name", found.alias("finding")).where("finding IS NOT NULL")
+
+
 # --- rules --------------------------------------------------------------------------------------
 
 

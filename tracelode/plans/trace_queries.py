@@ -18,6 +18,7 @@ from tracelode.plans.records import MEMBERS
 from tracelode.runtime import shared_folder
 from tracelode.schemas import BODY, DELIVERY
 from tracelode.sources.tables import table
+from tracelode.streaming import reconstruct as VR
 from tracelode.streaming import validate as V
 
 #: A turn opens after the assistant's mark.
@@ -258,6 +259,14 @@ def chain_statistics(spark: SparkSession, root: str) -> DataFrame:
     return J.statistics(J.reconstruct_traces(_turned(spark, root), _KEYS), _KEYS)
 
 
+def streaming_merge(spark: SparkSession, root: str) -> DataFrame:
+    """As prefix_merge, by a stream that rebuilds the sessions that each batch of deliveries touches."""
+    sink = shared_folder(spark, "merge")
+    turned = lambda d: J.sampled_turns(R.trace_rows(d).withColumn("response_logprobs", F.coalesce("response_logprobs", stub_logprobs(F.col("response_ids")))), _KEYS)
+    VR.run_available(spark, f"{root}/pi_polar_task_status.parque[t]", DELIVERY, turned, _KEYS, sink)
+    return _digests(VR.current(spark, sink, _KEYS))
+
+
 #: Ids that a template puts at the end of every prompt, and that the next prompt doesn't repeat.
 GLUE = [270, 271]
 
@@ -381,7 +390,7 @@ def message_texts(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     logprob_discipline, trace_tripwires, page_cutoff_gate, turn_opening_tail, chain_snapshot_gate, admission_gate, prompt_source_gate, system_prompt_gate, workspace_gate, raw_mask_gate, raw_mask_faults, accept_quarantine,
-    disposition_counts, streaming_validate, doctored_gate, raw_gate, raw_stream, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, chain_statistics, glue_stitch, broken_chains, session_findings,
+    disposition_counts, streaming_validate, doctored_gate, raw_gate, raw_stream, envelope_screen, envelope_members, argument_hashes, mask_runs_rows, loss_mask_counts, tool_segments, sampled_turns, prefix_merge, streaming_merge, chain_statistics, glue_stitch, broken_chains, session_findings,
     episode_rows, distribution_summary, tool_call_join, tool_outcomes, finish_histogram, length_stopped, citation_rewards, group_advantages, logprob_delta, delivery_divergence, delivery_divergence_traces, collection_comparison, message_texts, token_stream, marked_tokens, opening_kinds, redelivery_changes)}
 
 
@@ -621,3 +630,4 @@ ORACLE["argument_hashes"] = """WITH l AS (SELECT row_id, message.content AS c FR
 j AS (SELECT row_id, part, a, CASE WHEN json_valid(a) THEN a::JSON END AS j FROM p)
 SELECT row_id, part, CASE WHEN j IS NULL THEN NULL WHEN json_type(j) <> 'OBJECT' THEN sha256(j::VARCHAR) ELSE sha256('{' || array_to_string(list_transform(list_sort(json_keys(j)), lambda k: to_json(k)::VARCHAR || ':' || json_extract(j, '$."' || k || '"')::VARCHAR), ',') || '}') END AS sha256 FROM j"""
 ORACLE["delivery_divergence_traces"] = ORACLE["delivery_divergence"]
+ORACLE["streaming_merge"] = ORACLE["prefix_merge"]

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.sources import yaml_text
+
 #: The members that every manifest has, and their kinds; a caller may ask for more.
 MANIFEST = {"name": str, "owner": str, "git": dict, "sandbox_image": str}
 GIT = {"name", "email", "date"}
@@ -20,11 +22,14 @@ TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*\Z")
 
 
 def parse(text: str) -> object:
-    """A YAML document where a parser is installed, else JSON; ValueError if it is none."""
+    """A YAML document, by the installed parser or, where there is none, by ``yaml_text``; ValueError if it is none."""
     try:
         import yaml
     except ImportError:
-        return json.loads(text)
+        try:
+            return json.loads(text)
+        except ValueError:
+            return yaml_text.load(text)
     try:
         return yaml.safe_load(text)
     except (yaml.YAMLError, RecursionError) as e:
@@ -135,3 +140,25 @@ def manifest(raw: bytes, owners: list[str], more: dict[str, type] | None = None)
 def findings_frame(spark: SparkSession, found: list[tuple[str, str]], scope: str = "manifest") -> DataFrame:
     """Findings of the driver as rows: scope, place, detail."""
     return spark.createDataFrame([(scope, *f) for f in found], "scope string, place string, detail string")
+
+
+def npz_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """The arrays in .npz files, one a row: path, name, dtype, n, values (as doubles); arrays of other than one dimension or of objects are left out, as are files that are none."""
+    import io
+    import zipfile
+
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for where, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                        rows += [(where, n, a.dtype.str, len(a), a.astype(np.float64).tolist()) for n in held.files if (a := held[n]).ndim == 1 and a.dtype.kind in "iuf"]
+                except (ValueError, OSError, zipfile.BadZipFile, AttributeError):
+                    continue
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.float64())))], names=["path", "name", "dtype", "n", "values"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, name string, dtype string, n bigint, values array<double>")
