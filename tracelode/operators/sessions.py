@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.functions.arrays import first_divergence, indices, mask_runs
+from tracelode.functions.arrays import first_divergence, indices, let, mask_runs
 from tracelode.functions.kernels import segments
 
 # --- completions --------------------------------------------------------------------------------
@@ -111,7 +111,7 @@ def golden_comparison(pairs: DataFrame, keys: list[str], tolerance: float = 0.2)
     g, o = F.col("g"), F.col("o")
     runs = mask_runs(g["loss_mask"])
     cut = lambda t, r: F.slice(t["response_ids"], r["start"] + 1, r["end"] - r["start"])
-    bad = F.get(F.filter(indices(runs), lambda k: ~cut(g, F.get(runs, k)).eqNullSafe(cut(o, F.get(runs, k)))), F.lit(0))
+    bad = let(runs, lambda r: F.get(F.filter(indices(r), lambda k: ~cut(g, F.get(r, k)).eqNullSafe(cut(o, F.get(r, k)))), F.lit(0)))
     far = F.get(F.filter(indices(g["response_logprobs"]), lambda i: F.abs(F.get(g["response_logprobs"], i) - F.get(o["response_logprobs"], i)) > tolerance), F.lit(0))
     none = F.array().cast("array<int>")
     prompt = first_divergence(F.coalesce(g["prompt_ids"], none), F.coalesce(o["prompt_ids"], none))
