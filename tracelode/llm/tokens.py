@@ -4,8 +4,8 @@ The texts of a block are split by the vocabulary's pattern; each distinct word o
 written once as byte symbols, all words one after the other. An inverted index from pair to
 positions then lets every merge be applied in rank order to all words at once: a merge touches only
 its positions and enters the pairs with their two neighbours into the index. What a word becomes depends on
-nothing outside it, so blocks are replayed where they lie and nothing is shuffled; ids per word
-are spread to its occurrences by one ``take``.
+nothing outside it, so blocks are replayed where they lie and nothing is shuffled; a task replays a word once,
+whatever the number of its blocks; ids per word are spread to its occurrences by one ``take``.
 
 Defined results: a null and an empty text have an empty list; strings that look like special tokens
 are ordinary text; texts of any length are encoded whole; repeated rows are encoded each; an empty
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
+#: Words whose ids a task remembers from block to block; beyond, it forgets them and goes on.
+MAX_WORDS = 500_000
 
 
 def default_vocabulary() -> str:
@@ -52,6 +54,7 @@ class MergeReplay:
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
         self.byte = [ranks[bytes([i])] for i in range(256)]
+        self._words: dict[str, np.ndarray] = {}  # the ids of words replayed before
         self._merge: dict[int, int] = {}  # pair to the rank of its merge, -1 if it has none
 
     def merge(self, a: int, b: int) -> int:
@@ -63,6 +66,18 @@ class MergeReplay:
                 self._merge.clear()
         return r
 
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``; words that a block before held aren't replayed again."""
+        new = [w for w in words if w not in self._words]
+        if new:
+            ids, sizes = self.encode([w.encode() for w in new])
+            ends = np.cumsum(sizes).tolist()
+            self._words.update(zip(new, (ids[a:b] for a, b in zip([0, *ends], ends))))
+        out = [self._words[w] for w in words]
+        if len(self._words) > MAX_WORDS:
+            self._words.clear()
+        return np.concatenate([np.zeros(0, np.int64), *out]), np.fromiter(map(len, out), np.int64, len(out))
+
     def encode(self, words: list[bytes]) -> tuple[list[int], np.ndarray]:
         """The ids of all words one after the other, and how many each word has."""
         byte, merge = self.byte, self.merge
@@ -133,7 +148,7 @@ def encode_block(replay: MergeReplay, split, texts: list[str | None]) -> pa.List
     """The ids of each text of a block."""
     found = [split(t) if t else () for t in texts]
     words = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
-    ids, sizes = replay.encode([w.encode() for w in words.dictionary.to_pylist()])
+    ids, sizes = replay.lookup(words.dictionary.to_pylist())
     per_word = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), pa.array(ids.astype(np.int32)))
     codes = words.indices
     flat = pc.list_flatten(per_word.take(codes))
