@@ -134,12 +134,13 @@ _READER = set("you your please we requested bitte sie ihr ihre veuillez vous vot
 
 def _judge(words: list[str], low: str) -> str | None:
     has, alien, n = set(), 0, len(words)
+    most = n // 2 if n <= 16 else max(1, n // 5)  # no rule allows more words outside the lexicon
     counts = [0] * 13
     for w in words:
         parts = parts_of(w)
         if not parts and len(w) > 1:
             alien += 1
-            if alien * 2 > n:
+            if alien > most:
                 return None
         for p in parts:
             counts[p] += 1
