@@ -171,7 +171,7 @@ def _judge(words: list[str], low: str) -> str | None:
 def kind_of(sentence: str) -> str | None:
     """``script``, ``error`` or ``filler`` if the sentence is such a notice, or begins as one that speaks to its reader; else None."""
     low = sentence.lower().replace("can't", "can not").replace("won't", "will not").replace("n't ", " not ").replace("too long", "toolong").replace("zu lange", "zulange")
-    words = _TOKEN.findall(_PLACES.sub(" ", low) if "/" in low or "\\" in low or "." in low else low)
+    words = _TOKEN.findall(_PLACES.sub(" ", low) if "/" in low or "\\" in low or "." in low[:-1] else low)
     if not words:
         return None
     if kind := _judge(words, low):

@@ -59,8 +59,13 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"“”»')\]]*\s+")
 _ON_FIELDS = re.compile(r"\b(?:templates?|fields?|placeholders?|renderer|variables?|syntax|vorlagen?|felde?r?|platzhalter|modèles?|champs?|gabarits?|plantillas?|campos?)\b", re.I)
 
 
+_QUOTES = frozenset("„“«\"")
+
+
 def unquoted(line: str) -> str:
     """A line without its quotations; a single word in guillemets may be a field and stays."""
+    if not _QUOTES.intersection(line):
+        return line
     return _QUOTED.sub(lambda m: m.group() if m.group()[0] == "«" and not re.search(r"\s", m.group()[2:]) else " ", line)
 
 
@@ -199,26 +204,35 @@ _ERROR_LINE = re.compile(
 # --- a document ------------------------------------------------------------------------------------
 
 
-def _line_kind(line: str, may_notice: bool) -> str | None:
-    """The kind of evidence that a normalised line is or holds; a notice is looked for only if it may hold one."""
-    bare = _CODE.sub(" ", unescape(line) if "&" in line else line)
+def _form(bare: str) -> str | None:
+    """The kind of evidence that a line is by its form."""
     if _BLANK.match(bare):
         return PLACEHOLDER
     if _repeats(bare) or _crossed(bare) or _LOREM.match(bare) or _mock_latin(bare):
         return FILLER
-    if _ERROR_LINE.match(bare):
-        return ERROR
-    may_field = _MAY_FIELD.search(bare)
-    if not may_field and not may_notice:
-        return None
-    for s in _SENTENCE.split(unquoted(bare)):
-        if s and may_field and _has_field(s) and not _ON_FIELDS.search(_FIELD.sub(" ", s)):
-            return PLACEHOLDER
-        if s and may_notice and _LOREM.match(s):
-            return FILLER
-        if s and may_notice and (kind := kind_of(_TAG.sub(" ", s) if s[:1] == "<" else s)):
-            return kind
-    return None
+    return ERROR if _ERROR_LINE.match(bare) else None
+
+
+def _line_kinds(lines: list[str], notice: list[bool]) -> list[str | None]:
+    """The kind of evidence that each normalised line is or holds; notices are looked for only in lines that may hold
+    one, and there in the sentences that may."""
+    kinds: list[str | None] = []
+    sentences, owner = [], []
+    for k, (line, may) in enumerate(zip(lines, notice)):
+        bare = _CODE.sub(" ", unescape(line) if "&" in line else line) if "&" in line or "`" in line else line
+        kinds.append(_form(bare))
+        if kinds[-1] is None and (may or _MAY_FIELD.search(bare)):
+            mine = [s for s in _SENTENCE.split(unquoted(bare)) if s]
+            sentences += mine
+            owner += [k] * len(mine)
+    may_say = pc.match_substring_regex(pc.utf8_lower(pa.array(sentences, pa.string())), _NOTICES).to_pylist()
+    for k, s, may in zip(owner, sentences, may_say):
+        if kinds[k] is None:
+            if _MAY_FIELD.search(s) and _has_field(s) and not _ON_FIELDS.search(_FIELD.sub(" ", s)):
+                kinds[k] = PLACEHOLDER
+            elif may:
+                kinds[k] = FILLER if _LOREM.match(s) else kind_of(_TAG.sub(" ", s) if s[0] == "<" else s)
+    return kinds
 
 
 #: By these patterns, matched over whole Arrow buffers in linear time, lines are told that may hold evidence: words of
@@ -278,7 +292,9 @@ def evidence_of(texts: pa.Array) -> tuple[list[tuple[int, int, str, str]], np.nd
         for a, b in zip(fences[::2], fences[1::2]):
             hit[a : b + 1] = False
     at = np.flatnonzero(hit)
-    found = [(i, n, kind, line) for i, n, line, may in zip(parent[at].tolist(), number[at].tolist(), lines.take(pa.array(at)).to_pylist(), notice[at].tolist()) if (kind := _line_kind(line, may))]
+    texts_of = lines.take(pa.array(at)).to_pylist()
+    kinds = _line_kinds(texts_of, notice[at].tolist())
+    found = [(i, n, kind, line) for i, n, line, kind in zip(parent[at].tolist(), number[at].tolist(), texts_of, kinds) if kind]
     # An outline without content: labels with numbers, each over a stub.
     for i in np.flatnonzero(count(_LABEL.pattern) > 1).tolist():
         mine = np.flatnonzero(parent == i)
