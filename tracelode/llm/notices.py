@@ -118,7 +118,7 @@ def triggers() -> str:
     # What is missed rather than failed, and what is still to come, by the words that tell.
     ends |= {rf"\b{w}\b" for w in "geladen geöffnet angezeigt existe found available reached existe existiert existiert ocurrido ocurrió ocorreu loaded opened displayed matches gefunden erreichbar verarbeitet aufgetreten antwortet verfügbar vorhanden trouvée trouvé répond encontrado encontrada disponible responde trovata gevonden bereikbaar bereikt provisoire remplacer cargar".split()}
     ends |= {r"not be\b", r"too (?:long|many)\b", r"(?:not|n't) (?:find|load|open|reach|display)\b", r"(?:too|zu) lang\w*", r"payment required", r"gateway time", r" compl[eé]ter\b", r"(?:not|n't) (?:exist|work|respond|be|have)", r"\bconflict\b", r"not (?:implemented|acceptable)"}
-    ends |= {rf"\b{w}\b" for w in "folgt ergänzt nachgereicht demnächst kürze bald prochainement bientôt venir próximamente breve pronto pendiente pending coming soon follow written tba goes".split()}
+    ends |= {rf"\b{w}\b" for w in "folgt ergänzt nachgereicht demnächst kürze bald prochainement bientôt venir próximamente breve pronto pendiente pending coming soon follow written tba goes replace".split()}
     return "|".join(sorted(ends))
 
 
