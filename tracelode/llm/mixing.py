@@ -126,17 +126,17 @@ def deviations(uses: DataFrame) -> DataFrame:
 
 
 def shares(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, slots: int | None = None) -> DataFrame:
-    """Each target source with what the mixture gives it: uses, documents, most repeats, tokens, actual share, and its greatest
+    """Each target source with what the mixture gives it: uses, documents, most repeats, tokens, its longest document, actual share, and its greatest
     deviation from its share in the order of the mixture, in blocks (``block_tokens``)."""
     uses, block = _planned(documents, targets, vocabulary, slots)
     uses = checkpointed(uses)
-    got = uses.groupBy("source", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"))
-    got = got.groupBy("source").agg(F.sum("k").alias("uses"), F.count("*").alias("docs"), F.max("k").alias("most_repeats"), F.sum("n").alias("tokens"))
+    got = uses.groupBy("source", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("longest"))
+    got = got.groupBy("source").agg(F.max("longest").cast("bigint").alias("longest"), F.sum("k").alias("uses"), F.count("*").alias("docs"), F.max("k").alias("most_repeats"), F.sum("n").alias("tokens"))
     got = checkpointed(got.join(deviations(uses).withColumnRenamed("tokens", "off"), "source"))
     whole = got.agg(F.sum("tokens").alias("whole"))
     want = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
     zero = F.lit(0).cast("bigint")
     return want.join(got, "source", "left").join(F.broadcast(whole)).select(
-        "source", "target_weight", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("uses", "docs", "most_repeats", "tokens")],
+        "source", "target_weight", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("uses", "docs", "most_repeats", "tokens", "longest")],
         F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"), F.lit(float(block)).alias("block_tokens"), F.round(F.coalesce(F.col("off"), F.lit(0.0)) / block, 4).alias("greatest_deviation"),
     )

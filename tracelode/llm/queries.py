@@ -47,11 +47,17 @@ def p3_bounds(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_bounds(spark: SparkSession, root: str) -> DataFrame:
-    """Of each target source with documents whether its share and its repeats are as asked, and whether it ever strays by two blocks or more."""
+    """Of each target source with documents whether its share and its repeats are as asked, and whether it strays too far in the order of the mixture.
+
+    Documents are used whole, so a source has its quota but for half a document, and the whole has the quotas' sum but for half a document of
+    each source; in the order of the mixture two blocks and a document more are allowed.
+    """
     s = p8_shares(spark, root).where("tokens > 0")
-    wanted = F.broadcast(s.agg(F.sum("target_weight").alias("w")))
-    near = F.abs(F.col("actual_share") - F.col("target_weight") / F.col("w")) <= 0.01
-    return s.join(wanted).select("source", near.alias("share_ok"), (F.col("most_repeats") <= F.coalesce("max_repeats", F.lit(1))).alias("repeats_ok"), (F.col("greatest_deviation") < 2).alias("order_ok"))
+    wanted = F.broadcast(s.agg(F.sum("target_weight").alias("w"), F.sum("tokens").alias("whole"), F.sum("longest").alias("all"), F.max("longest").alias("most")))
+    part = F.col("target_weight") / F.col("w")
+    near = F.abs(F.col("tokens") - part * F.col("whole")) <= F.col("longest") / 2 + part * F.col("all") / 2 + 1
+    kept = F.col("greatest_deviation") * F.col("block_tokens") <= 2 * F.col("block_tokens") + F.col("most")
+    return s.join(wanted).select("source", near.alias("share_ok"), (F.col("most_repeats") <= F.coalesce("max_repeats", F.lit(1))).alias("repeats_ok"), kept.alias("order_ok"))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
