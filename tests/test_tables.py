@@ -164,3 +164,12 @@ def test_fingerprints_count_equal_rows(spark):
     a, b = (1, 1, 0, "a", [1.0]), (1, 1, 1, "b", [1.0])
     marks = {R.fingerprint(rows(*r), {}) for r in ([a], [a, a, a], [a, b], [a, a, b, b], [b], [(1, 1, 0, "c", [1.0])])}
     assert len(marks) == 6 and R.fingerprint(rows(a, b), {}) == R.fingerprint(rows(b, a), {})
+
+
+def test_index_recall_on_the_tables(spark, data):
+    """The vectors of the tables lie in no clusters, so that many lists are read; nine of ten hits are found all the same."""
+    from tracelode.plans import search_queries as Q
+
+    root = data.replace("sf0.001", "sf0.01")
+    exact, near = ({tuple(r) for r in q(spark, root).select("query_id", "id").collect()} for q in (Q.search_unscoped_multi, Q.search_index_multi))
+    assert len(near & exact) >= 0.9 * len(exact) > 0

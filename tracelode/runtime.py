@@ -28,11 +28,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def _base(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``.
+    """The shared folder that the session names in ``spark.checkpoint.dir``, or has been given as its checkpoint folder.
 
     Only in local mode, as in tests, a folder of this machine stands in for it; on a cluster it must be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and given.isDefined():
+        named = given.get()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
